@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.functions import values as V
+from folioscope.operators.common import durable
 
 # fixed values: the shapes of headings, captions, rows and page numbers
 NUMBERED = r"^(\d{1,2}(\.\d{1,2}){0,3}\.?|[A-Z]\.|Abstract|Appendix)(\s|$)"
@@ -282,5 +283,10 @@ def reflow(lines: DataFrame) -> DataFrame:
 
 
 def document_text(lines: DataFrame) -> DataFrame:
-    """All the steps: margins, chart labels, then blocks in reading order."""
-    return reflow(drop_label_runs(drop_clusters(drop_repeated_labels(drop_repeated_lines(lines)))))
+    """All the steps: margins, chart labels, then blocks in reading order.
+
+    Every step reads its input more than once, so what a step leaves is written down in between.
+    """
+    for step in (drop_repeated_lines, drop_repeated_labels, drop_clusters, drop_label_runs):
+        lines = durable(step(lines))
+    return reflow(lines)

@@ -32,6 +32,9 @@ def postings(pages: DataFrame) -> DataFrame:
         tagged(F.col("body"), 2),
     )
 
+    def said_in(run, field):
+        return F.size(F.filter(run, lambda x: x["f"] == field))
+
     def runs(rows):
         heads = T.let(
             F.transform(rows, lambda x, i: F.struct(x["t"].alias("t"), i.alias("at"))),
@@ -43,10 +46,7 @@ def postings(pages: DataFrame) -> DataFrame:
                 F.slice(rows, h["at"] + 1, end - h["at"]),
                 lambda run: F.struct(
                     h["t"].alias("term"),
-                    *[
-                        F.size(F.filter(run, lambda x, n=n: x["f"] == n)).alias(name)
-                        for n, name in enumerate(("tf_title", "tf_alias", "tf_body"))
-                    ],
+                    *[said_in(run, n).alias(name) for n, name in enumerate(("tf_title", "tf_alias", "tf_body"))],
                 ),
             )
 
