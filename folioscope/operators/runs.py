@@ -22,7 +22,8 @@ def ops_day(ts, at: str = "03:00") -> Column:
 
 def runs_report(runs: DataFrame) -> DataFrame:
     """One row per run: its calendar day, clock time, whole minutes and why it stopped."""
-    minutes = F.floor((F.unix_micros("finished") - F.unix_micros("started")) / 60_000_000)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    minutes = F.floor((micros("finished") - micros("started")) / 60_000_000)
     return runs.select(
         F.to_date("started").alias("day"), F.date_format("started", "HH:mm").alias("at"), "ingested", "skipped", "failed",
         "tokens_used", minutes.cast("long").alias("minutes"), F.coalesce("stopped_by", F.lit("")).alias("stopped_by"),

@@ -161,7 +161,7 @@ def rank_fusion(spark, d):
     "hybrid_search",
     f"""WITH {_TEXT_DENSE}, ex AS (SELECT query_id, page_id FROM fused JOIN labels ON doc_id = page_id WHERE toxic = 1)
     SELECT query_id, page_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank
-    FROM fused ANTI JOIN ex USING (query_id, page_id) QUALIFY rank <= 1000000 AND row_number() OVER (PARTITION BY query_id ORDER BY rank) <= {K}""",
+    FROM fused ANTI JOIN ex USING (query_id, page_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= {K}""",
 )
 def hybrid_search(spark, d):
     """Fused search without the private (here: toxic) pages."""

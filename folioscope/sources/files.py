@@ -53,7 +53,7 @@ def meta_list(value: Column) -> Column:
     """A list entry, block or inline style, as ARRAY<STRING>."""
     block = F.transform(T.find_all(value, r"(?m)^[ \t]*- (.*)$", 1), meta_text)
     inline = F.transform(
-        T.find_all(F.regexp_extract(value, r"(?s)^\s*\[(.*)\]\s*$", 1), r"""("[^"]*"|'[^']*'|\[\[[^\]]*\]\]|[^,]+)""", 1), meta_text
+        T.find_all(F.regexp_extract(value, r"(?s)^\s*\[(.*)\]\s*$", 1), r"""\s*("[^"]*"|'[^']*'|\[\[[^\]]*\]\]|[^,\s][^,]*)""", 1), meta_text
     )
     listed = F.when(T.strip(value).startswith("["), inline).otherwise(block)
     return F.coalesce(F.array_compact(listed), F.array().cast("array<string>"))
