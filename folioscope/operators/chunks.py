@@ -88,8 +88,15 @@ def halves(c) -> Column:
         ranked = F.transform(offsets, lambda o: F.struct(F.abs(o - middle).alias("d"), o.alias("o")))
         return F.array_min(ranked)["o"]
 
-    close = F.filter(starts(r"\n\s*\n"), lambda o: F.abs(o - middle) < F.floor(F.length(c) / 4))
-    cut = F.coalesce(nearest(close), nearest(starts(r"\s")))
+    def nearest_blank():
+        left, right = F.substring(c, F.lit(1), middle + 1), F.substring(c, middle + 2, F.length(c))
+        before = F.when(left.rlike(T.BLANK), F.length(F.regexp_extract(left, "(?s)^(.*)" + T.BLANK, 1)))
+        after = F.when(right.rlike(T.BLANK), middle + 1 + F.length(F.regexp_extract(right, "(?s)^(.*?)" + T.BLANK, 1)))
+        return F.when(before.isNull() | (after - middle < middle - before), after).otherwise(before)
+
+    near = F.filter(starts(r"\n\s*\n"), lambda o: F.abs(o - middle) < F.floor(F.length(c) / 4))
+    close = F.when(c.rlike(r"\n\s*\n"), nearest(near))
+    cut = F.coalesce(close, nearest_blank())
     return F.array(T.strip(F.substring(c, F.lit(1), cut)), T.strip(F.substring(c, cut + 1, F.length(c))))
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import site_rules as R
@@ -139,18 +142,37 @@ def outbound_url(html) -> Column:
 # -------------------------------------------------------------------------------- site chrome
 
 
-def _site_of(text: Column, url: Column, rules: dict) -> Column:
-    """The known site a clip comes from: by host, or by its footer when it has no address."""
-    name = F.lit(None).cast("string")
-    by_footer = F.lit(None).cast("string")
-    for site, rule in reversed(list(rules.items())):
-        on_site = F.lit(False)
-        for domain in rule["domains"]:
-            on_site = on_site | U.in_domain(U.host(url), domain)
-        name = F.when(on_site, F.lit(site)).otherwise(name)
-        by_footer = F.when(text.rlike("(?i)" + rule["signature"]), F.lit(site)).otherwise(by_footer)
-    has_url = F.coalesce(url, F.lit("")) != ""
-    return F.when(has_url, F.when(url.rlike("^https?://"), name)).otherwise(by_footer)
+def site_rules(spark: SparkSession, rules: dict | None = None) -> DataFrame:
+    """The chrome rules as a table, one row per site: another site is another row."""
+    return spark.createDataFrame(_rule_rows(rules or R.SITE_RULES), ", ".join(f"{n} {t}" for n, t in RULES))
+
+
+RULES = (
+    ("site", "string"), ("ord", "int"), ("hosts", "string"), ("signature", "string"), ("plain", "array<string>"),
+    ("words", "array<string>"), ("heads", "array<string>"), ("lines", "string"), ("any_head", "string"),
+    ("block_heads", "array<string>"), ("block_bodies", "array<string>"),
+)
+
+
+def _rule_rows(rules: dict) -> list[tuple]:
+    def anchored(patterns):
+        return "(?i)^(?:" + "|".join(f"(?:{p})" for p in patterns) + ")$" if patterns else "(?!)"
+
+    rows = []
+    for order, (site, r) in enumerate(rules.items()):
+        hosts = "(?:^|\\.)(?:" + "|".join(re.escape(d) for d in r["domains"]) + ")$"
+        rows.append((
+            site, order, hosts, "(?i)" + r["signature"], r["plain"], list(dict.fromkeys(r["link_words"] + r["plain"])), r["heads"],
+            anchored(r["lines"]), anchored([h for h, _ in r["blocks"]]), [f"(?i)^(?:{h})$" for h, _ in r["blocks"]],
+            [None if b is None else f"(?i)^(?:{b})$" for _, b in r["blocks"]],
+        ))
+    return rows
+
+
+def _rule_literals(rules: dict) -> Column:
+    """The rules as one constant array<struct>, read from JSON so the plan holds it once."""
+    text = json.dumps([dict(zip([n for n, _ in RULES], row)) for row in _rule_rows(rules)], ensure_ascii=False)
+    return F.from_json(F.lit(text), "array<struct<" + ",".join(f"{n}:{t}" for n, t in RULES) + ">>")
 
 
 _LINK = r"!?\[([^\]]*)\]\(([^)\s]*)[^)]*\)"
@@ -165,122 +187,108 @@ def _plain_line(c) -> Column:
     return F.lower(F.trim(F.rtrim(F.ltrim(c, F.lit("…")), F.lit(".:!…"))))
 
 
-def _line_facts(line: Column, rule: dict) -> Column:
-    """What one line is, for one site: struct<text, blank, long, fence, chrome, block, bodies>."""
+def _line_facts(line: Column, rule: Column) -> Column:
+    """What one line is: struct<line, long, fence, short, chrome, block>; `block` is the section it heads."""
     heading = F.regexp_extract(line, _HEADING, 1)
     is_heading = line.rlike(_HEADING)
-    words = list(dict.fromkeys(rule["link_words"] + rule["plain"]))
     bare = F.regexp_replace(line, r"^\s*(?:[-*+]\s+)?", "")
-    shown = T.find_all(bare, _LINK, 1)
-    targets = T.find_all(bare, _LINK, 2)
-    only_links = (F.size(shown) > 0) & (F.regexp_replace(F.regexp_replace(bare, _LINK, ""), r"[\s|·•-]+", "") == "")
-
-    def on_site(target):
-        here = ~target.rlike("^https?://")
-        for domain in rule["domains"]:
-            here = here | U.in_domain(U.host(target), domain)
-        return here
-
-    nav = F.forall(shown, lambda w: _plain_line(w).isin(*words)) & F.forall(targets, on_site)
-
-    def text_chrome(plain):
-        hit = plain.isin(*rule["plain"])
-        for pattern in rule["lines"]:
-            hit = hit | plain.rlike(f"(?i)^(?:{pattern})$")
-        return (plain != "") & hit
-
-    heads = rule["heads"] or ["\x00"]
-    chrome = (
-        F.when(is_heading, _plain_line(heading).isin(*heads))
-        .when(only_links, nav)
-        .otherwise(T.let(_plain_line(line), text_chrome))
+    links = T.find_all(bare, _LINK)
+    only_links = line.contains("](") & (F.size(links) > 0) & (
+        F.regexp_replace(F.regexp_replace(bare, _LINK, ""), r"[\s|·•-]+", "") == ""
     )
 
-    def block_of(plain):
-        block = F.lit(-1)
-        for n, (head, _body) in reversed(list(enumerate(rule["blocks"]))):
-            block = F.when(plain.rlike(f"(?i)^(?:{head})$"), F.lit(n)).otherwise(block)
-        return block
-
-    block = T.let(_plain_line(F.when(is_heading, heading).otherwise(line)), block_of)
-    trimmed = T.strip(line)
-    short = (F.length(trimmed) <= MAX_BLOCK_LINE) & ~is_heading & ~trimmed.rlike(r"^(?:```|~~~)") & ~trimmed.rlike(_TRANSCRIPT)
-    bodies = F.array(
-        *[short if body is None else short & trimmed.rlike(f"(?i)^(?:{body})$") for _head, body in rule["blocks"]]
-    )
-    long = F.length(line) > MAX_CHROME_LINE  # also keeps the patterns off hostile huge lines
-    return F.struct(
-        line.alias("text"), long.alias("long"), trimmed.rlike(r"^(?:```|~~~)").alias("fence"),
-        F.when(long, F.lit(False)).otherwise(chrome).alias("chrome"), F.when(long, F.lit(-1)).otherwise(block).alias("block"),
-        F.when(long, F.array_repeat(F.lit(False), len(rule["blocks"]))).otherwise(bodies).alias("bodies"),
-    )
+    def known(link):
+        target = F.regexp_extract(link, _LINK, 2)
+        here = ~target.rlike("^https?://") | F.regexp_like(U.host(target), rule["hosts"])
+        return F.array_contains(rule["words"], _plain_line(link)) & here
+
+    def judged(plain):
+        """`plain`: the cleaned heading, or the whole cleaned line."""
+        chrome = (
+            F.when(is_heading, F.array_contains(rule["heads"], plain))
+            .when(only_links, F.forall(links, known))
+            .otherwise((plain != "") & (F.array_contains(rule["plain"], plain) | F.regexp_like(plain, rule["lines"])))
+        )
+        which = F.array_position(F.transform(rule["block_heads"], lambda h: F.regexp_like(plain, h)), True) - 1
+        block = F.when(F.regexp_like(plain, rule["any_head"]), which).otherwise(F.lit(-1).cast("long"))
+        trimmed = T.strip(line)
+        fence = trimmed.rlike(r"^(?:```|~~~)")
+        short = (F.length(trimmed) <= MAX_BLOCK_LINE) & ~is_heading & ~fence & ~trimmed.rlike(_TRANSCRIPT)
+        long = F.length(line) > MAX_CHROME_LINE  # also keeps the patterns off hostile huge lines
+        return F.struct(
+            trimmed.alias("line"), long.alias("long"), fence.alias("fence"), (short & ~long).alias("short"),
+            F.when(long, F.lit(False)).otherwise(chrome).alias("chrome"), F.when(long, F.lit(-1).cast("long")).otherwise(block).alias("block"),
+        )
 
+    return T.let(_plain_line(F.when(is_heading, heading).otherwise(line)), judged)
 
-def _stripped(text: Column, rule: dict) -> Column:
-    """struct<text, removed> for one known site: a fold over the lines of one row.
 
-    Lines and the blank lines after them are one item, so an item only needs to look at the next.
+def _stripped(text: Column, rule: Column) -> Column:
+    """struct<text, removed>: a fold over the lines of one row.
+
+    A line and the blank lines after it are one item, so an item only needs to look at the next.
     A block's head goes when its block needs no set shape, or when the next item has that shape.
     """
     items = T.find_all(text, r"(?:\A\s*\n)?[^\n]*\S[^\n]*(?:\n(?:[^\S\n]*(?:\n|\z))*)?")
     facts = F.transform(
         items,
-        lambda it: T.let(
-            F.regexp_extract(it, r"([^\n]*\S[^\n]*)", 1),
-            lambda line: F.struct(it.alias("raw"), _line_facts(line, rule).alias("f")),
-        ),
+        lambda it: F.struct(it.alias("raw"), _line_facts(F.regexp_extract(it, r"([^\n]*\S[^\n]*)", 1), rule).alias("f")),
     )
-    shapeless = F.array(*[F.lit(body is None) for _head, body in rule["blocks"]])
 
     def fold_lines(rows):
         start = F.struct(
-            F.lit(False).alias("fenced"), F.lit(-1).alias("block"), F.lit("").alias("kept"), F.lit(0).alias("removed")
+            F.lit(False).alias("fenced"), F.lit(-1).cast("long").alias("block"), F.lit("").alias("kept"), F.lit(0).alias("removed")
         )
 
-        def step(acc, i):
+        def fits(i, block):
+            """Has item i the shape of the lines of `block`?"""
             f = F.get(rows, i)["f"]
-            raw = F.get(rows, i)["raw"]
-            nxt = F.get(rows, i + 1)["f"]["bodies"]
-            fenced = F.when(f["fence"] & ~f["long"], ~acc["fenced"]).otherwise(acc["fenced"])
-            inside = (acc["block"] >= 0) & F.coalesce(F.get(f["bodies"], acc["block"]), F.lit(False))
-            opens = ~inside & ~fenced & (f["block"] >= 0) & (
-                F.get(shapeless, f["block"]) | F.coalesce(F.get(nxt, f["block"]), F.lit(False))
-            )
-            block = F.when(inside, acc["block"]).when(opens, f["block"]).otherwise(F.lit(-1))
+            shape = F.get(rule["block_bodies"], block.cast("int"))
+            return (block >= 0) & F.coalesce(f["short"] & (shape.isNull() | F.regexp_like(f["line"], shape)), F.lit(False))
+
+        def step(acc, i):
+            f, raw = F.get(rows, i)["f"], F.get(rows, i)["raw"]
+            inside = fits(i, acc["block"])
+            fenced = F.when(f["fence"] & ~f["long"] & ~inside, ~acc["fenced"]).otherwise(acc["fenced"])
+            shapeless = F.get(rule["block_bodies"], f["block"].cast("int")).isNull()
+            opens = ~inside & ~fenced & (f["block"] >= 0) & (shapeless | fits(i + 1, f["block"]))
+            block = F.when(inside, acc["block"]).when(opens, f["block"]).otherwise(F.lit(-1).cast("long"))
             gone = inside | opens | (~fenced & f["chrome"])
-            goes_on = (block >= 0) & F.coalesce(F.get(nxt, block), F.lit(False))
             blanks = F.regexp_extract(raw, r"\n((?:[^\S\n]*(?:\n|\z))*)\z", 1)
-            rest = F.when(goes_on, F.lit("")).otherwise(blanks)
+            rest = F.when(gone, F.when(fits(i + 1, block), F.lit("")).otherwise(blanks)).otherwise(raw)
             return F.struct(
-                F.when(inside, acc["fenced"]).otherwise(fenced).alias("fenced"),
-                block.cast("int").alias("block"),
-                F.concat(acc["kept"], F.when(gone, rest).otherwise(raw)).alias("kept"),
+                fenced.alias("fenced"), block.alias("block"), F.concat(acc["kept"], rest).alias("kept"),
                 (acc["removed"] + gone.cast("int")).alias("removed"),
-            )
+            )
 
         folded = F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(rows) - 1, F.lit(0))), start, step)
-        return F.when(F.size(rows) > 0, F.struct(folded["kept"].alias("text"), folded["removed"].alias("removed")))
+        return F.when(F.size(rows) > 0, folded)
+
+    def tidy(done):
+        clean = T.strip(F.regexp_replace(done["kept"], r"\n{3,}", "\n\n"))
+        return F.when(done["removed"] > 0, F.struct(clean.alias("text"), done["removed"].alias("removed")))
 
-    done = T.let(facts, fold_lines)
-    tidy = T.strip(F.regexp_replace(done["text"], r"\n{3,}", "\n\n"))
-    return F.when(done["removed"] > 0, F.struct(tidy.alias("text"), done["removed"].alias("removed")))
+    return T.let(T.let(facts, fold_lines), tidy)
 
 
 def strip_chrome(docs: DataFrame, rules: dict | None = None) -> DataFrame:
     """`docs` with the page chrome of the known sites removed and `stripped_lines` counted.
 
     Conservative: a line goes only when all of it is known chrome. Unknown sites stay untouched,
-    fenced code is never read. Row-local, so there is no shuffle.
+    fenced code is never read. The rules are one constant of a few rows that Spark folds once, and
+    each row looks its site up in it, so the documents are never shuffled.
     """
-    rules = rules or R.SITE_RULES
-    sited = docs.withColumn("_site", _site_of(F.col("text"), F.col("url"), rules))
-    cleaned = F.lit(None).cast("struct<text:string,removed:int>")
-    for site, rule in rules.items():
-        cleaned = F.when(F.col("_site") == site, _stripped(F.col("text"), rule)).otherwise(cleaned)
-    done = sited.withColumn("_c", cleaned)
+    known = rules or R.SITE_RULES
+    every = _rule_literals(known)
+    has_url = F.coalesce("url", F.lit("")) != ""
+    by_host = F.filter(every, lambda x: F.col("url").rlike("^https?://") & F.regexp_like(U.host("url"), x["hosts"]))
+    by_footer = F.filter(every, lambda x: F.regexp_like("text", x["signature"]))
+    rule = F.get(F.when(has_url, by_host).otherwise(by_footer), F.lit(0))
+    sited = docs.withColumn("_rule", rule)
+    done = sited.withColumn("_c", F.when(F.col("_rule").isNotNull(), _stripped(F.col("text"), F.col("_rule"))))
     return done.withColumn("stripped_lines", F.coalesce(F.col("_c.removed"), F.lit(0)).cast("long")).withColumn(
         "text", F.coalesce(F.col("_c.text"), F.col("text"))
-    ).drop("_c", "_site")
+    ).drop("_c", "_rule")
 
 
 def accept_clip(docs: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ offered AS (SELECT doc_id, place * 2 AS pos, word AS term, 'A word that is said
     "verified_terms",
     with_wiki(
         f"""SELECT doc_id, pos, CASE WHEN pos = 100 OR pos = 101 OR NOT contains({fold('d.text')}, {fold('term')}) THEN 'unsupported'
-          WHEN pos % 2 = 1 AND pos < 100 AND length({fold('term')}) > 5 THEN 'trivial' WHEN pos = 3 THEN 'trivial' WHEN pos = 102 THEN 'kept' ELSE 'kept' END AS verdict
+          WHEN pos % 2 = 1 AND pos < 100 AND length({fold('term')}) > 5 THEN 'trivial' WHEN pos = 3 OR lower(term) IN ('data','information','system','process','technology','example','method','approach','result','problem') THEN 'trivial' ELSE 'kept' END AS verdict
           FROM offered JOIN documents d USING (doc_id) WHERE NOT (pos % 2 = 1 AND pos < 100 AND length(term) <= 5)""",
         _TERMS,
     ),

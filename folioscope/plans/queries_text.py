@@ -332,7 +332,7 @@ def quote_moments(spark, d):
 
 
 _PLAIN = r"array_to_string(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+'), ' ')"
-_SHOWN = "CASE WHEN {w} <> '' AND contains({s}, {w}) THEN trim(title) ELSE '' END"
+_SHOWN = "CASE WHEN {w} <> '' AND contains({s}, {w}) THEN trim(title, E' \\t\\n\\r') ELSE '' END"
 
 
 @query(

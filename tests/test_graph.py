@@ -1,0 +1,240 @@
+from difflib import SequenceMatcher
+from datetime import date
+import random
+
+import pytest
+from conftest import page
+from pyspark.sql import functions as F
+
+from folioscope.functions import text as T
+from folioscope.operators import lint as H
+from folioscope.operators import names as N
+from folioscope.operators import pages as P
+from folioscope.operators import privacy as S
+from folioscope.operators import similar as Z
+
+
+def titles(df, column="title"):
+    return sorted(r[column] for r in df.collect())
+
+
+def test_resolving_references(spark, wiki):
+    pages = wiki(page(1, "Graph", aliases=["Grafo"]), page(2, "Graph", kind="sources"), page(3, "Deep Learning"))
+    refs = spark.createDataFrame([("[[graph]]",), ("GRAFO (concept)",), ("Deep learning: what it is",), ("nothing",)], "ref string")
+    got = {r.ref: r.found_kind for r in N.resolve_refs(refs, N.page_names(pages)).collect()}
+    assert got == {"[[graph]]": "sources", "GRAFO (concept)": "concepts", "Deep learning: what it is": "concepts", "nothing": None}
+
+
+def test_orphans_and_broken_links(wiki):
+    pages = wiki(
+        page(1, "A", body="[[B]] [[A]] [[Gone#x]] [[pic.png]]"), page(2, "B", aliases=["Bee"], body="x"), page(3, "C", aliases=["Sea"], body="[[bee|the bee]]"), page(4, "D", body="[[sea]]")
+    )
+    links = N.page_links(pages)
+    assert titles(H.orphans(pages, links)) == ["A", "D"]
+    assert titles(H.orphans(pages, links, use_aliases=False)) == ["A", "C", "D"]
+    files = pages.sparkSession.createDataFrame([("pic.png",)], "path string")
+    assert titles(H.broken_links(pages, links, attachments=files), "target") == ["Gone"]
+
+
+def test_mentions_match_brute_force(spark, wiki):
+    import re
+
+    rng = random.Random(5)
+    vocabulary = ["Red", "Redes", "red neuronal", "C++", "deep learning", "Atención", "grafo", "++--", "uso", "grafo-x"]
+    pages = [page(i, name, aliases=[name + "s"] if i % 2 else []) for i, name in enumerate(vocabulary)]
+    for i in range(40):
+        words = [rng.choice(vocabulary + ["the", "and", "Redes.", "RED NEURONAL", "[[grafo]]", "deep  learning"]) for _ in range(12)]
+        pages.append(page(100 + i, f"note {i}", kind="sources", body=" ".join(words)))
+    df = wiki(*pages)
+    got = {(r.host_id, r.target_id) for r in H.unlinked_mentions(df, N.page_links(df)).collect()}
+
+    def fold(s):
+        return T.fold_char(s).strip()
+
+    expected = set()
+    for t in pages[: len(vocabulary)]:
+        names = [n for n in [t["title"], *t["aliases"]] if len(fold(n)) >= 4]
+        for h in pages:
+            linked = {fold(x.strip()) for x in re.findall(r"\[\[([^\]|#]+)", h["body"])}
+            if h["page_id"] == t["page_id"] or linked & {fold(n) for n in [t["title"], *t["aliases"]]}:
+                continue
+            for n in names:
+                where, what = (fold(h["body"]), fold(n)) if " " in n else (h["body"], n)
+                if re.search(rf"(?<!\w){re.escape(what)}(?!\w)", where):
+                    expected.add((h["page_id"], t["page_id"]))
+    assert got == expected and expected
+
+
+def test_mentions_never_pair_every_page_with_every_name(wiki):
+    pages = wiki(page(1, "Graph theory"), page(2, "n", kind="sources", body="graph theory"))
+    plan = H.unlinked_mentions(pages, N.page_links(pages))._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize(
+    "a, b, same",
+    [
+        (("Agente",), ("Agentes",), True), (("Arnés", "harness"), ("Harness",), True), (("Atención",), ("Atencion",), True), (("Red",), ("Redes",), True),
+        (("IA",), ("Inteligencia artificial",), True), (("RAG",), ("Retrieval-Augmented Generation",), True),
+        (("Harness Interface",), ("Harness Mechanisms",), False), (("Reglas de oro",), ("Cocina italiana",), False),
+    ],
+)
+def test_near_duplicate_names(wiki, a, b, same):
+    pages = wiki(page(1, a[0], aliases=a[1:]), page(2, b[0], kind="entities", aliases=b[1:]))
+    assert (Z.near_duplicates(pages).count() == 1) is same
+
+
+def test_similar_titles_lose_no_pair(wiki):
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcdeé ") for _ in range(rng.randint(1, 24))).strip() or "x" for _ in range(60)]
+    names = set(base)
+    for word in base:
+        for _ in range(3):
+            w = list(word)
+            for _ in range(rng.randint(1, 2)):
+                at = rng.randrange(len(w) + 1)
+                w[at : at + rng.randint(0, 1)] = rng.choice([[], ["z"], ["a"]])
+            names.add("".join(w).strip() or "y")
+    rows = [page(i, n) for i, n in enumerate(sorted(names))]
+    got = {tuple(sorted((T.fold_char(r.first_title), T.fold_char(r.title)))) for r in Z.similar_title_pairs(wiki(*rows)).collect()}
+    folded = sorted({T.fold_char(n).strip() for n in names}, key=lambda s: (len(s), s))
+    want = set()
+    for i, a in enumerate(folded):
+        for b in folded[i + 1 :]:
+            if len(b) - len(a) <= 3 and SequenceMatcher(None, a, b).ratio() >= 0.88:
+                want.add(tuple(sorted((a, b))))
+    assert got == want and len(want) > 50
+
+
+def test_a_name_many_pages_share_is_listed_once_per_page(wiki):
+    groups = Z.key_groups(wiki(*[page(i, f"T{i}", aliases=["same name"]) for i in range(50)])).filter("key = 'same name'")
+    assert groups.count() == 50 and groups.first().n == 50
+
+
+def test_missing_concepts_and_fields(wiki):
+    body = "- **Grafo**: x\n- **Solo**: y"
+    pages = wiki(page(1, "s1", "sources", body), page(2, "s2", "sources", "- **grafo**: z"), page(3, "c", summary=""))
+    assert [(r.name, r.term, r.n_sources) for r in H.missing_concepts(pages).collect()] == [("grafo", "Grafo", 2)]
+    assert [(r.title, r.field) for r in H.missing_fields(pages).collect()] == [("c", "summary")]
+    with_page = pages.union(wiki(page(9, "Grafo")))
+    assert H.missing_concepts(with_page).count() == 0
+
+
+def test_lint_report_counts_what_it_does_not_show(wiki):
+    pages = wiki(*[page(i, f"completely different {chr(97 + i) * 9}", body="x") for i in range(6)])
+    findings = H.lint(pages, N.page_links(pages))
+    first, more = H.lint_report(findings, 4)
+    assert first.filter("kind = 'orphan'").count() == 4
+    assert more.filter("kind = 'orphan'").first().more == 2
+
+
+# ---------------------------------------------------------------------------------------- privacy
+
+
+def privacy_wiki(wiki):
+    section = lambda s: f"\n\n## From [[{s}]]\nSays {s}."
+    return wiki(
+        page(1, "mail", "sources", doc_kind="email"), page(2, "paper", "sources", doc_kind="article"),
+        page(3, "secret", sources=["mail"], body="# secret" + section("mail")),
+        page(4, "mixed", sources=["mail", "paper"], body="# mixed\n\n## Summary\nBoth." + section("mail") + section("paper")),
+        page(5, "answer", "syntheses", sources=["mail", "paper"]), page(6, "open", sources=["paper"], body="# open" + section("paper")),
+    )
+
+
+def test_taint(wiki):
+    pages = privacy_wiki(wiki)
+    sources, private = N.page_sources(pages), S.private_sources(pages)
+    assert titles(S.hidden_pages(pages, sources, private)) == ["answer", "mail", "secret"]
+    assert titles(S.touched_pages(pages, sources, private)) == ["answer", "mixed", "secret"]
+    bodies = {r.title: r.body for r in S.public_body(pages, private).collect()}
+    assert bodies["mixed"] == "# mixed\n\n## From [[paper]]\nSays paper." and "Summary" not in bodies["mixed"]
+    assert bodies["open"] == "# open\n\n## From [[paper]]\nSays paper."
+
+
+def test_links_and_files_from_mail_are_private(spark, wiki):
+    pages = wiki(page(1, "a", "sources", url="https://x.org/a/?utm_source=m"), page(2, "b", "sources", content_hash="h"), page(3, "c", "sources"))
+    links = spark.createDataFrame([("https://x.org/a",)], "target_norm string")
+    files = spark.createDataFrame([("h",)], "content_hash string")
+    assert titles(S.private_sources(pages, files, links)) == ["a", "b"]
+
+
+# ---------------------------------------------------------------------------------------- upserts
+
+EDITS = "seq long, pos long, kind string, title string, aliases array<string>, description string, source_title string, is_private boolean"
+
+
+def test_forget_a_source(wiki):
+    pages = privacy_wiki(wiki)
+    gone = pages.filter("title = 'mail'").select("title")
+    done = P.forget(pages, N.page_sources(pages), gone)
+    assert titles(done["deleted"]) == ["mail", "secret"]
+    left = {r.title: r for r in done["pages"].collect()}
+    assert left["mixed"].body == "# mixed\n\n## From [[paper]]\nSays paper."
+    assert set(left) == {"paper", "mixed", "answer", "open"}
+    assert done["sources"].filter("source = 'mail'").count() == 0
+
+
+def test_merge_concepts(spark, wiki):
+    pages = privacy_wiki(wiki)
+    rows = [
+        (1, 0, "concepts", "Open", ["opened", "mixed"], "A new view of it.", "paper2", False),
+        (1, 1, "concepts", "Fresh/New", ["F"], "First words.", "paper2", False),
+        (2, 0, "entities", "fresh new", ["G"], "Second words.", "paper3", False),
+        (2, 1, "concepts", "paper", [], "Clashes with a source.", "paper3", False),
+        (2, 2, "concepts", "2024-01-01", [], "A day.", "paper3", False),
+        (3, 0, "concepts", "secret", [], "Now public.", "paper4", False),
+    ]
+    done = P.merge_concepts(pages, N.page_sources(pages), spark.createDataFrame(rows, EDITS), S.private_sources(pages), date(2024, 5, 1))
+    got = {r.title: r for r in done["upserts"].collect()}
+    assert set(got) == {"open", "Fresh New", "secret"}
+    assert got["open"].aliases == ["opened"] and got["open"].summary == "s" and not got["open"].created
+    assert got["Fresh New"].aliases == ["F", "G"] and got["Fresh New"].summary == "First words." and got["Fresh New"].kind == "concepts"
+    assert got["secret"].summary == "Now public."
+    assert titles(done["dropped"]) == ["2024-01-01", "paper"]
+    assert done["sections"].count() == 4
+    applied = P.apply_upserts(pages, done["upserts"])
+    assert applied.count() == 7 and applied.filter("title = 'Fresh New'").first().path == "concepts/Fresh New.md"
+
+
+def test_titles_and_slugs_are_unique(spark, wiki):
+    pages = wiki(page(1, "Graph"), page(2, "Note", "sources", url="https://a/1"), page(3, "Note (2)", "sources"))
+    new = spark.createDataFrame(
+        [(1, "Graph", None, 1), (2, "graph", None, 2), (3, "Note", "https://a/1", 3), (4, "Note", "https://a/2", 4), (5, "Index", None, 5)],
+        "doc_id long, title string, url string, seq long",
+    )
+    got = {r.doc_id: r.file_title for r in P.assign_titles(new, pages).collect()}
+    assert got == {1: "Graph (source)", 2: "graph (source) (2)", 3: "Note", 4: "Note (3)", 5: "Index (source)"}
+    rows = [page(i, t, "sources") for i, t in enumerate(["Foo", "Foo!", "foo?", "Foo 2", "Bar"])]
+    for i, r in enumerate(rows):
+        r["path"] = f"{i}"
+    slugs = [r.slug for r in P.assign_slugs(wiki(*rows)).collect()]
+    assert len(set(slugs)) == 5 and {"foo", "foo-2", "bar"} <= set(slugs)
+
+
+def test_due_pages(wiki):
+    pages = wiki(
+        page(1, "two", sources="ab"), page(2, "three", sources="abc"), page(3, "again", sources="abcde", summary_sources=3), page(4, "soon", sources="abcd", summary_sources=3)
+    )
+    assert titles(P.due_pages(pages)) == ["again", "three"]
+    assert titles(P.due_pages(pages, N.page_sources(pages), manual=True)) == ["again", "soon", "three", "two"]
+    assert titles(P.due_pages(pages, words=["TWO"])) == ["two"]
+
+
+def test_contradictions_stay_on_their_side(spark, wiki):
+    pages = privacy_wiki(wiki)
+    hidden = S.hidden_pages(pages, N.page_sources(pages), S.private_sources(pages))
+    plans = spark.createDataFrame(
+        [("p", False, 0, "open", "n"), ("p", False, 1, "secret", "n"), ("m", True, 0, "secret", "n"), ("p", False, 2, "nowhere", "n")],
+        "source_title string, is_private boolean, pos int, page string, note string",
+    )
+    done = P.annotate_contradictions(pages, plans, hidden, date(2024, 1, 1))
+    assert sorted((r.source_title, r.title) for r in done["callouts"].collect()) == [("m", "secret"), ("p", "open")]
+    assert done["dropped"].count() == 2
+
+
+def test_answers_become_pages(spark, wiki):
+    pages = wiki(page(1, "What is it"))
+    rows = [(1, "¿What is it?", "", "o", "t", ["A"], True), (2, "Who?", "", "o", "t", ["A"], True), (3, "who", "", "o", "t", ["A"], True), (4, "no", "", "o", "t", [], False)]
+    answers = spark.createDataFrame(rows, "answer_id long, question string, title string, one_liner string, text string, citations array<string>, grounded boolean")
+    got = {r.answer_id: r.title for r in P.file_answers(answers, pages, date(2024, 1, 1)).collect()}
+    assert got == {1: "What is it (synthesis)", 2: "Who", 3: "who (2)"}
