@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as T
 from folioscope.functions import values as V
 from folioscope.functions.language import every_label
+from folioscope.operators.common import computed
 
 REFERENCES = r"(?im)^[#*\s]*(?:references|referencias|bibliography|bibliografía)[\s*:]*$"
 STRINGS = "array<string>"
@@ -119,7 +120,7 @@ def sections_of(c) -> Column:
 def page_sections(pages: DataFrame, keep: int = 12, evidence_chars: int = 6000) -> DataFrame:
     """The last `keep` sections of each page, with the share of the evidence each may show."""
     kept = F.slice(F.col("s"), F.greatest(F.size("s") - keep + 1, F.lit(1)), keep)
-    found = pages.select("page_id", "title", sections_of("body").alias("s")).filter(F.size("s") > 0)
+    found = computed(pages.select("page_id", "title", "body"), s=sections_of("body")).filter(F.size("s") > 0)
     rows = found.select("page_id", "title", F.size(kept).alias("n"), F.posexplode(kept).alias("pos", "x"))
     share = F.floor(F.lit(evidence_chars) / F.col("n")).cast("int")
     return rows.select(

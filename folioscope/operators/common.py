@@ -28,6 +28,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """`df` with costly columns worked out once per row.
+
+    A plain column is copied into every later filter and projection that reads it; the output of a
+    generator is not, and a filter on it stays above.
+    """
+    one = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(one))
+
+
 def ordered_scan(
     df: DataFrame, order: list[str], groups: list[str] | None = None, sums: dict[str, str] | None = None
 ) -> DataFrame:

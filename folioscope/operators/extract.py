@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import site_rules as R
 from folioscope.functions import text as T
 from folioscope.functions import urls as U
+from folioscope.operators.common import computed
 
 MIN_ARTICLE_CHARS = 200
 MIN_CLIP_CHARS = 40
@@ -53,7 +54,7 @@ def html_title(html) -> Column:
 
 def extract_html(pages: DataFrame) -> DataFrame:
     """Articles of web pages: (page_id, url, title, text, kind); under 200 characters is no article."""
-    read = pages.select("page_id", "url", html_title("html").alias("t"), html_text("html").alias("text"))
+    read = computed(pages.select("page_id", "url", "html"), t=html_title("html"), text=html_text("html"))
     return read.filter(F.length("text") >= MIN_ARTICLE_CHARS).select(
         "page_id", "url", F.when(F.col("t") == "", F.col("url")).otherwise(F.col("t")).alias("title"), "text",
         F.lit("article").alias("kind"),
@@ -284,8 +285,8 @@ def strip_chrome(docs: DataFrame, rules: dict | None = None) -> DataFrame:
     by_host = F.filter(every, lambda x: F.col("url").rlike("^https?://") & F.regexp_like(U.host("url"), x["hosts"]))
     by_footer = F.filter(every, lambda x: F.regexp_like("text", x["signature"]))
     rule = F.get(F.when(has_url, by_host).otherwise(by_footer), F.lit(0))
-    sited = docs.withColumn("_rule", rule)
-    done = sited.withColumn("_c", F.when(F.col("_rule").isNotNull(), _stripped(F.col("text"), F.col("_rule"))))
+    sited = computed(docs, _rule=rule)
+    done = computed(sited, _c=F.when(F.col("_rule").isNotNull(), _stripped(F.col("text"), F.col("_rule"))))
     return done.withColumn("stripped_lines", F.coalesce(F.col("_c.removed"), F.lit(0)).cast("long")).withColumn(
         "text", F.coalesce(F.col("_c.text"), F.col("text"))
     ).drop("_c", "_rule")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as T
 from folioscope.functions import urls as U
 from folioscope.functions import values as V
-from folioscope.operators.common import first_by, top_k
+from folioscope.operators.common import computed, first_by, top_k
 from folioscope.operators.names import resolve_refs
 
 
@@ -138,7 +138,7 @@ def validate_plans(raw: DataFrame) -> DataFrame:
 
     Over-long lists are cut, never refused; what a list item or a field lacks is an error.
     """
-    parsed = raw.withColumn("p", F.from_json("raw_json", PLAN_SCHEMA))
+    parsed = computed(raw, p=F.from_json("raw_json", PLAN_SCHEMA))
     empty = F.lit("[]")
     fields = {}
     for name in ("title", "summary", "abstract"):
@@ -149,10 +149,10 @@ def validate_plans(raw: DataFrame) -> DataFrame:
     types = {f.name: f.dataType.simpleString() for f in parsed.schema["p"].dataType.fields}
     for name, most in CLAMPS.items():
         fields[name] = F.slice(F.coalesce(F.col(f"p.{name}"), F.from_json(empty, types[name])), 1, most)
-    built = parsed.select(
-        "doc_id", F.col("p").isNotNull().alias("_json"), F.col("p.key_points").isNotNull().alias("_points"),
-        F.struct(*[fields[f].alias(f) for f in types]).alias("plan"), repaired.alias("repaired"),
-    )
+    plan = F.struct(*[fields[f].alias(f) for f in types])
+    built = computed(
+        parsed, _json=F.col("p").isNotNull(), _points=F.col("p.key_points").isNotNull(), plan=plan, repaired=repaired
+    ).select("doc_id", "_json", "_points", "plan", "repaired")
 
     def short(name, least):
         return F.when(F.coalesce(F.length(F.col(f"plan.{name}")), F.lit(0)) < least, F.lit(f"{name}: too short"))
@@ -178,7 +178,8 @@ def validate_plans(raw: DataFrame) -> DataFrame:
         items("contradictions", lambda c: F.length(c["note"]) >= 5, "bad item"),
     ]
     errors = F.array_compact(F.array(*checks))
-    return built.select("doc_id", "plan", "repaired", errors.alias("errors"), (F.size(errors) == 0).alias("valid"))
+    checked = computed(built, errors=errors)
+    return checked.select("doc_id", "plan", "repaired", "errors", (F.size("errors") == 0).alias("valid"))
 
 
 def links_to_follow(plans: DataFrame, docs: DataFrame, most: int = 3) -> DataFrame:
@@ -228,9 +229,9 @@ def scrub(texts: DataFrame, names: DataFrame, hidden: DataFrame | None = None, t
         return T.let(F.transform(T.find_all(c, MD_LINK), lambda m: F.struct(m.alias("m"))), parts)
 
     clean = texts.withColumn("_t", T.sanitize_text(text)).withColumn("_k", F.coalesce(known, F.lit("")))
-    clean = clean.withColumn("_md", links(F.col("_t"), F.col("_k")))
+    clean = computed(clean, _md=links(F.col("_t"), F.col("_k")))
     swapped = _rebuilt(F.col("_t"), MD_LINK, lambda i: F.when(F.get("_md", i)["ok"], F.get("_md", i)["m"]).otherwise(F.get("_md", i)["w"]))
-    clean = clean.withColumn("_t2", swapped).withColumn("_cut1", F.size(F.filter("_md", lambda m: ~m["ok"])))
+    clean = computed(clean, _t2=swapped, _cut1=F.size(F.filter("_md", lambda m: ~m["ok"])))
 
     target = lambda m: T.strip(F.regexp_extract(F.regexp_extract(m, WIKILINK, 1), r"^([^#|]*)", 1))
     wanted = clean.select("row_id", F.explode(F.array_distinct(F.transform(T.find_all("_t2", WIKILINK), target))).alias("ref"))
@@ -246,7 +247,8 @@ def scrub(texts: DataFrame, names: DataFrame, hidden: DataFrame | None = None, t
         ok = F.coalesce(F.array_contains("_ok", target(m)), F.lit(False))
         return F.when(ok, m).otherwise(F.when(words != "", words).otherwise(target(m)))
 
-    joined = joined.withColumn("_t3", _rebuilt(F.col("_t2"), WIKILINK, wikilink)).withColumn("_a", T.find_all("_t3", ADDRESS))
+    joined = computed(joined, _t3=_rebuilt(F.col("_t2"), WIKILINK, wikilink))
+    joined = computed(joined, _a=T.find_all("_t3", ADDRESS))
     stays = lambda a: F.col("_k").contains(F.rtrim(a, F.lit(".,;:!?")))
     final = _rebuilt(F.col("_t3"), ADDRESS, lambda i: F.when(stays(F.get("_a", i)), F.get("_a", i)).otherwise(F.lit("")))
     cut2 = F.size(F.filter("_a", lambda a: ~stays(a)))

@@ -18,7 +18,13 @@ _CACHE: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """A given table. A file too small to fill the cores (one row group is one task, however many
+    splits are planned) is dealt out to them; a table of many files is read as it lies."""
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("documents", "pages", "conversations") and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def shared(spark: SparkSession, d: str, name: str, build) -> DataFrame:

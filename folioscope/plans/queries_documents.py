@@ -13,6 +13,7 @@ from folioscope.operators import layout as Y
 from folioscope.operators import mail as M
 from folioscope.operators import notes as N
 from folioscope.operators import pages as P
+from folioscope.operators.common import computed
 from folioscope.operators.runs import spread_sample
 from folioscope.plans.corpus import (
     doc_words, first_sentence, flatten, fold, table, wiki_pages, wiki_sources, with_keywords, with_wiki,
@@ -158,7 +159,7 @@ def cut_references(spark, d):
 )
 def chunk_invariants(spark, d):
     """Every chunk fits, and together they hold every letter of the source."""
-    pieces = _docs(spark, d).select("doc_id", C.chunks_of("text", 1000, "\n").alias("chunks")).filter(F.size("chunks") > 0)
+    pieces = computed(_docs(spark, d).select("doc_id", "text"), chunks=C.chunks_of("text", 1000, "\n")).filter(F.size("chunks") > 0)
     letters = F.regexp_replace(F.array_join("chunks", ""), r"\s", "")
     return pieces.select(
         "doc_id", F.forall("chunks", lambda c: F.length(c) <= 1000).alias("fits"),
@@ -193,7 +194,7 @@ def embed_units(spark, d):
 def halves(spark, d):
     """A text cut in two keeps every letter, and the cut is near the middle."""
     docs = _docs(spark, d).filter((F.length("text") > 400) & F.col("text").rlike(r"\s"))
-    cut = docs.select("doc_id", F.length("text").alias("n"), C.halves("text").alias("h"))
+    cut = computed(docs.select("doc_id", F.length("text").alias("n"), "text"), h=C.halves("text"))
     return cut.select(
         "doc_id", F.md5(F.regexp_replace(F.array_join("h", ""), r"\s", "")).alias("letters"),
         (F.abs(F.length(F.get("h", F.lit(0))) - F.col("n") / 2) < F.col("n") / 2).alias("balanced"),

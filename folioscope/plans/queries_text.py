@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import language as L
 from folioscope.functions import text as T
 from folioscope.functions import urls as U
+from folioscope.operators.common import computed
 from folioscope.plans.corpus import ENDINGS, STOPWORDS, first_sentence, flat, flatten, fold, stem, table, with_keywords
 from folioscope.plans.registry import query
 
@@ -22,7 +23,7 @@ def _docs(spark, d):
     ),
 )
 def keywords(spark, d):
-    rows = _docs(spark, d).select("doc_id", T.keywords("text", 20).alias("w")).filter(F.size("w") > 0)
+    rows = computed(_docs(spark, d).select("doc_id", "text"), w=T.keywords("text", 20)).filter(F.size("w") > 0)
     return rows.select("doc_id", F.array_join("w", " ").alias("words"))
 
 
