@@ -10,11 +10,10 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession
 
 HEADLINES = [
-    "keywords", "fold_and_flat", "normalize_urls", "language_check", "extract_html", "strip_chrome", "chunk_invariants", "drop_group_lines",
-    "exact_dups", "dedup_captures", "bm25_from_text", "bm25", "dense_search", "rank_fusion", "evaluate_retrieval", "resolve_refs", "orphans",
-    "broken_links", "unlinked_mentions", "name_key_groups", "similar_title_pairs", "missing_concepts", "hidden_pages", "public_bodies",
-    "forget_sources", "merge_concepts", "verified_quotes", "answer_claims", "answer_support", "merge_notes", "reduce_notes", "catalogue",
-    "daily_stats", "assign_slugs", "queue_state", "budget_cutoff", "runs_by_ops_day", "model_summary", "stream_dedup", "stream_ops_day",
+    "keywords", "fold_and_flat", "normalize_urls", "extract_html", "strip_chrome", "chunk_invariants", "drop_group_lines", "exact_dups",
+    "dedup_captures", "bm25_from_text", "dense_search", "resolve_refs", "orphans", "broken_links", "unlinked_mentions",
+    "similar_title_pairs", "hidden_pages", "forget_sources", "merge_concepts", "answer_support", "merge_notes", "catalogue",
+    "queue_state", "budget_cutoff", "model_summary", "stream_dedup",
 ]
 
 

@@ -138,7 +138,7 @@ def validate_plans(raw: DataFrame) -> DataFrame:
 
     Over-long lists are cut, never refused; what a list item or a field lacks is an error.
     """
-    parsed = computed(raw, p=F.from_json("raw_json", PLAN_SCHEMA))
+    parsed = computed(raw, p=F.from_json("raw_json", PLAN_SCHEMA + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}))
     empty = F.lit("[]")
     fields = {}
     for name in ("title", "summary", "abstract"):
@@ -146,12 +146,12 @@ def validate_plans(raw: DataFrame) -> DataFrame:
     fields["abstract"] = F.coalesce(fields["abstract"], F.lit(""))
     one, repaired = _repaired_one_liner(F.col("p.one_liner"), F.col("p.title"), F.col("p.summary"))
     fields["one_liner"] = one
-    types = {f.name: f.dataType.simpleString() for f in parsed.schema["p"].dataType.fields}
+    types = {f.name: f.dataType.simpleString() for f in parsed.schema["p"].dataType.fields if f.name != "_bad"}
     for name, most in CLAMPS.items():
         fields[name] = F.slice(F.coalesce(F.col(f"p.{name}"), F.from_json(empty, types[name])), 1, most)
     plan = F.struct(*[fields[f].alias(f) for f in types])
     built = computed(
-        parsed, _json=F.col("p").isNotNull(), _points=F.col("p.key_points").isNotNull(), plan=plan, repaired=repaired
+        parsed, _json=F.col("p").isNotNull() & F.col("p._bad").isNull(), _points=F.col("p.key_points").isNotNull(), plan=plan, repaired=repaired
     ).select("doc_id", "_json", "_points", "plan", "repaired")
 
     def short(name, least):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.functions import values as V
-from folioscope.operators.common import top_k
+from folioscope.operators.common import durable, top_k
 
 MAX_BROADCAST_QUERY_CELLS = 4_000_000  # query vectors x dimensions sent to every task (16 MB)
 QUERY_BLOCK = 2048
@@ -20,8 +20,12 @@ QUERY_BLOCK = 2048
 # ----------------------------------------------------------------------------------- keywords
 
 
-def postings(pages: DataFrame) -> DataFrame:
-    """(term, page_id, tf_title, tf_alias, tf_body, page_len): counted inside each page's row."""
+def postings(pages: DataFrame, mark_pages: bool = False) -> DataFrame:
+    """(term, page_id, tf_title, tf_alias, tf_body, page_len): counted inside each page's row.
+
+    `mark_pages` adds one row with an empty term per page, so that pages and lengths can be counted
+    from the same pass over the text.
+    """
 
     def tagged(column, field):
         return F.transform(T.index_tokens(column), lambda t: F.struct(t.alias("t"), F.lit(field).alias("f")))
@@ -50,9 +54,11 @@ def postings(pages: DataFrame) -> DataFrame:
                 ),
             )
 
-        return T.let(
+        counted = T.let(
             heads, lambda hs: F.transform(hs, lambda h, i: entry(h, F.coalesce(F.get(hs, i + 1)["at"], F.size(rows))))
         )
+        mark = F.struct(F.lit("").alias("term"), *[F.lit(0).alias(n) for n in ("tf_title", "tf_alias", "tf_body")])
+        return F.concat(counted, F.array(mark)) if mark_pages else counted
 
     rows = pages.select(
         "page_id",
@@ -83,16 +89,25 @@ def corpus_size(pages: DataFrame) -> tuple[int, float]:
 
 
 def bm25(
-    queries: DataFrame, index: DataFrame, k: int, size: tuple[int, float] | None = None, pages: DataFrame | None = None
+    queries: DataFrame, index: DataFrame | None, k: int, size: tuple[int, float] | None = None, pages: DataFrame | None = None
 ) -> DataFrame:
     """Top k pages per query by BM25: (query_id, page_id, score, rank); ties go to the lower page.
 
-    Only postings of query words are shuffled, once, by page: the term counts and the scores both
-    read that exchange, and summing per (query, page) needs no further one.
+    With a stored `index` and its `size` (pages, mean length), only postings of query words are
+    read on. With `pages` instead, the text is tokenized once: what the query words hit is written
+    down, and the counts and the scores both read that.
     """
-    n_pages, mean_len = size if size else corpus_size(pages)
     asked = queries.select("query_id", F.explode("words").alias("term")).distinct()
-    hits = index.join(asked.select("term").distinct(), "term", "left_semi").repartition("page_id")
+    if size is None:
+        mark = asked.sparkSession.createDataFrame([("",)], "term string")
+        words = asked.select("term").unionByName(mark).distinct()
+        kept = durable(postings(pages, mark_pages=True).join(words, "term", "left_semi"))
+        whole = kept.filter("term = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("page_len").alias("mean")).first()
+        n_pages, mean_len = whole["n"], whole["mean"] or 0.0
+        hits = kept.filter("term <> ''")
+    else:
+        n_pages, mean_len = size
+        hits = index.join(asked.select("term").distinct(), "term", "left_semi")
     spread = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.lit(float(n_pages)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = spread.select("term", F.when(idf <= 0, F.lit(V.BM25_MIN_IDF)).otherwise(idf).alias("idf"))

@@ -136,7 +136,7 @@ def ask_batch(
         public = S.public_body(pages, private).select("page_id", F.col("body").alias("_public"))
         shown = pages.join(hidden.select("page_id"), "page_id", "left_anti").join(public, "page_id", "left").withColumn("body", F.coalesce("_public", "body")).drop("_public")
     asked = SE.query_terms(inputs["questions"], extra="extra" if "extra" in inputs["questions"].columns else None)
-    found = durable(SE.bm25(asked, SE.postings(shown), k, pages=shown).select("query_id", "page_id", "rank"))
+    found = durable(SE.bm25(asked, None, k, pages=shown).select("query_id", "page_id", "rank"))
     context = shown.select("page_id", "title", C.page_context("body", budget).alias("context"))
     blocks = found.join(context, "page_id").groupBy("query_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "title", "context"))), lambda x: F.concat(F.lit("<page title=\""), x["title"], F.lit("\">\n"), T.fence_safe(x["context"]), F.lit("\n</page>"))), "\n").alias("user")
@@ -185,7 +185,7 @@ def evaluate_retrieval(spark: SparkSession, inputs: Tables, *, k: int = 6) -> Ta
     """`inputs`: golden(query_id, question, expect), pages."""
     pages = inputs["pages"]
     asked = SE.query_terms(inputs["golden"])
-    found = SE.bm25(asked, SE.postings(pages), k, pages=pages)
+    found = SE.bm25(asked, None, k, pages=pages)
     titled = found.join(pages.select("page_id", "title"), "page_id").select("query_id", "title", "rank")
     cases, totals = SE.evaluate(inputs["golden"], titled, k)
     return {"cases": cases, "totals": totals}

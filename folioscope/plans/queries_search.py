@@ -91,8 +91,7 @@ def bm25(spark, d):
 @query("bm25_from_text", f"WITH {_BM25} SELECT query_id, page_id, rank FROM keyword WHERE rank <= {K}")
 def bm25_from_text(spark, d):
     """The same search with no stored index: pages are tokenized as they are read."""
-    pages = search_pages(spark, d)
-    return S.bm25(question_terms(spark, d), S.postings(pages), K, pages=pages).select("query_id", "page_id", "rank")
+    return S.bm25(question_terms(spark, d), None, K, pages=search_pages(spark, d)).select("query_id", "page_id", "rank")
 
 
 # ------------------------------------------------------------------------------------------ dense

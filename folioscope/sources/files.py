@@ -82,7 +82,7 @@ def parse_pages(files: DataFrame) -> DataFrame:
 
 def read_pages(spark: SparkSession, path: str, kinds: tuple[str, ...] = V.PAGE_KINDS) -> DataFrame:
     """The Markdown pages under `path/<kind>/*.md`, one row per file."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path)
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     files = raw.select(F.regexp_replace(F.input_file_name(), "^file:/+", "/").alias("path"), F.col("value").alias("content"))
     return parse_pages(files).filter(F.col("kind").isin(*kinds))
 
