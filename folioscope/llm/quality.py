@@ -14,8 +14,8 @@ RULES = (
     ("few_words", "n_words", ">=", 50),
     ("word_too_short", "mean_word_chars", ">=", 2.0),
     ("word_too_long", "mean_word_chars", "<=", 14.0),
-    ("symbols", "symbol_ratio", "<=", 0.1),
-    ("repeated_lines", "dup_line_ratio", "<=", 0.3),
+    ("symbols", "symbol_ratio", "<=", 0.05),
+    ("repeated_lines", "dup_line_ratio", "<=", 0.5),
     ("repeated_words", "repeat_ratio", "<=", 0.5),
     ("stop_words", "n_stop_words", ">=", 2),
     ("bullets", "bullet_ratio", "<=", 0.9),
