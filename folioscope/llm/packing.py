@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_worker, stored  # noqa: F401
+from .common import stored
 from .token_ids import ids_column
 
 LENGTH, OPEN_WINDOWS, END_ID = 2048, 64, 1
@@ -135,15 +135,17 @@ def pack_ids(tokens: DataFrame, length: int = LENGTH, windows: int = OPEN_WINDOW
         for doc, start, total, ids in zip(pdf["doc_id"], pdf["start"], pdf["doc_tokens"], pdf["ids"], strict=True):
             yield (None if pd.isna(doc) else int(doc), int(start), int(total), bytes(ids))
 
-    parts = max(1, tokens.rdd.getNumPartitions())
-    level, now = 0, tokens.select("doc_id", "ids").mapInPandas(_pack_partition(whole, length, windows, parts == 1, 0), PIECE)
+    level, last = 0, False
+    now = tokens.select("doc_id", "ids").mapInPandas(_pack_partition(whole, length, windows, last, level), PIECE)
     now = stored(now.withColumn("part", F.spark_partition_id()), "packing-0")
     full = [now.filter("closed")]
-    while parts > 1:
-        parts, level = -(-parts // merge), level + 1
+    while not last:
         open_ = now.filter("not closed").withColumn("part", F.floor(F.col("part") / merge).cast("int"))
-        dealt = open_.repartitionByRange(parts, "part").sortWithinPartitions("part", "doc_id", "start") if parts > 1 else open_.coalesce(1).sortWithinPartitions("doc_id", "start")
-        now = stored(dealt.mapInPandas(_pack_partition(again, length, windows, parts == 1, level), PIECE).withColumn("part", F.spark_partition_id()), f"packing-{level}")
+        parts, level = (open_.agg(F.max("part")).first()[0] or 0) + 1, level + 1
+        last = parts == 1
+        dealt = open_.repartition(1) if last else open_.repartitionByRange(parts, "part")
+        packed = dealt.sortWithinPartitions("part", "doc_id", "start").mapInPandas(_pack_partition(again, length, windows, last, level), PIECE)
+        now = stored(packed.withColumn("part", F.spark_partition_id()), f"packing-{level}")
         full.append(now.filter("closed"))
     out = full[0]
     for more in full[1:]:
