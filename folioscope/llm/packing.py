@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .token_ids import ids_column
+from .token_ids import encoded
 
 LENGTH, OPEN_WINDOWS, END_ID = 2048, 64, 1
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence long, offset long, ids binary, closed boolean"
@@ -117,26 +117,20 @@ def _pack_partition(read, length: int, windows: int, last: bool, level: int):
     return run
 
 
-def pack_ids(tokens: DataFrame, length: int = LENGTH, windows: int = OPEN_WINDOWS, merge: int = 32) -> DataFrame:
-    """Pack rows (doc_id, ids: unsigned 16-bit binary, end id included). Returns pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
+def pack_rows(rows: DataFrame, read, length: int = LENGTH, windows: int = OPEN_WINDOWS, merge: int = 32) -> DataFrame:
+    """Pack the pieces that `read` makes of each batch of `rows`: (document, 0, number of its ids, its ids as unsigned 32-bit bytes).
 
     Every partition keeps `windows` open windows, whatever its size. What is left open at the end of `merge` partitions is packed by one
     task of the next level, until one task has the rest, which it cuts into powers of two. A level hands on at most `windows` windows a
     task, so no task gathers more than `merge` x `windows` of them.
     """
-    def whole(pdf):
-        import numpy as np
-
-        for doc, ids in zip(pdf["doc_id"], pdf["ids"], strict=True):
-            wide = np.frombuffer(ids, "<u2").astype("<u4").tobytes()
-            yield (None if pd.isna(doc) else int(doc), 0, len(wide) // 4, wide)
 
     def again(pdf):
         for doc, start, total, ids in zip(pdf["doc_id"], pdf["start"], pdf["doc_tokens"], pdf["ids"], strict=True):
             yield (None if pd.isna(doc) else int(doc), int(start), int(total), bytes(ids))
 
     level, last = 0, False
-    now = tokens.select("doc_id", "ids").mapInPandas(_pack_partition(whole, length, windows, last, level), PIECE)
+    now = rows.mapInPandas(_pack_partition(read, length, windows, last, level), PIECE)
     now = stored(now.withColumn("part", F.spark_partition_id()), "packing-0")
     full = [now.filter("closed")]
     while not last:
@@ -159,6 +153,13 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: in
     A null or empty text is its end id alone. Rows that repeat an id or a text are documents of their own. All sequences are full but the
     last few of the last level, whose sizes are powers of two, so nothing is padded. Other columns don't matter.
     """
-    end = F.lit(end_id.to_bytes(2, "little"))
-    tokens = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.concat(ids_column(F.col(text), path), end).alias("ids"))
-    return pack_ids(tokens, length, windows)
+    end = end_id.to_bytes(2, "little")
+
+    def read(pdf):
+        import numpy as np
+
+        for doc, ids in zip(pdf["doc_id"], encoded(pdf["text"], path), strict=True):
+            wide = np.frombuffer(ids + end, "<u2").astype("<u4").tobytes()
+            yield (None if pd.isna(doc) else int(doc), 0, len(wide) // 4, wide)
+
+    return pack_rows(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), read, length, windows)

@@ -4,15 +4,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from .common import per_worker
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Chunks a worker remembers; when there are more it forgets them all, which costs time only.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 #: A chunk ends before a single space that a character follows. No pre-token of the byte-level pattern reaches over such a place.
 _CHUNK = re.compile(r" (?=\S)")
 
@@ -29,6 +25,9 @@ class ChunkEncoder:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = iter(range(256, 512))
+        self.letters = {b: chr(b) if b in printable else chr(next(others)) for b in range(256)}
         self.ends = {p: self._ids([p])[0] for p in ".,"}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -37,10 +36,18 @@ class ChunkEncoder:
         return [array("H", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: set[str]) -> None:
-        """A word and one mark of punctuation after it are two pre-tokens: such chunks are put together from those of the word."""
+        """A chunk of letters is one pre-token: the library's model gets it as it is. A word and one mark of punctuation after it are two."""
+        from array import array
+
         ended = {c for c in chunks if c[-1:] in self.ends and c[:-1].isalpha()}
-        whole = [c for c in (chunks - ended) | {c[:-1] for c in ended} if c not in self.known]
-        self.known.update(zip(whole, self._ids([" " + c for c in whole]), strict=True))
+        whole = {c for c in (chunks - ended) | {c[:-1] for c in ended} if c not in self.known}
+        words = [c for c in whole if c.isalpha()]
+        split = self.library.model.tokenize
+        for c in words:
+            shown = "\u0120" + c if c.isascii() else (" " + c).encode().decode("latin-1").translate(self.letters)
+            self.known[c] = array("H", [t.id for t in split(shown)]).tobytes()
+        other = list(whole.difference(words))
+        self.known.update(zip(other, self._ids([" " + c for c in other]), strict=True))
         self.known.update((c, self.known[c[:-1]] + self.ends[c[-1]]) for c in ended)
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -67,16 +74,14 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def ids_column(text: Column, path: str | None = None) -> Column:
-    """Binary column: the ids of the whole text (null: empty) as unsigned 16-bit numbers. The vocabulary must have at most 65,536 entries."""
+def encoder(path: str | None = None) -> ChunkEncoder:
+    """The encoder of this Python worker, with what it remembers from earlier tasks. The vocabulary must have at most 65,536 entries."""
     where = path or tokenizer_path()
+    return per_worker(f"tokenizer-{where}", lambda: ChunkEncoder(where))
 
-    @F.pandas_udf("binary")
-    def ids(texts: pd.Series) -> pd.Series:
-        encoder = per_worker(f"tokenizer-{where}", lambda: ChunkEncoder(where))
-        out: list[bytes] = []
-        for i in range(0, len(texts), 256):
-            out += encoder.encode([t or "" for t in texts.iloc[i : i + 256]])
-        return pd.Series(out)
 
-    return ids(text)
+def encoded(texts, path: str | None = None, at_once: int = 256):
+    """Yields the ids of each whole text of a sequence, in order (null: none), as unsigned 16-bit numbers in bytes."""
+    known, texts = encoder(path), list(texts)
+    for i in range(0, len(texts), at_once):
+        yield from known.encode([t or "" for t in texts[i : i + at_once]])
