@@ -39,14 +39,14 @@ def write_file(uri: str, data: bytes) -> None:
     system, path = file_system(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
     attempt = f"{path}.{uuid.uuid4().hex}.tmp"
-    with system.open_output_stream(attempt) as out:
+    with system.open_output_stream(attempt, compression=None) as out:
         out.write(data)
     system.move(attempt, path)
 
 
 def read_file(uri: str) -> bytes:
     system, path = file_system(uri)
-    with system.open_input_stream(path) as source:
+    with system.open_input_stream(path, compression=None) as source:
         return source.read()
 
 
