@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, sharding
+from . import bpe, packing, rangecoder, sharding
 from .registry import query, table
 
 
@@ -22,3 +22,8 @@ def sharded(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_bpe")
 def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents"), ["doc_id"], digests=True)
+
+
+@query("op3_token_files")
+def token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return rangecoder.round_trip(table(spark, folder, "documents"))
