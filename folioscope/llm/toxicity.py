@@ -74,7 +74,7 @@ def gram_rows(batches, groups: tuple[int, ...]):
                     held = counts[g]
                     for w in words_of(text):
                         held[w] = held.get(w, 0) + 1
-            if sum(map(len, counts.values())) > 500_000:  # bounded memory: hand out what there is; sums follow in Spark
+            if sum(map(len, counts.values())) > 100_000:  # bounded memory: hand out what there is; sums follow in Spark
                 yield from _gram_frames(counts)
                 counts = {g: {} for g in groups}
     yield from _gram_frames(counts)
@@ -169,11 +169,11 @@ def word_scores(words: list[str], model: Model) -> np.ndarray:
 def _features(texts: pd.Series, model: Model, cache: dict[str, float]) -> pd.DataFrame:
     split = [words_of(t) for t in texts]
     new = list({w for ws in split for w in ws if w not in cache})
-    if len(cache) + len(new) > 1_000_000:  # bounded memory: forgetting only costs time
+    if len(cache) + len(new) > 400_000:  # bounded memory: forgetting only costs time
         cache.clear()
         new = list({w for ws in split for w in ws})
-    for i in range(0, len(new), 50_000):
-        part = new[i : i + 50_000]
+    for i in range(0, len(new), 20_000):
+        part = new[i : i + 20_000]
         cache.update(zip(part, word_scores(part, model).tolist(), strict=True))
     rows = []
     for ws in split:
