@@ -28,7 +28,7 @@ from .common import read_file, shared_folder, stored, write_file
 from .token_ids import encoded
 
 BLOCK, LANES, END_ID = 4096, 2048, 0
-MAGIC, HEAD = b"FSTC0001", struct.Struct("<8sIIQQ")
+MAGIC, HEAD = b"FSTC0001", "<8sIIQQ"
 MANIFEST = "path string, part int, seq int, n_docs long, n_ids long"
 
 _BITS, _ONE = 15, 1 << 15  # of probabilities
@@ -293,16 +293,16 @@ def file_bytes(docs: list[tuple[int | None, bytes]], block: int = BLOCK) -> byte
     index = np.array([0 if d is None else d for d, _ in docs], "<i8").tobytes() + np.array([d is None for d, _ in docs], "u1").tobytes()
     index += np.array([len(raw) // 2 for _, raw in docs], "<u4").tobytes() + np.array([(n, len(code), crc) for n, crc, code in blocks], "<u4").tobytes()
     packed = zlib.compress(index, 6)
-    head = HEAD.pack(MAGIC, len(docs), len(blocks), len(packed), zlib.crc32(packed))
+    head = struct.pack(HEAD, MAGIC, len(docs), len(blocks), len(packed), zlib.crc32(packed))
     return b"".join([head, packed, *[code for _, _, code in blocks]])
 
 
 def parse_file(data: bytes) -> list[tuple[int | None, np.ndarray]]:
     """The documents of a file with their ids, in file order; raises ValueError where the format or a checksum is broken."""
-    if len(data) < HEAD.size:
+    if len(data) < struct.calcsize(HEAD):
         raise ValueError("not a token file")
-    magic, n_docs, n_blocks, size, crc = HEAD.unpack_from(data)
-    packed = data[HEAD.size : HEAD.size + size]
+    magic, n_docs, n_blocks, size, crc = struct.unpack_from(HEAD, data)
+    packed = data[struct.calcsize(HEAD) : struct.calcsize(HEAD) + size]
     if magic != MAGIC or zlib.crc32(packed) != crc:
         raise ValueError("not a token file, or its index is damaged")
     index = zlib.decompress(packed)
@@ -310,7 +310,7 @@ def parse_file(data: bytes) -> list[tuple[int | None, np.ndarray]]:
     empty = np.frombuffer(index, "u1", n_docs, 8 * n_docs)
     lengths = np.frombuffer(index, "<u4", n_docs, 9 * n_docs)
     table = np.frombuffer(index, "<u4", 3 * n_blocks, 13 * n_docs).reshape(-1, 3)
-    at, blocks = HEAD.size + size, []
+    at, blocks = struct.calcsize(HEAD) + size, []
     for n, nbytes, check in table.tolist():
         blocks.append((n, check, data[at : at + nbytes]))
         at += nbytes
