@@ -16,8 +16,8 @@ from .common import per_worker
 
 TOKENIZER = "word_bpe_49k.json"
 WORD_END = "</w>"
-#: Words a worker remembers; when there are more it forgets them all, which costs time only.
-REMEMBERED = 500_000
+#: Words (and pairs) a worker remembers. The half that it has not met for longest is forgotten, which costs time only.
+REMEMBERED = 300_000
 #: What the tokenizer file counts as white space, and how it splits what stands between.
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -68,6 +68,7 @@ class PrefixEncoder:
         self.automaton.make_automaton()
         self.tested: dict[int, bool] = {}
         self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
 
     @staticmethod
     def _last(letter: str) -> str:
@@ -136,13 +137,13 @@ class PrefixEncoder:
                 if chunk:
                     got = self.known.get(chunk)
                     if got is None:
-                        if len(self.known) >= REMEMBERED:
-                            self.known.clear()
-                        got = self.known[chunk] = self._learn(chunk)
+                        if len(self.known) >= REMEMBERED // 2:
+                            self.known, self.older = {}, self.known
+                        got = self.known[chunk] = self.older.get(chunk) or self._learn(chunk)
                     if got[0]:
                         ids.append(got[0])
                         shown.append(got[1])
-        if len(self.tested) > 4 * REMEMBERED:
+        if len(self.tested) > REMEMBERED:
             self.tested.clear()
         return b"".join(ids), b" ".join(shown)
 

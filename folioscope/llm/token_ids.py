@@ -7,8 +7,8 @@ import re
 from .common import per_worker
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Chunks a worker remembers; when there are more it forgets them all, which costs time only.
-REMEMBERED = 500_000
+#: Chunks a worker remembers. The half that it has not met for longest is forgotten, which costs time only.
+REMEMBERED = 600_000
 #: A chunk ends before a single space that a character follows. No pre-token of the byte-level pattern reaches over such a place.
 _CHUNK = re.compile(r" (?=\S)")
 
@@ -25,6 +25,7 @@ class ChunkEncoder:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = iter(range(256, 512))
         self.letters = {b: chr(b) if b in printable else chr(next(others)) for b in range(256)}
@@ -54,11 +55,12 @@ class ChunkEncoder:
         """Ids (unsigned 16-bit, little-endian) of each text. Texts that hold a special token's string go to the library whole."""
         plain = [bool(t) and not any(s in t for s in self.special) for t in texts]
         split = [(t.split(" ") if "  " not in t and not t.endswith(" ") and " \n" not in t and t.isprintable() else _CHUNK.split(t)) if ok else [""] for t, ok in zip(texts, plain, strict=True)]
-        new = {c for s in split for c in s[1:]} - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = {c for s in split for c in s[1:]}
-        self._learn(new)
+        all_ = {c for s in split for c in s[1:]}
+        new = all_ - self.known.keys()
+        if len(self.known) + len(new) > REMEMBERED // 2:
+            self.known, self.older, new = {}, self.known, all_
+        self.known.update({c: self.older[c] for c in new & self.older.keys()})
+        self._learn(new - self.known.keys())
         heads = self._ids([s[0] for s in split])
         get = self.known.__getitem__
         out = [h + b"".join(map(get, s[1:])) for h, s in zip(heads, split, strict=True)]
