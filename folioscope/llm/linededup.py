@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, stored
+from .common import SPACE_RUN, fresh, stored
 
 WORD = "[^\\x20\\x09-\\x0D]"
 
@@ -81,16 +81,15 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     """
     runs = repeated_runs(docs, doc_id, text, min_words)
     per_doc = runs.groupBy("d", "th").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
-    cuts = per_doc.select(F.col("d").alias("_d"), F.col("th").alias("_th"), "cuts").withColumnRenamed("cuts", "_cuts")
-    keyed = docs.withColumn("_h", F.xxhash64(text))
-    both = keyed.join(cuts, keyed[doc_id].eqNullSafe(cuts["_d"]) & (F.col("_h") == F.col("_th")), "left")
+    of_id, of_text, cut, here = fresh(docs, "_d", "_th", "_cuts", "_h")
+    cuts = per_doc.select(F.col("d").alias(of_id), F.col("th").alias(of_text), F.col("cuts").alias(cut))
+    both = docs.withColumn(here, F.xxhash64(text)).join(cuts, F.col(doc_id).eqNullSafe(F.col(of_id)) & (F.col(here) == F.col(of_text)), "left")
     lines = F.split(F.col(text), "\n")
-    from_line = lambda i: F.when(i == 0, 0).otherwise(F.get(F.col("_cuts"), i - 1)["end"] + 1)
-    pieces = F.transform("_cuts", lambda c, i: F.slice(lines, from_line(i) + 1, c["start"] - from_line(i)))
-    last = F.slice(lines, F.element_at("_cuts", -1)["end"] + 2, F.lit(2**31 - 1))
+    from_line = lambda i: F.when(i == 0, 0).otherwise(F.get(F.col(cut), i - 1)["end"] + 1)
+    pieces = F.transform(cut, lambda c, i: F.slice(lines, from_line(i) + 1, c["start"] - from_line(i)))
+    last = F.slice(lines, F.element_at(cut, -1)["end"] + 2, F.lit(2**31 - 1))
     kept = F.array_join(F.concat(F.flatten(pieces), last), "\n")
-    gone = F.aggregate("_cuts", F.lit(0).cast("long"), lambda n, c: n + c["end"] - c["start"] + 1)
-    out = both.withColumn("n_deleted", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(gone).cast("long"))
-    return out.withColumn(text, F.when(F.col("_cuts").isNull(), F.col(text)).otherwise(kept)).select(
-        *[c for c in docs.columns if c != "n_deleted"], "n_deleted"
-    )
+    gone = F.aggregate(cut, F.lit(0).cast("long"), lambda n, c: n + c["end"] - c["start"] + 1)
+    same = F.col(cut).isNull()
+    out = both.withColumn("n_deleted", F.when(same, F.lit(0)).otherwise(gone).cast("long")).withColumn(text, F.when(same, F.col(text)).otherwise(kept))
+    return out.select(*[c for c in docs.columns if c != "n_deleted"], "n_deleted")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators.common import computed
 
-from .common import SPACE_RUN
+from .common import SPACE_RUN, fresh
 
 #: (rule, measure, comparison that a good text meets, bound). Measures are columns or ratios made by `measures`.
 RULES = (
@@ -53,23 +53,25 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     the names added here are replaced.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    one = computed(docs, _words=F.filter(F.split(body, SPACE_RUN), lambda w: w != ""), _lines=F.filter(F.split(body, "\n"), lambda s: s.rlike("[^\\x20\\x09-\\x0D]")))
-    two = computed(one, _windows=_repeated_words(F.col("_words")))
-    w, h = F.col("_words"), F.col("_windows")
+    words, lines, windows = fresh(docs, "_words", "_lines", "_windows")
+    with_word = lambda s: s.rlike("[^\\x20\\x09-\\x0D]")
+    one = computed(docs, **{words: F.filter(F.split(body, SPACE_RUN), lambda w: w != ""), lines: F.filter(F.split(body, "\n"), with_word)})
+    two = computed(one, **{windows: _repeated_words(F.col(words))})
+    w, h = F.col(words), F.col(windows)
     same = lambda x, i, j: F.coalesce(F.get(h, j)["h"] == x["h"], F.lit(False))
     repeated = F.filter(F.transform(h, lambda x, i: F.when(same(x, i, i - 1) | same(x, i, i + 1), x["p"])), lambda p: p.isNotNull())
     counted = dict(
         n_words=F.size(w).cast("long"),
         word_chars=F.length(F.regexp_replace(body, SPACE_RUN, "")).cast("long"),
         n_symbols=F.length(F.regexp_replace(body, "[^#*$%&|<>]", "")).cast("long"),
-        n_lines=F.size("_lines").cast("long"),
-        n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        n_lines=F.size(lines).cast("long"),
+        n_dup_lines=(F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         n_repeat_words=_union_of_threes(repeated),
         n_stop_words=F.size(F.array_intersect(F.transform(w, F.lower), F.array(*[F.lit(s) for s in dict.fromkeys(STOP_WORDS)]))).cast("long"),
-        n_bullets=F.size(F.filter("_lines", lambda s: s.rlike("^\\s*[-*•]"))).cast("long"),
+        n_bullets=F.size(F.filter(lines, lambda s: s.rlike("^\\s*[-*•]"))).cast("long"),
         n_upper=F.length(F.regexp_replace(body, "\\P{Lu}", "")).cast("long"),
     )
-    out = computed(two, **counted).drop("_words", "_lines", "_windows")
+    out = computed(two, **counted).drop(words, lines, windows)
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     return out.select(
         *[c for c in out.columns if c not in ("mean_word_chars", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "bullet_ratio", "upper_ratio")],

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators.common import durable
 
-from .common import components, stored
+from .common import components, fresh, stored
 
 BITS = 64
 
@@ -110,5 +110,6 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
     """`docs` with one document of each component of near copies: that of least id. Rows without an id stay."""
     classes = near_copies(docs, doc_id, text, words, distance)
-    gone = classes.filter("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    (name,) = fresh(docs, "_gone")
+    gone = classes.filter("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(name))
+    return docs.join(gone, F.col(doc_id) == F.col(name), "left_anti")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_worker, stored
+from .common import fresh, per_worker, stored
 
 #: Characters in a gram of the class models (the last one is predicted from the others), and in the longest gram of the shared one.
 TOP, SHARED = 5, 4
@@ -251,5 +251,6 @@ def score(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, i
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` without the rows that are predicted toxic. The verdict follows the id and text; rows without an id stay."""
-    judged = score(docs, labels, corpus, id_col, text).filter("predicted = 1").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(judged, F.col(id_col) == F.col("_gone"), "left_anti")
+    (name,) = fresh(docs, "_gone")
+    judged = score(docs, labels, corpus, id_col, text).filter("predicted = 1").select(F.col(id_col).alias(name)).distinct()
+    return docs.join(judged, F.col(id_col) == F.col(name), "left_anti")
