@@ -64,19 +64,37 @@ def _far(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def _centres(shared: DataFrame) -> DataFrame:
+    """(p, masked, pivot): of each bucket the member nearest to the bucket's majority, bit by bit."""
+    ones = [F.sum(F.shiftright("fp", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(BITS)]
+    counted = shared.groupBy("p", "masked").agg(F.count(F.lit(1)).alias("n"), *ones)
+    centre = F.lit(0).cast("long")
+    for b in range(BITS):
+        centre = centre.bitwiseOR(F.shiftleft((2 * F.col(f"b{b}") > F.col("n")).cast("long"), b))
+    middle = counted.select("p", "masked", centre.alias("centre"))
+    return shared.join(middle, ["p", "masked"]).groupBy("p", "masked").agg(F.min_by("fp", F.struct(_far("fp", "centre"), "fp")).alias("pivot"))
+
+
 def print_classes(prints: DataFrame, distance: int = 4) -> DataFrame:
     """(fp, class): classes of the distinct fingerprints `fp` that links of `distance` bits or fewer connect; class is their least print.
 
-    First every bucket links its members to its least print where they are near enough, and components are taken: this joins nearly all
-    of a dense group by one row per member and bucket. What is left is decided exactly: where a bucket holds members of several
-    components, those outside its largest component meet all members of another component, and each pair is verified. So links are
-    lost nowhere, yet a group of n copies never makes n^2 pairs, and a hot bucket is one side of a join that Spark splits.
+    A bucket of two or three members is decided by its aggregate alone: least, greatest and exclusive-or tell all three. In larger ones
+    every member is first linked to the most central member where it is near enough, and components are taken: this joins nearly all of
+    a dense group by one row per member and bucket. What is left is decided exactly: where a bucket holds members of several components,
+    those outside its largest component meet all members of another component, and each pair is verified. So links are lost nowhere,
+    yet a group of n copies never makes n^2 pairs, and a hot bucket is one side of a join that Spark splits.
     """
     rows = variants(prints.select("fp"), distance)
-    pivots = rows.groupBy("p", "masked").agg(F.min("fp").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    shared = stored(rows.join(pivots, ["p", "masked"]), "simhash-buckets")
-    near = shared.filter((F.col("fp") != F.col("pivot")) & (_far("fp", "pivot") <= distance)).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
-    first = components(near)
+    sizes = rows.groupBy("p", "masked").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.bit_xor("fp").alias("x"), F.count(F.lit(1)).alias("n"))
+    buckets = stored(sizes.filter("n > 1"), "simhash-buckets")
+    middle = F.col("lo").bitwiseXOR(F.col("hi")).bitwiseXOR(F.col("x"))
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    three = F.array(pair(F.col("lo"), F.col("hi")), pair(F.col("lo"), middle), pair(middle, F.col("hi")))
+    few = buckets.filter("n <= 3").select(F.inline(F.when(F.col("n") == 3, three).otherwise(F.slice(three, 1, 1)))).filter(_far("a", "b") <= distance)
+    shared = stored(rows.join(buckets.filter("n > 3").select("p", "masked"), ["p", "masked"]), "simhash-members")
+    starred = shared.join(_centres(shared), ["p", "masked"])
+    near = starred.filter((F.col("fp") != F.col("pivot")) & (_far("fp", "pivot") <= distance)).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
+    first = components(few.union(near))
     members = shared.select("p", "masked", "fp").join(first.select(F.col("node").alias("fp"), "root"), "fp", "left")
     members = members.withColumn("root", F.coalesce("root", "fp"))
     sizes = members.groupBy("p", "masked", "root").agg(F.count(F.lit(1)).alias("n"))
