@@ -17,8 +17,9 @@ TOP, SHARED = 5, 4
 #: Slots of each count table. Grams are hashed into them, so the size of a model doesn't depend on the size of the corpus.
 CLASS_SLOTS, SHARED_SLOTS = 1 << 21, 1 << 18
 DISCOUNT = 0.75
-#: Labelled documents, at most, whose four scores fit the last step; counts are taken from all labelled documents.
-FIT_ROWS = 20_000
+#: Labelled documents of each label, at most, that give the class counts, and that fit the last step: a sample by the hash of the id.
+#: It is small enough to go to every task, so no text is shuffled; the shared counts are taken from all documents.
+TRAIN_ROWS, FIT_ROWS = 50_000, 10_000
 FEATURES = ("mean_llr", "top_llr", "top3_llr", "log_words")
 SCHEMA = "grp int, k int, slot long, suf long, mid long, ctx long, n long"
 
@@ -117,9 +118,9 @@ class Model:
 
 
 def count(docs: DataFrame, labels: DataFrame | None, groups: tuple[int, ...], id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Gram counts of all rows of `docs` (group -1) and of those that `labels` (doc_id, label) marks."""
+    """Gram counts of all rows of `docs` (group -1) and of those that `labels` (doc_id, label; a bounded sample) marks."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.withColumn("label", F.lit(None).cast("int")) if labels is None else rows.join(labels, "doc_id", "left" if -1 in groups else "inner")
+    rows = rows.withColumn("label", F.lit(None).cast("int")) if labels is None else rows.join(F.broadcast(labels), "doc_id", "left" if -1 in groups else "inner")
     found = rows.select("text", "label").mapInPandas(lambda batches: gram_rows(batches, groups), SCHEMA)
     return found.groupBy("grp", "k", "slot", "ctx").agg(F.min("suf").alias("suf"), F.min("mid").alias("mid"), F.sum("n").alias("n"))
 
@@ -218,6 +219,12 @@ def fit(x: np.ndarray, y: np.ndarray) -> list[float]:
     return (b / scale).tolist()
 
 
+def _sample(known: DataFrame, rows: int) -> DataFrame:
+    """At most `rows` rows of each label, those of least hash: few enough to broadcast."""
+    first = lambda label: known.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return first(0).union(first(1))
+
+
 def held_out(doc_id) -> object:
     """True for the fifth of the ids whose labels are never learnt from; a null id is held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
@@ -227,22 +234,22 @@ def score(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, i
     """(id, held_out, score, predicted) per row of `docs`.
 
     `corpus` (or `docs`) gives the shared backoff counts, all its texts taken whole; `labels` (doc_id, toxic) marks rows of it. Labels of
-    held-out ids are never read. Of the others, those of remainder 1 to 3 give the class counts, those of remainder 4 fit the last step.
+    held-out ids are never read. Of the others, those of remainder 1 to 3 (a sample of TRAIN_ROWS of each label at most) give the class counts,
+    those of remainder 4 (of FIT_ROWS at most) fit the last step.
     Null and empty texts have no words: all four features are zero, so they get the score of the intercept. Labels that are null are
     ignored; of several labels of one id the largest counts. Rows equal in text get equal scores.
     """
     corpus = docs if corpus is None else corpus
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label")).filter(fold != 0)
-    counted = stored(count(corpus, known.filter(fold != 4), (-1, 0, 1), id_col, text), "toxicity-grams")
-    model = build(counted)
-    if id_col in docs.columns and corpus is docs:
-        scored = stored(features(docs, model, [id_col], text), "toxicity-features")
-        rows = scored.select(F.col(id_col).alias("doc_id"), *FEATURES).join(known.filter(fold == 4), "doc_id")
+    train, check = _sample(known.filter(fold != 4), TRAIN_ROWS), F.broadcast(_sample(known.filter(fold == 4), FIT_ROWS))
+    model = build(stored(count(corpus, train, (-1, 0, 1), id_col, text), "toxicity-grams"))
+    scored = stored(features(docs, model, [id_col], text), "toxicity-features")
+    if corpus is docs:
+        rows = scored.join(check.withColumnRenamed("doc_id", id_col), id_col)
     else:
-        scored = features(docs, model, [id_col], text)
-        rows = features(corpus.join(known.filter(fold == 4).withColumnRenamed("doc_id", id_col), id_col), model, ["label"], text)
-    sample = rows.select("label", *FEATURES).orderBy(F.xxhash64(*FEATURES)).limit(FIT_ROWS).toPandas()
+        rows = features(corpus.join(check.withColumnRenamed("doc_id", id_col), id_col), model, ["label"], text)
+    sample = rows.select("label", *FEATURES).toPandas()
     weights = fit(sample[list(FEATURES)].to_numpy(), sample["label"].to_numpy())
     logit = sum((F.lit(w) * F.col(f) for w, f in zip(weights[1:], FEATURES, strict=True)), F.lit(weights[0]))
     out = scored.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), (1 / (1 + F.exp(-logit))).alias("score"))
