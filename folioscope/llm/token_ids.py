@@ -8,65 +8,86 @@ from .common import per_worker
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Chunks a worker remembers. The half that it has not met for longest is forgotten, which costs time only.
-REMEMBERED = 600_000
+REMEMBERED = 1_500_000
 #: A chunk ends before a single space that a character follows. No pre-token of the byte-level pattern reaches over such a place.
 _CHUNK = re.compile(r" (?=\S)")
+#: Fixed value: the pattern by which the tokenizer file cuts a text into pre-tokens.
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+class _Remembering(dict):
+    """Makes what it lacks, and keeps the two halves of what was asked for last."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, key):
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+        self[key] = got
+        return got
+
+    def shrink(self) -> None:
+        if len(self) > REMEMBERED // 2:
+            self.older = dict(self)
+            self.clear()
 
 
 class ChunkEncoder:
-    """Encodes texts chunk by chunk. `encode_batch` of the library sees each distinct chunk once while it is remembered."""
+    """Encodes texts chunk by chunk; each distinct chunk is encoded once while it is remembered.
+
+    A chunk of common letters is cut into its pre-tokens here, and the library's model encodes them one by one; the library encodes
+    any other chunk as a whole.
+    """
 
     def __init__(self, path: str):
         import os
 
+        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.pieces = regex.compile(_PIECES).findall
         printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = iter(range(256, 512))
         self.letters = {b: chr(b) if b in printable else chr(next(others)) for b in range(256)}
-        self.ends = {p: self._ids([p])[0] for p in ".,"}
+        self.chunks, self.parts = _Remembering(self._chunk), _Remembering(self._part)
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, text: str) -> bytes:
         from array import array
 
-        return [array("H", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return array("H", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, chunks: set[str]) -> None:
-        """A chunk of letters is one pre-token: the library's model gets it as it is. A word and one mark of punctuation after it are two."""
+    def _part(self, piece: str) -> bytes:
+        """Ids of one pre-token."""
         from array import array
 
-        ended = {c for c in chunks if c[-1:] in self.ends and c[:-1].isalpha()}
-        whole = {c for c in (chunks - ended) | {c[:-1] for c in ended} if c not in self.known}
-        words = [c for c in whole if c.isalpha()]
-        split = self.library.model.tokenize
-        for c in words:
-            shown = "\u0120" + c if c.isascii() else (" " + c).encode().decode("latin-1").translate(self.letters)
-            self.known[c] = array("H", [t.id for t in split(shown)]).tobytes()
-        other = list(whole.difference(words))
-        self.known.update(zip(other, self._ids([" " + c for c in other]), strict=True))
-        self.known.update((c, self.known[c[:-1]] + self.ends[c[-1]]) for c in ended)
+        shown = piece.replace(" ", "\u0120") if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
+        return array("H", [t.id for t in self.library.model.tokenize(shown)]).tobytes()
+
+    def _pieces(self, text: str) -> bytes:
+        if max(text, default="") > "\u024f":
+            return self._whole(text)
+        return b"".join([self.chunks[p[1:]] if p[0] == " " and p[1:].isalpha() else self.parts[p] for p in self.pieces(text)])
+
+    def _chunk(self, chunk: str) -> bytes:
+        return self._part(" " + chunk) if chunk.isalpha() else self._pieces(" " + chunk)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids (unsigned 16-bit, little-endian) of each text. Texts that hold a special token's string go to the library whole."""
-        plain = [bool(t) and not any(s in t for s in self.special) for t in texts]
-        split = [(t.split(" ") if "  " not in t and not t.endswith(" ") and " \n" not in t and t.isprintable() else _CHUNK.split(t)) if ok else [""] for t, ok in zip(texts, plain, strict=True)]
-        all_ = {c for s in split for c in s[1:]}
-        new = all_ - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED // 2:
-            self.known, self.older, new = {}, self.known, all_
-        self.known.update({c: self.older[c] for c in new & self.older.keys()})
-        self._learn(new - self.known.keys())
-        heads = self._ids([s[0] for s in split])
-        get = self.known.__getitem__
-        out = [h + b"".join(map(get, s[1:])) for h, s in zip(heads, split, strict=True)]
-        for i, ok in enumerate(plain):
-            if not ok:
-                out[i] = self._ids([texts[i]])[0] if texts[i] else b""
+        get, out = self.chunks.__getitem__, []
+        for text in texts:
+            if any(s in text for s in self.special):
+                out.append(self._whole(text))
+                continue
+            head, *rest = _CHUNK.split(text)
+            out.append(self._pieces(head) + b"".join(map(get, rest)))
+        self.chunks.shrink()
+        self.parts.shrink()
         return out
 
 
