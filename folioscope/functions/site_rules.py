@@ -1,14 +1,5 @@
 """Page chrome of five known sites. Another site is added by passing a longer dict."""
 
-
-def _lines(text: str) -> list[str]:
-    return [line.strip() for line in text.strip().splitlines()]
-
-
-def _words(text: str) -> list[str]:
-    return [w.strip() for w in text.replace("\n", " ").split(",") if w.strip()]
-
-
 # --- fixed values: whole lines, same-site link words, line patterns and section heads per site ----
 _SIDEBAR_BODY = r"(?:[-*+]\s+)?!?\[.*|\S+(?: \S+){0,3}"
 
@@ -16,40 +7,23 @@ SITE_RULES = {
     "github": {
         "domains": ["github.com"],
         "signature": r"© \d{4} GitHub, Inc\.",
-        "plain": _lines(
-            """
-            skip to content
-            sign in
-            sign up
-            navigation menu
-            search or jump to
-            saved searches
-            use saved searches to filter your results more quickly
-            appearance settings
-            dismiss alert
-            footer
-            footer navigation
-            you can't perform that action at this time
-            you signed in with another tab or window. reload to refresh your session
-            you signed out in another tab or window. reload to refresh your session
-            you switched accounts on another tab or window. reload to refresh your session
-            no releases published
-            no packages published
-            create a new release
-            publish your first package
-            report repository
-            sign up for free to join this conversation on github
-            already have an account? sign in to comment
-            you're not receiving notifications from this thread
-            there was an error while loading. please reload this page
-            """
-        ),
-        "link_words": _words(
-            """product, solutions, resources, open source, enterprise, pricing, code, issues, pull requests,
-            actions, projects, security, insights, wiki, go to file, add file, fork, star, watch, terms, privacy,
-            status, docs, contact, manage cookies, do not share my personal information, new issue,
-            notifications, sponsor, github sponsors, community, training"""
-        ),
+        "plain": [
+            "skip to content", "sign in", "sign up", "navigation menu", "search or jump to", "saved searches",
+            "use saved searches to filter your results more quickly", "appearance settings", "dismiss alert", "footer",
+            "footer navigation", "you can't perform that action at this time",
+            "you signed in with another tab or window. reload to refresh your session",
+            "you signed out in another tab or window. reload to refresh your session",
+            "you switched accounts on another tab or window. reload to refresh your session", "no releases published",
+            "no packages published", "create a new release", "publish your first package", "report repository",
+            "sign up for free to join this conversation on github", "already have an account? sign in to comment",
+            "you're not receiving notifications from this thread", "there was an error while loading. please reload this page",
+        ],
+        "link_words": [
+            "product", "solutions", "resources", "open source", "enterprise", "pricing", "code", "issues", "pull requests", "actions",
+            "projects", "security", "insights", "wiki", "go to file", "add file", "fork", "star", "watch", "terms", "privacy", "status",
+            "docs", "contact", "manage cookies", "do not share my personal information", "new issue", "notifications", "sponsor",
+            "github sponsors", "community", "training",
+        ],
         "heads": ["navigation menu", "footer", "footer navigation"],
         "lines": [
             r"© \d{4} github, inc",
@@ -71,28 +45,17 @@ SITE_RULES = {
     "linkedin": {
         "domains": ["linkedin.com"],
         "signature": r"linkedin corporation ©|agree & join linkedin",
-        "plain": _lines(
-            """
-            skip to main content
-            sign in
-            join now
-            sign in to view more content
-            join now to see what you are missing
-            new to linkedin? join now
-            agree & join linkedin
-            continue to join or sign in
-            by clicking continue to join or sign in, you agree to linkedin's user agreement, privacy policy, and cookie policy
-            report this post
-            add a comment
-            see more comments
-            sign in to view more comments
-            """
-        ),
-        "link_words": _words(
-            """like, comment, share, repost, send, about, accessibility, user agreement, privacy policy,
-            cookie policy, copyright policy, brand policy, guest controls, community guidelines, sign in,
-            join now, forgot password?, help center"""
-        ),
+        "plain": [
+            "skip to main content", "sign in", "join now", "sign in to view more content", "join now to see what you are missing",
+            "new to linkedin? join now", "agree & join linkedin", "continue to join or sign in",
+            "by clicking continue to join or sign in, you agree to linkedin's user agreement, privacy policy, and cookie policy",
+            "report this post", "add a comment", "see more comments", "sign in to view more comments",
+        ],
+        "link_words": [
+            "like", "comment", "share", "repost", "send", "about", "accessibility", "user agreement", "privacy policy", "cookie policy",
+            "copyright policy", "brand policy", "guest controls", "community guidelines", "sign in", "join now", "forgot password?",
+            "help center",
+        ],
         "heads": [],
         "lines": [
             r"(like|comment|repost|share|send)(?: (?:like|comment|repost|share|send))+",
@@ -107,27 +70,16 @@ SITE_RULES = {
     "x": {
         "domains": ["x.com", "twitter.com"],
         "signature": r"don'?t miss what'?s happening",
-        "plain": _lines(
-            """
-            don't miss what's happening
-            people on x are the first to know
-            new to x?
-            sign up now to get your own personalized timeline
-            something went wrong. try reloading
-            log in
-            sign up
-            create account
-            sign up with google
-            sign up with apple
-            see new posts
-            post your reply
-            """
-        ),
-        "link_words": _words(
-            """home, explore, notifications, messages, grok, bookmarks, communities, premium, profile, more, post,
-            lists, jobs, privacy policy, cookie policy, accessibility, ads info, terms of service, help center,
-            log in, sign up"""
-        ),
+        "plain": [
+            "don't miss what's happening", "people on x are the first to know", "new to x?",
+            "sign up now to get your own personalized timeline", "something went wrong. try reloading", "log in", "sign up",
+            "create account", "sign up with google", "sign up with apple", "see new posts", "post your reply",
+        ],
+        "link_words": [
+            "home", "explore", "notifications", "messages", "grok", "bookmarks", "communities", "premium", "profile", "more", "post",
+            "lists", "jobs", "privacy policy", "cookie policy", "accessibility", "ads info", "terms of service", "help center", "log in",
+            "sign up",
+        ],
         "heads": [],
         "lines": [
             r"terms of service\s*\|.*",
@@ -141,31 +93,15 @@ SITE_RULES = {
     "reddit": {
         "domains": ["reddit.com", "redd.it"],
         "signature": r"reddit, inc\. ©",
-        "plain": _lines(
-            """
-            skip to main content
-            open menu
-            open navigation
-            go to reddit home
-            log in
-            sign up
-            log in / sign up
-            get app
-            get the reddit app
-            expand user menu
-            open settings menu
-            open comment sort options
-            add a comment
-            join the conversation
-            continue this thread
-            load more comments
-            give award
-            """
-        ),
-        "link_words": _words(
-            """share, reply, award, save, report, follow, join, home, popular, all, explore, communities,
-            reddit rules, privacy policy, user agreement"""
-        ),
+        "plain": [
+            "skip to main content", "open menu", "open navigation", "go to reddit home", "log in", "sign up", "log in / sign up",
+            "get app", "get the reddit app", "expand user menu", "open settings menu", "open comment sort options", "add a comment",
+            "join the conversation", "continue this thread", "load more comments", "give award",
+        ],
+        "link_words": [
+            "share", "reply", "award", "save", "report", "follow", "join", "home", "popular", "all", "explore", "communities",
+            "reddit rules", "privacy policy", "user agreement",
+        ],
         "heads": [],
         "lines": [
             r"sort by:? \w+",
@@ -179,25 +115,10 @@ SITE_RULES = {
     "youtube": {
         "domains": ["youtube.com", "youtu.be"],
         "signature": r"skip navigation",
-        "plain": _lines(
-            """
-            skip navigation
-            sign in
-            sign in to confirm you're not a bot
-            subscribe
-            subscribed
-            share
-            save
-            download
-            clip
-            show more
-            show less
-            add a comment
-            up next
-            autoplay
-            show chat replay
-            """
-        ),
+        "plain": [
+            "skip navigation", "sign in", "sign in to confirm you're not a bot", "subscribe", "subscribed", "share", "save", "download",
+            "clip", "show more", "show less", "add a comment", "up next", "autoplay", "show chat replay",
+        ],
         "link_words": [],
         "heads": [],
         "lines": [r"[\d.,]+[kmb]? (?:views|subscribers|likes)"],

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -28,6 +29,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` as a table in the shared folder and read that from now on."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def computed(df: DataFrame, **columns: Column) -> DataFrame:
     """`df` with costly columns worked out once per row.
 
@@ -64,11 +72,14 @@ def ordered_scan(
     )
     earlier = W.partitionBy(*groups).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     shift = totals.select(
-        *groups, "_part",
+        *[F.col(g).alias("_g_" + g) for g in groups], F.col("_part").alias("_of_part"),
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"),
         *[F.coalesce(F.sum("_t_" + name).over(earlier), F.lit(0)).alias("_s_" + name) for name in sums],
     )
-    joined = local.join(shift, [*groups, "_part"])
+    same = F.col("_part") == F.col("_of_part")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col("_g_" + g))
+    joined = local.join(shift, same)
     out = joined.withColumn("rn", F.col("_rn") + F.col("_shift"))
     for name in sums:
         out = out.withColumn(name, F.col(name) + F.col("_s_" + name))

@@ -15,7 +15,7 @@ from folioscope.operators.common import computed, first_by, top_k
 from folioscope.operators.names import resolve_refs
 
 
-class ModelTimeout(Exception):
+class ModelTimeout(TimeoutError):
     """A call that took too long; it is not tried again."""
 
 
@@ -26,12 +26,15 @@ def map_model(
     attempts: int = 2,
     check: Callable[[str], str] | None = None,
     tokens: Callable[[str, str], int] | None = None,
+    calls_per_batch: int = 1,
+    retry: str = "{prompt}\n\nThis answer was refused ({reason}). Answer again.",
 ) -> DataFrame:
     """`df` with `output`, `status` (ok, invalid, timeout), `error`, `tries` and `tokens`.
 
     `fn` answers a list of prompts; `check(output)` returns what is wrong with one, or an empty
-    string. An invalid answer is tried again with the reason; a timeout is not. Runs in Arrow
-    batches where the rows are, so calls spread with the partitions.
+    string. An invalid answer is tried again with the reason, worded by `retry`; a timeout (any
+    `TimeoutError`) is not. `fn` gets `calls_per_batch` prompts at a time, and a timeout concerns
+    these only. Runs in Arrow batches where the rows are, so calls spread with the partitions.
     """
     out = "output string, status string, error string, tries int, tokens long"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", " + out
@@ -45,25 +48,23 @@ def map_model(
             for _ in range(attempts):
                 if not todo:
                     break
-                asked = [
-                    prompts[i] if not error[i] else f"{prompts[i]}\n\nYour previous answer was invalid: {error[i]}. Fix it."
-                    for i in todo
-                ]
-                try:
-                    answers = fn(asked)
-                except ModelTimeout:
-                    for i in todo:
-                        status[i], error[i], tries[i] = "timeout", "the model took too long", tries[i] + 1
-                    todo = []
-                    break
                 again = []
-                for i, text, answer in zip(todo, asked, answers):
-                    tries[i] += 1
-                    used[i] += tokens(text, answer) if tokens else 0
-                    problem = check(answer) if check else ""
-                    output[i], status[i], error[i] = (answer, "ok", "") if not problem else (None, "invalid", problem[:300])
-                    if problem:
-                        again.append(i)
+                for at in range(0, len(todo), calls_per_batch):
+                    some = todo[at : at + calls_per_batch]
+                    asked = [retry.format(prompt=prompts[i], reason=error[i]) if error[i] else prompts[i] for i in some]
+                    try:
+                        answers = fn(asked)
+                    except TimeoutError:
+                        for i in some:
+                            status[i], error[i], tries[i] = "timeout", "timed out", tries[i] + 1
+                        continue
+                    for i, text, answer in zip(some, asked, answers):
+                        tries[i] += 1
+                        used[i] += tokens(text, answer) if tokens else 0
+                        problem = check(answer) if check else ""
+                        output[i], status[i], error[i] = (answer, "ok", "") if not problem else (None, "invalid", problem)
+                        if problem:
+                            again.append(i)
                 todo = again
             yield batch.assign(output=output, status=status, error=error, tries=tries, tokens=used)
 

@@ -7,12 +7,12 @@ document says the word most), the fourth is a glossary term and a link that may
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.operators import names as N
+from folioscope.operators.common import stored
 
 _CACHE: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -28,16 +28,14 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def shared(spark: SparkSession, d: str, name: str, build) -> DataFrame:
-    """A derived table several checks read, kept once per session (spilling to disk)."""
+    """A derived table several checks read, written once per session to the shared folder."""
     key = (spark.sparkContext.applicationId, d, name)
     if key not in _CACHE:
-        _CACHE[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
+        _CACHE[key] = stored(build(), name)
     return _CACHE[key]
 
 
 def forget_shared() -> None:
-    for df in _CACHE.values():
-        df.unpersist()
     _CACHE.clear()
 
 

@@ -23,7 +23,7 @@ from folioscope.operators import reports as R
 from folioscope.operators import runs as O
 from folioscope.operators import search as SE
 from folioscope.operators import similar as Z
-from folioscope.operators.common import durable
+from folioscope.operators.common import durable, ordered_scan
 
 Tables = dict[str, DataFrame]
 
@@ -40,7 +40,7 @@ def ingest_corpus(
     today: date,
     language: str = "en",
     max_chars: int = 8000,
-    max_calls: int = 60,
+    max_calls: int | None = None,
     fan_in: int = 16,
     extractor: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Tables:
@@ -48,8 +48,10 @@ def ingest_corpus(
 
     `inputs`: `captures(doc_id, target, url, text, kind, title, added_at)`, `pages`, `sources`. The
     model functions are the caller's: `plan_fn(prompts) -> JSON plans`, `notes_fn` -> JSON notes for
-    documents longer than `max_chars`. Every stage is a table; the two model stages are written
-    down before they are read again, so no call is paid twice.
+    documents longer than `max_chars`, read chunk by chunk. What a limit of calls leaves is the table
+    `unread`, for a later run; a long document without notes is in `failed`, never planned from a
+    part of its text. Every stage is a table; the two model stages are written down before they are
+    read again, so no call is paid twice.
     """
     pages, sources = inputs["pages"], inputs["sources"]
     first = Q.dedup_captures(inputs["captures"], ["added_at", "doc_id"])
@@ -62,21 +64,25 @@ def ingest_corpus(
     long = fresh.filter(F.length("text") > max_chars)
     chunks = C.split_chunks(long, max_chars)
     coverage = NO.read_coverage(chunks, max_calls, fan_in)
-    readable = chunks.filter(F.col("seq") < NO.affordable_chunks(max_calls, fan_in))
+    unread = NO.unread_chunks(chunks, max_calls, fan_in)
+    readable = chunks.join(unread.select("doc_id", "seq"), ["doc_id", "seq"], "left_anti")
     notes = spark.createDataFrame([], "doc_id long, seq long, " + NOTES_JSON.replace("\n", " "))
     warnings = spark.createDataFrame([], "doc_id long, seq int, warning string")
     if notes_fn is not None:
         answers, warnings = MM.read_chunks(readable, notes_fn)
         parsed = answers.withColumn("n", F.from_json("output", NOTES_JSON)).filter(F.col("n").isNotNull())
         empty = {k: F.coalesce(F.col(f"n.{k}"), F.from_json(F.lit("[]"), parsed.schema["n"].dataType[k].dataType.simpleString())).alias(k) for k in ("points", "terms", "quotes", "relations")}
-        ordered = parsed.select("doc_id", (F.col("seq") * 2 + F.greatest(F.col("half"), F.lit(0))).alias("seq"), *empty.values())
-        notes = durable(ordered)
+        in_order = ordered_scan(parsed.select("doc_id", F.col("seq").alias("_chunk"), "half", *empty.values()), ["_chunk", "half"], ["doc_id"])
+        notes = durable(in_order.select("doc_id", (F.col("rn") - 1).alias("seq"), "points", "terms", "quotes", "relations"))
     packed = NO.pack_notes(notes)
     merged = NO.merge_notes(notes)
 
-    prompts = fresh.join(packed.select("doc_id", F.col("text").alias("_notes")), "doc_id", "left").withColumn(
-        "prompt", T.fence_safe(F.coalesce("_notes", F.substring("text", 1, max_chars)))
+    offered = fresh.join(packed.select("doc_id", F.col("text").alias("_notes"), "whole"), "doc_id", "left").withColumn(
+        "prompt", T.fence_safe(F.coalesce("_notes", F.when(F.length("text") <= max_chars, F.col("text"))))
     )
+    prompts = offered.filter(F.col("prompt").isNotNull())
+    reason = F.when(F.col("prompt").isNull(), "too long, and not read").when(~F.col("whole"), "notes cut to the budget")
+    failed = offered.select("doc_id", reason.alias("reason")).filter(F.col("reason").isNotNull())
     answered = durable(MM.map_model(prompts.select("doc_id", "prompt"), plan_fn).select("doc_id", F.col("output").alias("raw_json")))
     plans = durable(MM.validate_plans(answered))
     leaks_in = plans.filter("valid").select("doc_id", "plan.*")
@@ -113,7 +119,7 @@ def ingest_corpus(
         T.content_hash("text").alias("content_hash"), F.lit(today).alias("processed"),
     )
     return {
-        "known": known.filter(F.col("existing_title").isNotNull()), "coverage": coverage, "warnings": warnings, "merged_notes": merged,
+        "known": known.filter(F.col("existing_title").isNotNull()), "coverage": coverage, "unread": unread, "failed": failed, "warnings": warnings, "merged_notes": merged,
         "plans": plans, "notes": notes_out, "quotes": quotes, "terms": terms, "relations": relations,
         "graph": G.concept_graph(relations.filter("verdict = 'kept'").drop("verdict")), **upsert,
     }
@@ -125,7 +131,7 @@ def ask_batch(
     """Questions to verified answers. `inputs`: `questions(query_id, question[, extra])`, `pages`,
     `sources`; `answer_fn(prompts) -> JSON {title, one_liner, answer, cited_pages}`.
 
-    With a `remote` model, hidden pages are never retrieved, shown or cited, and pages that private
+    A question without pages, or whose answer is none, is a row of `refused` with the reason. With a `remote` model, hidden pages are never retrieved, shown or cited, and pages that private
     sources touched lose those sections.
     """
     pages = inputs["pages"]
@@ -144,14 +150,18 @@ def ask_batch(
     prompts = inputs["questions"].join(blocks, "query_id").withColumn("prompt", F.concat("user", F.lit("\n\n"), T.fence_safe("question")))
     answered = durable(MM.map_model(prompts.select("query_id", "question", "user", "prompt"), answer_fn))
     schema = "title string, one_liner string, answer string, cited_pages array<string>"
-    parsed = answered.withColumn("a", F.from_json("output", schema)).filter(F.length("a.answer") >= 20)
+    read = answered.withColumn("a", F.from_json("output", schema))
+    parsed = read.filter(F.length("a.answer") >= 20)
+    why = F.when(F.col("output").isNull(), F.col("status")).when(F.col("a.answer").isNull(), "no answer in it").otherwise("answer too short")
+    lost = inputs["questions"].join(found.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.lit("nothing found").alias("reason"))
+    refused = lost.unionByName(read.filter(~F.coalesce(F.length("a.answer") >= 20, F.lit(False))).select("query_id", why.alias("reason")))
     answers = parsed.select(F.col("query_id").alias("answer_id"), "question", "user", "a.title", "a.one_liner", F.col("a.answer").alias("text"), F.coalesce("a.cited_pages", F.array().cast("array<string>")).alias("cited_pages"))
     clean = MM.scrub(answers.withColumnRenamed("answer_id", "row_id"), N.page_names(shown), hidden if remote else None, "text", "user").withColumnRenamed("row_id", "answer_id")
     clean = durable(clean)
     evidence = found.select(F.col("query_id").alias("answer_id"), "page_id")
     verdict = G.answer_verdict(clean, shown, evidence, hidden if remote else None, language)
     cited = G.citations(clean, N.page_names(shown), hidden if remote else None)
-    return {"retrieved": found, "answers": clean.join(verdict, "answer_id"), "citations": cited}
+    return {"retrieved": found, "answers": clean.join(verdict, "answer_id"), "citations": cited, "refused": refused}
 
 
 def lint_corpus(spark: SparkSession, inputs: Tables, *, shown: int = 50) -> Tables:
@@ -218,7 +228,7 @@ def consolidate(spark: SparkSession, inputs: Tables, *, summary_fn: Callable, la
     mine = pages.join(due.select("page_id", "n_sources"), "page_id")
     shown = C.page_sections(mine).groupBy("page_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "source", "shown"))), lambda s: F.concat(s["source"], F.lit(": "), T.fence_safe(s["shown"]))), "\n").alias("prompt"),
-        F.array_join(F.collect_list("text"), "\n").alias("_evidence"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), "\n").alias("_evidence"),
     )  # at most twelve sections a page
     answered = durable(MM.map_model(shown, summary_fn))
     named = answered.join(mine.select("page_id", "title", "aliases", "n_sources"), "page_id")
@@ -228,7 +238,9 @@ def consolidate(spark: SparkSession, inputs: Tables, *, summary_fn: Callable, la
     passed = judged.filter(F.size("problems") == 0)
     written = mine.drop("n_sources").join(passed.select("page_id", F.col("summary").alias("_s"), F.col("n_sources").cast("int").alias("_n")), "page_id")
     updated = written.withColumn("body", C.put_section("body", heading, F.col("_s"))).withColumn("summary_sources", F.col("_n")).drop("_s", "_n")
-    return {"due": due, "updated": updated, "reviews": judged.filter(F.size("problems") > 0), "merge_suggestions": Z.merge_suggestions(pages, due)}
+    unanswered = named.filter(F.col("output").isNull()).select("page_id", F.col("status").alias("reason"))
+    skipped = due.join(shown.select("page_id"), "page_id", "left_anti").select("page_id", F.lit("no sections").alias("reason")).unionByName(unanswered)
+    return {"due": due, "updated": updated, "skipped": skipped, "reviews": judged.filter(F.size("problems") > 0), "merge_suggestions": Z.merge_suggestions(pages, due)}
 
 
 def rebuild(spark: SparkSession, inputs: Tables, *, every: bool = False, words: list[str] | None = None, **ingest_options) -> Tables:

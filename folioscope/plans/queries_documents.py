@@ -13,7 +13,7 @@ from folioscope.operators import layout as Y
 from folioscope.operators import mail as M
 from folioscope.operators import notes as N
 from folioscope.operators import pages as P
-from folioscope.operators.common import computed
+from folioscope.operators.common import computed, ordered_scan
 from folioscope.operators.runs import spread_sample
 from folioscope.plans.corpus import (
     doc_words, first_sentence, flatten, fold, table, wiki_pages, wiki_sources, with_keywords, with_wiki,
@@ -282,19 +282,18 @@ _NOTES_SQL = rf"""
 turns AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, role, text FROM conversations),
 points AS (
   SELECT conv_id AS doc_id, seq, unnest(k) AS a, unnest(range(len(k))) AS rank FROM (
-    SELECT conv_id, seq, list_filter(string_split(text, E'\n'), lambda l: l <> '')[1:8] AS k FROM turns)),
+    SELECT conv_id, seq, list_filter(string_split(text, E'\n'), lambda l: l <> '') AS k FROM turns)),
 words AS (
   SELECT conv_id AS doc_id, seq, unnest(k) AS a, unnest(range(len(k))) AS rank FROM (
-    SELECT conv_id, seq, regexp_extract_all(text, '\p{{L}}{{6,}}')[1:6] AS k FROM turns))"""
+    SELECT conv_id, seq, regexp_extract_all(text, '\p{{L}}{{6,}}') AS k FROM turns))"""
 
 
 def conversation_notes(spark, d):
     """Each turn of a conversation as the note of one chunk: lines are points, long words are terms."""
     turns = table(spark, d, "conversations")
-    lines = F.slice(F.filter(F.split("text", "\n"), lambda x: x != ""), 1, 8)
-    words = F.slice(T.find_all("text", r"\p{L}{6,}"), 1, 6)
-    seq = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))  # a thread's turn numbers
-    placed = turns.join(seq, "conv_id").withColumn("seq", F.array_position("turns", F.col("turn")) - 1)
+    lines = F.filter(F.split("text", "\n"), lambda x: x != "")
+    words = T.find_all("text", r"\p{L}{6,}")
+    placed = ordered_scan(turns.select("conv_id", "turn", "text"), ["turn"], ["conv_id"]).withColumn("seq", F.col("rn") - 1)
     return placed.select(
         F.col("conv_id").alias("doc_id"), "seq", lines.alias("points"),
         F.transform(words, lambda w: F.struct(w.alias("term"), F.concat(w, F.lit(" is said")).alias("definition"))).alias("terms"),
@@ -320,7 +319,7 @@ def _spread_sql(items: str, key: str, cap: int, field: str) -> str:
     ),
 )
 def merge_notes(spark, d):
-    return N.merge_notes(conversation_notes(spark, d)).select("doc_id", "field", F.col("rank").cast("long").alias("rank"), "a")
+    return N.merge_notes(conversation_notes(spark, d), N.SOURCE_CAPS).select("doc_id", "field", F.col("rank").cast("long").alias("rank"), "a")
 
 
 @query(
@@ -340,7 +339,7 @@ def merge_notes(spark, d):
     UNION ALL SELECT doc_id, g, rank, a FROM m""",
 )
 def reduce_notes(spark, d):
-    level = N.reduce_notes(conversation_notes(spark, d), fan_in=4)
+    level = N.reduce_notes(conversation_notes(spark, d), fan_in=4, caps=N.SECTION_CAPS)
     points = level.filter("field = 'points'")
     return points.select("doc_id", F.col("seq").cast("long").alias("seq"), F.col("rank").cast("long").alias("rank"), "a")
 

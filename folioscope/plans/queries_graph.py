@@ -470,12 +470,12 @@ def assign_titles(spark, d):
       SELECT conv_id, turn, t, row_number() OVER (PARTITION BY {fold("t")} ORDER BY conv_id, turn) AS rn FROM (
         SELECT conv_id, turn, trim(CASE WHEN length(s) > 80 THEN regexp_replace(substr(s, 1, 80), ' [^ ]*$', '') ELSE s END, ' .,;:') AS t FROM (
           SELECT conv_id, turn, trim(substr(trim(regexp_replace(regexp_replace(regexp_replace(trim(q, E' ¿?¡!\n\t'), '[\p{{Cc}}\p{{Cf}}]', '', 'g'), '[\[\]#|^:/\\?*"<>]', ' ', 'g'), '\s+', ' ', 'g'), ' .'), 1, 200), ' .') AS s
-          FROM (SELECT conv_id, turn, substr(text, 1, 90) AS q FROM conversations WHERE role = 'user'))))""",
+          FROM (SELECT conv_id, turn, text AS q FROM conversations WHERE role = 'user'))))""",
 )
 def file_answers(spark, d):
     asked = table(spark, d, "conversations").filter("role = 'user'")
     answers = asked.select(
-        (F.col("conv_id") * 100000 + F.col("turn")).alias("answer_id"), F.substring("text", 1, 90).alias("question"), F.lit("Answer").alias("title"),
+        (F.col("conv_id") * 100000 + F.col("turn")).alias("answer_id"), F.col("text").alias("question"), F.lit("Answer").alias("title"),
         F.lit("One line.").alias("one_liner"), F.col("text"), F.array(F.lit("doc-1")).alias("citations"), F.lit(True).alias("grounded"),
     )
     none = wiki_pages(spark, d).filter("kind = 'syntheses'")

@@ -262,7 +262,7 @@ def raw_plans(spark, d):
     words = doc_words(spark, d).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "word"))).alias("w"))
     rows = docs.join(words, "doc_id")
     names = F.transform("w", lambda x: x["word"])
-    line = F.regexp_replace(F.substring("text", 1, 400), r"\s+", " ")
+    line = F.regexp_replace("text", r"\s+", " ")
     one = F.when(F.col("lang") == "en", F.lit("https://example.org/x")).when(F.col("lang") == "fr", F.col("source")).otherwise(F.lit("A line that says what it is."))
     plan = F.struct(
         F.concat("source", F.lit(" note")).alias("title"), one.alias("one_liner"), line.alias("summary"), F.array_repeat(line, 12).alias("key_points"),
@@ -274,7 +274,7 @@ def raw_plans(spark, d):
 
 
 _PLANS = rf"""
-base AS (SELECT doc_id, lang, source, substr(regexp_replace(substr(text, 1, 400), '\s+', ' ', 'g'), 1) AS s, (SELECT count(*) FROM doc_words w WHERE w.doc_id = d.doc_id) AS n FROM documents d),
+base AS (SELECT doc_id, lang, source, regexp_replace(text, '\s+', ' ', 'g') AS s, (SELECT count(*) FROM doc_words w WHERE w.doc_id = d.doc_id) AS n FROM documents d),
 sent AS (SELECT *, coalesce(nullif(regexp_extract(trim(s), '^(.*?[.!?]) ', 1), ''), trim(s)) AS f FROM base WHERE n > 0),
 line AS (SELECT *, CASE WHEN length(f) > 160 THEN rtrim(regexp_replace(substr(f, 1, 159), ' [^ ]*$', ''), ' ,;:') || '…' ELSE f END AS g FROM sent),
 judged AS (SELECT *, lang IN ('en', 'fr') AND length(s) >= 30 AND length(g) >= 10 AND contains(g, ' ') AS repaired FROM line)"""

@@ -137,22 +137,22 @@ def dense_search_blocks(spark, d):
 # ---------------------------------------------------------------------------------- fused search
 
 _TEXT_DENSE = f"""{_BM25}, {_DENSE},
-kw50 AS (SELECT query_id, page_id, rank, 0 AS list FROM keyword WHERE rank <= 50 AND query_id < 10),
-both_lists AS (SELECT * FROM kw50 UNION ALL SELECT query_id, page_id, rank, 1 FROM dense WHERE rank <= 50 AND query_id < 10),
+kw50 AS (SELECT query_id, page_id, rank, 0 AS list FROM keyword WHERE rank <= 50),
+both_lists AS (SELECT * FROM kw50 UNION ALL SELECT item_id, page_id, rank, 1 FROM dense JOIN benchmark ON query_id = item_id % 10 WHERE rank <= 50),
 fused AS (SELECT query_id, page_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(1.0 / (60 + rank)), 12) DESC, min((list, rank))) AS rank,
   round(sum(1.0 / (60 + rank)), 9) AS score FROM both_lists GROUP BY query_id, page_id)"""
 
 
-def _label_questions(spark, d):
-    """Questions that have a dense side too: there is one query vector per label."""
-    vectors = query_vectors(spark, d).select("query_id")
-    return question_terms(spark, d).join(vectors, "query_id", "left_semi")
+def question_vectors(spark, d):
+    """A query vector per question: that of the label its number ends in."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 10).alias("label"))
+    return asked.join(query_vectors(spark, d).withColumnRenamed("query_id", "label"), "label").select("query_id", "vec")
 
 
 @query("rank_fusion", f"WITH {_TEXT_DENSE} SELECT query_id, page_id, rank, score FROM fused")
 def rank_fusion(spark, d):
-    keyword = S.bm25(_label_questions(spark, d), index(spark, d), 50, index_size(spark, d))
-    dense = S.dense_search(query_vectors(spark, d), chunk_vectors(spark, d), 50)
+    keyword = S.bm25(question_terms(spark, d), index(spark, d), 50, index_size(spark, d))
+    dense = S.dense_search(question_vectors(spark, d), chunk_vectors(spark, d), 50)
     return S.rrf(keyword, dense).withColumn("score", F.round("score", 9))
 
 
@@ -164,10 +164,10 @@ def rank_fusion(spark, d):
 )
 def hybrid_search(spark, d):
     """Fused search without the private (here: toxic) pages."""
-    asked = _label_questions(spark, d)
+    asked = question_terms(spark, d)
     secret = table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("page_id"))
     keyword = S.bm25(asked, index(spark, d), 50, index_size(spark, d)).select("query_id", "page_id")
-    dense_side = (query_vectors(spark, d), chunk_vectors(spark, d))
+    dense_side = (question_vectors(spark, d), chunk_vectors(spark, d))
     near = S.dense_search(*dense_side, 50).select("query_id", "page_id")
     exclude = keyword.unionByName(near).distinct().join(secret, "page_id", "left_semi")
     return S.search(asked, index(spark, d), K, index_size(spark, d), exclude, dense_side)
@@ -175,7 +175,7 @@ def hybrid_search(spark, d):
 
 @query(
     "connection_candidates",
-    f"""WITH {_INDEX}, q AS (SELECT doc_id AS query_id, source, trim(substr(text, 1, 200)) AS text FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 1),
+    f"""WITH {_INDEX}, q AS (SELECT doc_id AS query_id, source, trim(text) AS text FROM documents JOIN labels USING (doc_id) WHERE quality = 1),
     qtok AS (SELECT query_id, unnest(l) AS term, unnest(range(len(l))) AS p FROM (
       SELECT query_id, regexp_extract_all({fold("source || ' ' || text || ' ' || 'topic' || ' ' || 'term'")}, '[a-z]{{4,}}') AS l FROM q)),
     qterms AS (SELECT query_id, term FROM (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, p) AS place FROM (
@@ -188,10 +188,10 @@ def hybrid_search(spark, d):
     SELECT t.query_id, t.page_id FROM top t JOIN q USING (query_id) JOIN documents d ON d.doc_id = t.page_id WHERE rank <= 10 AND d.source <> q.source""",
 )
 def connection_candidates(spark, d):
-    """Good but private documents looking for pages of other groups to connect to."""
-    labels = table(spark, d, "labels").filter("quality = 1 and toxic = 1")
+    """Good documents looking for pages of other groups to connect to."""
+    labels = table(spark, d, "labels").filter("quality = 1")
     plans = table(spark, d, "documents").join(labels, "doc_id").select(
-        F.col("doc_id").alias("query_id"), F.col("source").alias("title"), F.trim(F.substring("text", 1, 200)).alias("summary"),
+        F.col("doc_id").alias("query_id"), F.col("source").alias("title"), F.trim("text").alias("summary"),
         F.array(F.lit("topic")).alias("concepts"), F.array(F.lit("term")).alias("terms"),
     )
     none = spark.createDataFrame([], "page_id long, source string")

@@ -78,12 +78,12 @@ _ONE = flatten("text")
     coalesce({first_sentence("text")}, '') AS sentence,
     CASE WHEN regexp_matches(head, '[.!?…"»)]$') OR cut = '' OR length(cut) - 1 < length(head) * 0.5 THEN head ELSE cut END AS whole
     FROM (SELECT *, regexp_extract(head, '(?s)^(.*[.!?…])', 1) AS cut FROM (
-      SELECT doc_id, text, rtrim(substr(text, 1, 300), E' \t\n\r') AS head FROM documents))""",
+      SELECT doc_id, text, rtrim(text, E' \t\n\r') AS head FROM documents))""",
 )
 def short_forms(spark, d):
     return _docs(spark, d).select(
         "doc_id", T.one_line("text").alias("line"), F.coalesce(T.first_sentence("text"), F.lit("")).alias("sentence"),
-        T.complete(F.substring("text", 1, 300)).alias("whole"),  # text cut off mid-sentence, as a model's is
+        T.complete("text").alias("whole"),
     )
 
 
@@ -340,7 +340,7 @@ _SHOWN = "CASE WHEN {w} <> '' AND contains({s}, {w}) THEN trim(title, E' \\t\\n\
     "shown_titles",
     "SELECT doc_id, "
     + _SHOWN.format(w=_PLAIN.format("replace(title, 'ß', 'ss')"), s=_PLAIN.format("replace(body, 'ß', 'ss')"))
-    + " AS title FROM (SELECT d.doc_id, substr(coalesce(n.text, d.text), 1, 30) AS title, d.text AS body"
+    + " AS title FROM (SELECT d.doc_id, string_split(coalesce(n.text, d.text), chr(10))[1] AS title, d.text AS body"
     " FROM documents d LEFT JOIN documents n ON n.doc_id = d.doc_id + CASE WHEN d.lang = 'en' THEN 0 ELSE 1 END)",
 )
 def shown_titles(spark, d):
@@ -348,7 +348,7 @@ def shown_titles(spark, d):
     other = docs.select(F.col("doc_id").alias("of"), F.col("text").alias("other"))
     step = F.when(F.col("lang") == "en", 0).otherwise(1)  # an own title, or one left over from the next document
     rows = docs.withColumn("of", F.col("doc_id") + step).join(other, "of", "left")
-    title = F.substring(F.coalesce("other", "text"), 1, 30)
+    title = F.get(F.split(F.coalesce("other", "text"), "\n"), F.lit(0))
     return rows.select("doc_id", T.shown_title(title, F.col("text")).alias("title"))
 
 

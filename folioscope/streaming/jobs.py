@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from folioscope.functions.urls import normalize_url
 from folioscope.operators import mail as M
 from folioscope.operators.captures import MAX_ATTEMPTS
+from folioscope.operators.common import durable
 from folioscope.operators.pages import due_pages
 from folioscope.operators.search import embed_pending, postings
 
@@ -113,12 +114,22 @@ def current_index(spark, path: str, table: str = "postings") -> DataFrame:
 
 
 def due_stream(touched: DataFrame, pages: Callable[[], DataFrame], sources: Callable[[], DataFrame], path: str, checkpoint: str, limit: int):
-    """Per micro-batch, the first `limit` pages it touched whose summary is due (a pacing limit)."""
+    """Per micro-batch, the first `limit` pages due among those it touched and those an earlier batch left over (a pacing limit).
+
+    What a batch leaves is written beside its result and offered again by the next one, so every due page comes up.
+    """
+    spark = touched.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        ids = batch.select("page_id").distinct()
+        ids = batch.select("page_id")
+        if batch_id:
+            ids = ids.union(spark.read.schema(ids.schema).parquet(f"{path}/left/batch={batch_id - 1}"))
+        ids = ids.distinct()
         mine = pages().join(ids, "page_id", "left_semi")
         rows = sources().join(ids, "page_id", "left_semi")
-        due_pages(mine, rows).orderBy("page_id").limit(limit).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        due = durable(due_pages(mine, rows))
+        first = due.orderBy("page_id").limit(limit)
+        first.write.mode("overwrite").parquet(f"{path}/due/batch={batch_id}")
+        due.select("page_id").join(first.select("page_id"), "page_id", "left_anti").write.mode("overwrite").parquet(f"{path}/left/batch={batch_id}")
 
     return touched.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)

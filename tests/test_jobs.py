@@ -145,7 +145,7 @@ def test_summary_checks(spark):
     pad = "The graphs that were found in the library are good and old, and so on and on and on."
     rows = [(1, pad), (2, pad + " Bob saw 43."), (3, "short"), (4, pad + ' He said "never ever this" [[x]].')]
     got = {r.page_id: r.problems for r in G.summary_problems(spark.createDataFrame(rows, "page_id long, summary string"), evidence).collect()}
-    assert got[1] == [] and got[2] == ["'43' is not in the sections"] and "80-900" in got[3][0] and len(got[4]) == 2
+    assert got[1] == [] and got[2] == ["unknown: 43"] and got[3][0] == "length: 5" and len(got[4]) == 2
 
 
 def test_merge_and_reduce_notes(spark):
@@ -156,7 +156,7 @@ def test_merge_and_reduce_notes(spark):
     level = NO.reduce_notes(notes, fan_in=3).filter("field = 'points'").orderBy("seq", "rank").collect()
     assert [r.a for r in level if r.seq == 0] == ["p0", "p1", "p2", "p3", "p4", "Same"]
     assert [r.a for r in level if r.seq == 2] == ["p10", "Same"]
-    assert NO.reduce_cost(17, 16) == 4 and NO.reduce_cost(16, 16) == 0
+    assert NO.merge_calls(17, 16) == 4 and NO.merge_calls(16, 16) == 0
 
 
 def test_plans_are_clamped_and_repaired(spark):
@@ -317,3 +317,86 @@ def test_compare_models_job(spark, wiki):
     done = jobs.compare_models(spark, {"docs": docs, "pages": wiki(page(1, "Graph")), "prices": prices}, models=models, n=3)
     assert {r.model: r.ok_rate for r in done["summary"].collect()} == {"good": 1.0, "bad": 0.0}
     assert {r.task: r.model for r in done["routing"].collect()}["ingest"] == "good"
+
+
+def test_null_groups_are_numbered(spark):
+    from folioscope.operators.common import ordered_scan
+
+    rows = [(None, 1), (None, 2), ("a", 3), ("a", 1), (None, 5)]
+    got = ordered_scan(spark.createDataFrame(rows, "g string, v int"), ["v"], ["g"], {"before": "v"}).collect()
+    assert sorted((r.g or "", r.v, r.rn, r.before) for r in got) == [("", 1, 1, 0), ("", 2, 2, 1), ("", 5, 3, 3), ("a", 1, 1, 0), ("a", 3, 2, 1)]
+
+
+def test_timeouts_fail_alone(spark):
+    def answer(prompts):
+        if "slow" in prompts[0]:
+            raise TimeoutError
+        return [p.upper() for p in prompts]
+
+    asked = spark.createDataFrame([(i, "slow" if i == 7 else f"p{i}") for i in range(50)], "id long, prompt string").coalesce(1)
+    got = {r.id: (r.status, r.output) for r in MM.map_model(asked, answer).collect()}
+    assert got.pop(7) == ("timeout", None) and all(s == "ok" and o == f"P{i}" for i, (s, o) in got.items())
+
+
+def test_retry_wording_is_a_parameter(spark):
+    def answer(prompts):
+        return ["good" if p.endswith("because: bad") else "x" for p in prompts]
+
+    asked = spark.createDataFrame([("p",)], "prompt string")
+    row = MM.map_model(asked, answer, check=lambda a: "" if a == "good" else "bad", retry="{prompt} because: {reason}").first()
+    assert (row.status, row.output, row.tries) == ("ok", "good", 2)
+
+
+def test_points_are_merged_once_per_group(spark, tmp_path):
+    none = "array<struct<term:string,definition:string>>"
+    rel = "array<struct<a:string,relation:string,b:string>>"
+    rows = [(1, i, [f"p{i}"], [], [], []) for i in range(31)]
+    notes = spark.createDataFrame(rows, f"doc_id long, seq long, points array<string>, terms {none}, quotes array<string>, relations {rel}")
+    calls = spark.sparkContext.accumulator(0)
+
+    def merge(groups):
+        def count(batches):
+            for b in batches:
+                calls.add(len(b.drop_duplicates(["doc_id", "seq"])))
+                yield b
+
+        return groups.repartition(1).mapInPandas(count, groups.schema)
+
+    left = NO.reduce_notes(notes, fan_in=2, merge_points=merge)
+    assert {r.a for r in left.collect()} == {f"p{i}" for i in range(31)}
+    assert calls.value == NO.merge_calls(31, 2) == 6 + 2
+
+
+def test_unread_chunks_are_rows(spark):
+    chunks = spark.createDataFrame([(1, i, f"chunk {i}") for i in range(30)], "doc_id long, seq int, chunk string")
+    stop = NO.affordable_chunks(14, 3)
+    assert sorted(r.seq for r in NO.unread_chunks(chunks, 14, 3).collect()) == list(range(stop, 30))
+    assert NO.unread_chunks(chunks).count() == 0 and NO.read_coverage(chunks).first().unread == 0
+
+
+def test_names_without_aliases_count(spark, wiki):
+    from folioscope.operators import lint as H
+    from folioscope.operators import names as N
+
+    pages = wiki(page(1, "Graph", body="x"), page(2, "Tree", body="see [[Graph]] and a Graph"))
+    bare = pages.withColumn("aliases", F.lit(None).cast("array<string>"))
+    assert H.broken_links(bare, N.page_links(bare)).count() == 0
+
+
+def test_due_pages_carry_over(spark, tmp_path):
+    from folioscope.streaming.jobs import due_stream
+
+    schema = "page_id long"
+    for i, ids in enumerate([(1, 2, 3), (4,), (4,)]):
+        spark.createDataFrame([(x,) for x in ids], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    import folioscope.streaming.jobs as J
+
+    known, J.due_pages = J.due_pages, lambda mine, rows: mine.select("page_id")
+    try:
+        pages = spark.createDataFrame([(i,) for i in range(1, 6)], schema)
+        due_stream(files, lambda: pages, lambda: pages, f"{tmp_path}/out", f"{tmp_path}/cp", 2).start().awaitTermination()
+    finally:
+        J.due_pages = known
+    got = [r.page_id for r in spark.read.parquet(f"{tmp_path}/out/due").collect()]
+    assert set(got) == {1, 2, 3, 4}
