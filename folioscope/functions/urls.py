@@ -72,13 +72,13 @@ def normalize_url(c) -> Column:
     return F.when(~c.rlike(r"(?i)^https?://"), c).otherwise(F.coalesce(post_url(c), web))
 
 
-def urls_in(c) -> Column:
-    """Every http(s) address shown in the text, in order and without repeats."""
+def urls_in(c, max_chars: int | None = None) -> Column:
+    """Every http(s) address shown in the text, in order and without repeats; `max_chars` leaves longer ones out."""
     found = F.transform(
         find_all(c, r"https?://[^\s<>\"')\]]+"), lambda u: F.rtrim(u, F.lit(".,;:!?"))
     )
     return F.array_distinct(
-        F.filter(found, lambda u: (F.length(u) <= V.MAX_LINK_CHARS) & (host(u) != ""))
+        F.filter(found, lambda u: (host(u) != "") if max_chars is None else (F.length(u) <= max_chars) & (host(u) != ""))
     )
 
 

@@ -117,7 +117,6 @@ BM25_MIN_IDF = 1e-6
 RRF_K = 60
 DENSE_POOL = 50
 EMBED_UNIT_CHARS = 3000
-QUERY_CHARS = 2000
 
 # --- fixed values: names ------------------------------------------------------------------------
 RESERVED_TITLES = ("home", "index", "log", "lint", "schema")

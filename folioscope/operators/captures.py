@@ -30,10 +30,6 @@ def links_from_text(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     return docs.select(key, F.posexplode(U.urls_in(text)).alias("pos", "target"))
 
 
-def files_without_links(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    return docs.filter(F.size(U.urls_in(text)) == 0).select(key)
-
-
 def import_link_lists(files: DataFrame) -> DataFrame:
     """Dated link lists `files(name, text)`: the first save date of each address wins.
 

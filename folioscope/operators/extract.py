@@ -67,7 +67,7 @@ def _attribute(tag: Column, name: str) -> Column:
     return unescape(F.regexp_replace(value, r"""^["']|["']$""", ""))
 
 
-def image_links(html, url) -> Column:
+def image_links(html, url, most: int | None = None) -> Column:
     """At most five content images of the article: array<struct<alt, url>>, linked, never fetched."""
 
     def described(tag):
@@ -91,27 +91,25 @@ def image_links(html, url) -> Column:
         F.filter(tags, content), lambda i: F.struct(i["alt"].alias("alt"), U.absolute_url(url, i["src"]).alias("url"))
     )
     web = F.filter(linked, lambda i: i["url"].rlike("(?i)^https?://"))
-    return T.let(
+    first = T.let(
         web,
-        lambda v: F.slice(
-            F.filter(
-                F.transform(v, lambda i, n: F.struct(i["alt"].alias("alt"), i["url"].alias("url"), n.alias("n"))),
-                lambda i: F.array_position(F.transform(v, lambda o: o["url"]), i["url"]) == i["n"] + 1,
-            ),
-            1,
-            MAX_IMAGES,
+        lambda v: F.filter(
+            F.transform(v, lambda i, n: F.struct(i["alt"].alias("alt"), i["url"].alias("url"), n.alias("n"))),
+            lambda i: F.array_position(F.transform(v, lambda o: o["url"]), i["url"]) == i["n"] + 1,
         ),
     )
+    return first if most is None else F.slice(first, 1, most)
 
 
-def page_images(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", F.inline(image_links("html", F.col("url")))).select("page_id", "n", "alt", "url")
+def page_images(pages: DataFrame, most: int | None = None) -> DataFrame:
+    """Content images of each page, all of them or the first `most`."""
+    return pages.select("page_id", F.inline(image_links("html", F.col("url"), most))).select("page_id", "n", "alt", "url")
 
 
 POST_SCHEMA = "`@type` string, articleBody string, headline string, author struct<name:string>"
 
 
-def extract_posts(pages: DataFrame, max_links: int = 10) -> DataFrame:
+def extract_posts(pages: DataFrame, max_links: int | None = None) -> DataFrame:
     """Social posts from a page's structured data; comments sit in other fields and are left out."""
     blocks = T.find_all("html", r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>", 1)
     posts = F.filter(
@@ -129,7 +127,7 @@ def extract_posts(pages: DataFrame, max_links: int = 10) -> DataFrame:
         F.when(F.col("author") != "", F.concat("author", F.lit(" on LinkedIn: "), headline)).otherwise(headline).alias("title"),
         F.when(F.col("author") != "", F.concat(F.lit("By "), "author", F.lit("\n\n"), "body")).otherwise(F.col("body")).alias("text"),
         F.lit("article").alias("kind"),
-        F.slice(U.urls_in("body"), 1, max_links).alias("links"),
+        (U.urls_in("body") if max_links is None else F.slice(U.urls_in("body"), 1, max_links)).alias("links"),
     )
 
 
@@ -143,11 +141,6 @@ def outbound_url(html) -> Column:
 # -------------------------------------------------------------------------------- site chrome
 
 
-def site_rules(spark: SparkSession, rules: dict | None = None) -> DataFrame:
-    """The chrome rules as a table, one row per site: another site is another row."""
-    return spark.createDataFrame(_rule_rows(rules or R.SITE_RULES), ", ".join(f"{n} {t}" for n, t in RULES))
-
-
 RULES = (
     ("site", "string"), ("ord", "int"), ("hosts", "string"), ("signature", "string"), ("plain", "array<string>"),
     ("words", "array<string>"), ("heads", "array<string>"), ("lines", "string"), ("any_head", "string"),

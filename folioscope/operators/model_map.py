@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as T
 from folioscope.functions import urls as U
 from folioscope.functions import values as V
-from folioscope.operators.common import computed, first_by, top_k
+from folioscope.operators.common import computed, first_by, ordered_scan, top_k
 from folioscope.operators.names import resolve_refs
 
 
@@ -183,14 +183,16 @@ def validate_plans(raw: DataFrame) -> DataFrame:
     return checked.select("doc_id", "plan", "repaired", "errors", (F.size("errors") == 0).alias("valid"))
 
 
-def links_to_follow(plans: DataFrame, docs: DataFrame, most: int = 3) -> DataFrame:
+def links_to_follow(plans: DataFrame, docs: DataFrame, most: int | None = None) -> DataFrame:
     """The post's own links a plan chose: (doc_id, place, url) in the plan's order and the post's
-    spelling. `plans(doc_id, follow)`, `docs(doc_id, links)`."""
+    spelling, all or the first `most`. `plans(doc_id, follow)`, `docs(doc_id, links)`."""
     own = docs.select("doc_id", F.posexplode("links").alias("at", "url")).withColumn("n", U.normalize_url("url"))
     spelled = own.groupBy("doc_id", "n").agg(F.max_by("url", "at").alias("url"))
     chosen = plans.select("doc_id", F.posexplode("follow").alias("pos", "asked")).filter(U.is_url("asked"))
     hit = chosen.withColumn("n", U.normalize_url("asked")).join(spelled, ["doc_id", "n"])
     once = first_by(hit.select("doc_id", "url", "pos"), ["doc_id", "url"], ["pos"])
+    if most is None:
+        return ordered_scan(once, ["pos", "url"], ["doc_id"]).select("doc_id", F.col("rn").alias("place"), "url")
     return top_k(once, ["doc_id"], [F.col("pos")], most, "place").select("doc_id", "place", "url")
 
 

@@ -72,13 +72,6 @@ def public_body(pages: DataFrame, private: DataFrame) -> DataFrame:
     )
 
 
-def same_side(rows: DataFrame, hidden: DataFrame, page: str = "page_id", is_private: str = "is_private") -> DataFrame:
-    """Keep rows whose page is on the same side of the privacy line as their source."""
-    secret = hidden.select(F.col("page_id").alias(page)).distinct().withColumn("_secret", F.lit(True))
-    marked = rows.join(secret, page, "left").withColumn("_secret", F.coalesce("_secret", F.lit(False)))
-    return marked.filter(F.col("_secret") == F.col(is_private)).drop("_secret")
-
-
 def public_references(rows: DataFrame, hidden: DataFrame, page: str = "page_id") -> DataFrame:
     """References a public note may make: never to a private page."""
     return rows.join(hidden.select(F.col("page_id").alias(page)).distinct(), page, "left_anti")

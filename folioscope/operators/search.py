@@ -190,25 +190,6 @@ def _dense_by_blocks(queries: DataFrame, vectors: DataFrame, k: int, n_queries:
     return left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(score, schema)
 
 
-def dense_search_lsh(queries: DataFrame, vectors: DataFrame, k: int = V.DENSE_POOL, bucket: float = 0.5, tables: int = 6):
-    """Approximate `dense_search` (opt-in): random-projection buckets first, exact scores after."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def unit(df, key):
-        norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-        scaled = F.transform("vec", lambda x: x.cast("double") / F.when(norm == 0, 1.0).otherwise(norm))
-        return df.select(key, array_to_vector(scaled).alias("v"))
-
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=7)
-    side = unit(vectors.filter(F.col("chunk") >= 0), "page_id")
-    model = lsh.fit(side)
-    near = model.approxSimilarityJoin(unit(queries, "query_id"), side, 2.0, distCol="d")
-    scored = near.select("datasetA.query_id", "datasetB.page_id", (1 - F.col("d") ** 2 / 2).alias("score"))
-    best = scored.groupBy("query_id", "page_id").agg(F.max("score").alias("score"))
-    return top_k(best, ["query_id"], [F.round("score", 9).desc(), F.col("page_id")], k)
-
-
 def embed_units(pages: DataFrame) -> DataFrame:
     """The texts a page is embedded as: its introduction and each `## ` section, led by the title."""
     parts = F.split("body", r"(?m)^## ")

@@ -66,7 +66,7 @@ def content_images(spark, d):
               '<img class="avatar big" src="/me.jpg"><img src="/big.jpg" alt=\'Two &amp; more\' width=640 height="480"><img src="/big.jpg">'),
     )
     pages = table(spark, d, "pages").withColumn("html", F.replace("html", F.lit("<article>"), tags))
-    return X.page_images(pages).select("page_id", "alt", "url")
+    return X.page_images(pages, X.MAX_IMAGES).select("page_id", "alt", "url")
 
 
 _HEAD = r"regexp_extract(b, '^([^\n\r]*)', 1)"
@@ -93,7 +93,7 @@ def social_posts(spark, d):
         F.lit('<script type="application/ld+json">'), F.replace(post, F.lit("</"), F.lit("<\\/")), F.lit("</script></html>"),
     )
     pages = docs.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("https://www.linkedin.com/posts/"), F.col("doc_id").cast("string")).alias("url"), html.alias("html"))
-    return X.extract_posts(pages).select("page_id", "title", F.md5("text").alias("text_md5"), F.get("links", F.lit(0)).alias("link"))
+    return X.extract_posts(pages, 10).select("page_id", "title", F.md5("text").alias("text_md5"), F.get("links", F.lit(0)).alias("link"))
 
 
 @query(

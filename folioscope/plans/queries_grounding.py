@@ -38,7 +38,7 @@ def verified_quotes(spark, d):
     lines = docs.select("doc_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("pos", "line"))
     quotes = lines.select("doc_id", "pos", F.concat(F.lit("“"), "line", F.lit("”")).alias("quote"))
     wrong = docs.select("doc_id", F.lit(-1).alias("pos"), F.lit("a sentence that nobody ever wrote in here").alias("quote"))
-    return G.verify_quotes(quotes.unionByName(wrong), docs).select("doc_id", F.md5("quote").alias("quote"), "place")
+    return G.verify_quotes(quotes.unionByName(wrong), docs, 5).select("doc_id", F.md5("quote").alias("quote"), "place")
 
 
 @query(
@@ -324,7 +324,7 @@ def links_to_follow(spark, d):
     )
     plans = pages.select(F.col("page_id").alias("doc_id"), asked.alias("follow"))
     docs = pages.select(F.col("page_id").alias("doc_id"), F.array("url", other).alias("links"))
-    return MM.links_to_follow(plans, docs).select(F.col("doc_id").alias("page_id"), "url", "place")
+    return MM.links_to_follow(plans, docs, 3).select(F.col("doc_id").alias("page_id"), "url", "place")
 
 
 @query(

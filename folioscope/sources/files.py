@@ -146,7 +146,6 @@ def changed_pages(previous: DataFrame, now: DataFrame, same_layout: bool = True)
 
 # ------------------------------------------------------------------------------------ file drops
 
-CAPTURABLE = (".md", ".pdf", ".txt")
 
 
 def classify_drops(files: DataFrame, images: bool = False) -> DataFrame:
@@ -184,14 +183,6 @@ def write_pages(pages: DataFrame, path: str, mode: str = "overwrite") -> None:
     pages.write.mode(mode).partitionBy("kind").parquet(path)
 
 
-def write_postings(index: DataFrame, path: str, buckets: int = 64) -> None:
-    """Postings by term bucket, so a search reads only the folders of its words."""
-    bucketed = index.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)))
-    bucketed.repartition("bucket", F.pmod("page_id", F.lit(16))).sortWithinPartitions("term").write.mode(
-        "overwrite"
-    ).partitionBy("bucket").parquet(path)
-
-
 def append_run(runs: DataFrame, path: str) -> None:
     runs.write.mode("append").parquet(path)
 
