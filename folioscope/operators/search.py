@@ -15,6 +15,7 @@ from folioscope.operators.common import durable, top_k
 
 MAX_BROADCAST_QUERY_CELLS = 4_000_000  # query vectors x dimensions sent to every task (16 MB)
 QUERY_BLOCK = 2048
+SCORED_AT_ONCE = 256
 
 
 # ----------------------------------------------------------------------------------- keywords
@@ -133,14 +134,15 @@ def _unit(rows: list) -> np.ndarray:
 
 def _best_pages(query_ids, queries, page_ids, matrix, pool) -> pd.DataFrame:
     """The best `pool` pages of one batch for each query. A page in the overall top is in the top of
-    the batch that holds its best chunk, so nothing is lost by cutting here."""
-    scores = matrix @ queries.T
-    frame = pd.DataFrame(scores, columns=query_ids)
-    best = frame.groupby(np.asarray(page_ids), sort=True).max()
+    the batch that holds its best chunk, so nothing is lost by cutting here. Queries are taken in
+    blocks, so the score matrix has a fixed size."""
     out = []
-    for q in best.columns:
-        top = best[q].round(9).sort_values(ascending=False, kind="stable").head(pool)
-        out.append(pd.DataFrame({"query_id": q, "page_id": top.index, "score": best[q].loc[top.index].to_numpy()}))
+    for at in range(0, len(query_ids), SCORED_AT_ONCE):
+        frame = pd.DataFrame(matrix @ queries[at : at + SCORED_AT_ONCE].T, columns=query_ids[at : at + SCORED_AT_ONCE])
+        best = frame.groupby(np.asarray(page_ids), sort=True).max()
+        for q in best.columns:
+            top = best[q].round(9).sort_values(ascending=False, kind="stable").head(pool)
+            out.append(pd.DataFrame({"query_id": q, "page_id": top.index, "score": best[q].loc[top.index].to_numpy()}))
     return pd.concat(out, ignore_index=True)
 
 

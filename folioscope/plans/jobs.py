@@ -43,6 +43,7 @@ def ingest_corpus(
     max_calls: int | None = None,
     fan_in: int = 16,
     extractor: Callable[[DataFrame], DataFrame] | None = None,
+    remote: bool = False,
 ) -> Tables:
     """Captured documents to verified edits of the wiki.
 
@@ -50,7 +51,8 @@ def ingest_corpus(
     model functions are the caller's: `plan_fn(prompts) -> JSON plans`, `notes_fn` -> JSON notes for
     documents longer than `max_chars`, read chunk by chunk. What a limit of calls leaves is the table
     `unread`, for a later run; a long document without notes is in `failed`, never planned from a
-    part of its text. Every stage is a table; the two model stages are written down before they are
+    part of its text. With `remote` models, private documents (mail) reach no prompt and are in
+    `failed` too. Every stage is a table; the two model stages are written down before they are
     read again, so no call is paid twice.
     """
     pages, sources = inputs["pages"], inputs["sources"]
@@ -59,7 +61,9 @@ def ingest_corpus(
     docs = docs.withColumn("content_hash", T.content_hash("text"))
     known = Q.known_docs(docs.select("doc_id", "url", "content_hash"), pages.filter("kind = 'sources'"))
     fresh = docs.join(known.filter(F.col("existing_title").isNull()).select("doc_id"), "doc_id", "left_semi")
-    fresh = durable(fresh)
+    every = durable(fresh)
+    withheld = every.filter("kind = 'email'") if remote else every.filter(F.lit(False))
+    fresh = every.join(withheld.select("doc_id"), "doc_id", "left_anti")
 
     long = fresh.filter(F.length("text") > max_chars)
     chunks = C.split_chunks(long, max_chars)
@@ -82,7 +86,9 @@ def ingest_corpus(
     )
     prompts = offered.filter(F.col("prompt").isNotNull())
     reason = F.when(F.col("prompt").isNull(), "too long, and not read").when(~F.col("whole"), "notes cut to the budget")
-    failed = offered.select("doc_id", reason.alias("reason")).filter(F.col("reason").isNotNull())
+    failed = offered.select("doc_id", reason.alias("reason")).filter(F.col("reason").isNotNull()).unionByName(
+        withheld.select("doc_id", F.lit("private, and the model is remote").alias("reason"))
+    )
     answered = durable(MM.map_model(prompts.select("doc_id", "prompt"), plan_fn).select("doc_id", F.col("output").alias("raw_json")))
     plans = durable(MM.validate_plans(answered))
     leaks_in = plans.filter("valid").select("doc_id", "plan.*")
@@ -220,11 +226,17 @@ def compare_models(spark: SparkSession, inputs: Tables, *, models: dict[str, Cal
     return {"trials": trials, "summary": summary, "routing": O.suggest_routing(summary)}
 
 
-def consolidate(spark: SparkSession, inputs: Tables, *, summary_fn: Callable, language: str = "en", heading: str = "Summary", manual: bool = False) -> Tables:
+def consolidate(
+    spark: SparkSession, inputs: Tables, *, summary_fn: Callable, language: str = "en", heading: str = "Summary", manual: bool = False, remote: bool = False
+) -> Tables:
     """Summaries of the concept pages that are due. `inputs`: pages, sources. A summary that fails the
-    checks goes to `reviews`; the others are put into their page."""
+    checks goes to `reviews`; the others are put into their page. Due pages without sections or an
+    answer are in `skipped`, and with a `remote` model also those that private sources touched."""
     pages = inputs["pages"]
-    due = durable(P.due_pages(pages, inputs["sources"], manual))
+    wanted = durable(P.due_pages(pages, inputs["sources"], manual))
+    touched = S.touched_pages(pages, inputs["sources"], S.private_sources(pages)) if remote else wanted.filter(F.lit(False))
+    withheld = wanted.join(touched.select("page_id").distinct(), "page_id", "left_semi")
+    due = wanted.join(withheld.select("page_id"), "page_id", "left_anti")
     mine = pages.join(due.select("page_id", "n_sources"), "page_id")
     shown = C.page_sections(mine).groupBy("page_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "source", "shown"))), lambda s: F.concat(s["source"], F.lit(": "), T.fence_safe(s["shown"]))), "\n").alias("prompt"),
@@ -240,13 +252,17 @@ def consolidate(spark: SparkSession, inputs: Tables, *, summary_fn: Callable, la
     updated = written.withColumn("body", C.put_section("body", heading, F.col("_s"))).withColumn("summary_sources", F.col("_n")).drop("_s", "_n")
     unanswered = named.filter(F.col("output").isNull()).select("page_id", F.col("status").alias("reason"))
     skipped = due.join(shown.select("page_id"), "page_id", "left_anti").select("page_id", F.lit("no sections").alias("reason")).unionByName(unanswered)
+    skipped = skipped.unionByName(withheld.select("page_id", F.lit("private, and the model is remote").alias("reason")))
     return {"due": due, "updated": updated, "skipped": skipped, "reviews": judged.filter(F.size("problems") > 0), "merge_suggestions": Z.merge_suggestions(pages, due)}
 
 
 def rebuild(spark: SparkSession, inputs: Tables, *, every: bool = False, words: list[str] | None = None, **ingest_options) -> Tables:
-    """Selected notes forgotten and ingested again from their saved text; what the user owns is kept.
+    """Selected notes ingested again from their saved text; what the user owns is kept.
 
-    `inputs`: pages, sources, raw(title, doc_id, target, url, text, kind, added_at).
+    `inputs`: pages, sources, raw(title, doc_id, target, url, text, kind, added_at). An old note is
+    forgotten only where its new plan is valid: the others stay as they are and are listed in `kept`.
+    The new notes keep their title, so that links to them hold, and status, read date, captured date
+    and tags.
     """
     pages, sources = inputs["pages"], inputs["sources"]
     chosen = durable(P.rebuild_selection(pages.filter("kind = 'sources'"), every=every, words=words))
@@ -254,7 +270,19 @@ def rebuild(spark: SparkSession, inputs: Tables, *, every: bool = False, words:
     captures = inputs["raw"].join(chosen.select("title"), "title", "left_semi")
     left = {"pages": durable(cleared["pages"]), "sources": durable(cleared["sources"]), "captures": captures}
     done = ingest_corpus(spark, left, **ingest_options)
-    return {**done, "chosen": chosen, "pages_left": left["pages"], "sources_left": left["sources"]}
+    titles = inputs["raw"].select("doc_id", F.col("title").alias("_title"))
+    new = durable(done["notes"].join(titles, "doc_id").withColumn("title", F.col("_title")).drop("_title"))
+    replaced = new.select("title").distinct()
+    after = P.forget(pages, sources, replaced)
+    merged = P.rebuild_merge(_with_user_fields(pages.filter("kind = 'sources'")), _with_user_fields(new))
+    kept = chosen.select("title").join(replaced, "title", "left_anti")
+    return {**done, "notes": merged, "chosen": chosen, "kept": kept, "pages_left": durable(after["pages"]), "sources_left": durable(after["sources"])}
+
+
+def _with_user_fields(notes: DataFrame) -> DataFrame:
+    """`notes` with the columns that belong to the user, null where they are missing."""
+    types = {"status": "string", "read": "date", "content_hash": "string", "captured": "date", "tags": "array<string>"}
+    return notes.select("*", *[F.lit(None).cast(t).alias(c) for c, t in types.items() if c not in notes.columns])
 
 
 JOBS = {f.__name__: f for f in (ingest_corpus, ask_batch, lint_corpus, daily_report, evaluate_retrieval, compare_models, consolidate, rebuild)}

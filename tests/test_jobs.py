@@ -400,3 +400,80 @@ def test_due_pages_carry_over(spark, tmp_path):
         J.due_pages = known
     got = [r.page_id for r in spark.read.parquet(f"{tmp_path}/out/due").collect()]
     assert set(got) == {1, 2, 3, 4}
+
+
+PLAN = {
+    "title": "Graphs anew", "one_liner": "What a graph is made of.", "summary": "A graph is made of nodes joined by edges.", "key_points": ["a"],
+    "concepts": [{"title": "Graph", "aliases": [], "description": "Says what joins nodes."}],
+}
+
+
+def _captured(spark, *rows):
+    return spark.createDataFrame(
+        [(i, f"https://x.org/{i}", f"https://x.org/{i}", text, kind, title, f"2024-01-0{i}") for i, title, kind, text in rows],
+        "doc_id long, target string, url string, text string, kind string, title string, added_at string",
+    )
+
+
+def test_rebuild_keeps_what_the_user_owns(spark, wiki):
+    pages = wiki(
+        page(1, "Old one", "sources", url="https://x.org/1", status="read", read=date(2024, 1, 5)), page(2, "Old two", "sources", url="https://x.org/2", status="new"),
+        page(3, "Graph", sources=["Old one", "Old two"], body="# Graph\n\n## From [[Old one]]\nx\n\n## From [[Old two]]\ny"),
+    )
+    raw = _captured(spark, (1, "Old one", "article", "Graphs join nodes by edges. " * 20), (2, "Old two", "article", "Nothing works here at all. " * 20))
+    done = jobs.rebuild(
+        spark, {"pages": pages, "sources": N.page_sources(pages), "raw": raw}, every=True, today=date(2024, 2, 1),
+        plan_fn=lambda ps: [json.dumps(PLAN) if "Graphs" in p else "{}" for p in ps],
+    )
+    assert [(r.title, r.status, r.read) for r in done["notes"].collect()] == [("Old one", "read", date(2024, 1, 5))]
+    assert [r.title for r in done["kept"].collect()] == ["Old two"]
+    assert {r.title for r in done["pages_left"].collect()} == {"Old two", "Graph"}
+
+
+def test_remote_models_see_nothing_private(spark, wiki):
+    seen = []
+
+    def plan(prompts):
+        assert not any("secret" in p for p in prompts)
+        return [json.dumps(PLAN)] * len(prompts)
+
+    caps = _captured(spark, (1, "Public", "article", "Graphs join nodes by edges. " * 20), (2, "Mail", "email", "secret words of Anna. " * 20))
+    pages = wiki(page(9, "Other"))
+    done = jobs.ingest_corpus(spark, {"captures": caps, "pages": pages, "sources": N.page_sources(pages)}, plan_fn=plan, today=date(2024, 2, 1), remote=True)
+    assert [r.doc_id for r in done["failed"].collect()] == [2] and [r.doc_id for r in done["notes"].collect()] == [1] and not seen
+
+    section = lambda s: f"\n\n## From [[{s}]]\nGraphs are good for finding a way, says {s}."
+    body = "# Graph" + section("a") + section("b") + section("m")
+    pages = wiki(page(1, "Graph", sources=["a", "b", "m"], body=body), page(2, "m", "sources", doc_kind="email"), page(3, "Tree", sources=["a", "b", "c"], body="# Tree"))
+
+    def summary(prompts):
+        raise AssertionError("no page may be shown")
+
+    done = jobs.consolidate(spark, {"pages": pages, "sources": N.page_sources(pages)}, summary_fn=summary, remote=True)
+    assert {r.page_id: r.reason for r in done["skipped"].collect()} == {1: "private, and the model is remote", 3: "no sections"}
+
+
+def test_long_documents_are_read_or_refused(spark, wiki):
+    pages = wiki(page(9, "Other"))
+    caps = _captured(spark, (1, "Long", "article", "\n\n".join("Graphs join nodes by edges. " * 30 for _ in range(20))))
+    inputs = {"captures": caps, "pages": pages, "sources": N.page_sources(pages)}
+    done = jobs.ingest_corpus(spark, inputs, plan_fn=lambda ps: [json.dumps(PLAN)] * len(ps), today=date(2024, 2, 1), max_chars=2000)
+    assert [r.reason for r in done["failed"].collect()] == ["too long, and not read"] and done["plans"].count() == 0
+    note = json.dumps({"points": ["Graphs join nodes."], "terms": [], "quotes": [], "relations": []})
+    done = jobs.ingest_corpus(
+        spark, inputs, plan_fn=lambda ps: [json.dumps(PLAN)] * len(ps), notes_fn=lambda ps: [note] * len(ps), today=date(2024, 2, 1), max_chars=2000, max_calls=8, fan_in=3
+    )
+    assert done["failed"].count() == 0 and done["plans"].count() == 1 and done["unread"].count() > 0
+
+
+def test_refused_answers_are_rows(spark, wiki):
+    pages = wiki(page(1, "Graph", body="A graph has nodes and edges."))
+    asked = spark.createDataFrame([(1, "What is a graph?"), (2, "zzqx unheard"), (3, "graph nodes please"), (4, "edges of a graph")], "query_id long, question string")
+
+    def answer(prompts):
+        good = json.dumps({"title": "t", "one_liner": "x", "answer": "A graph has nodes and edges [[Graph]].", "cited_pages": ["Graph"]})
+        return ["not json" if "please" in p else json.dumps({"answer": "short"}) if "edges of" in p else good for p in prompts]
+
+    done = jobs.ask_batch(spark, {"questions": asked, "pages": pages, "sources": N.page_sources(pages)}, answer_fn=answer)
+    assert {r.query_id: r.reason for r in done["refused"].collect()} == {2: "nothing found", 3: "no answer in it", 4: "answer too short"}
+    assert {r.answer_id for r in done["answers"].collect()} == {1}
