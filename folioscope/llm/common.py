@@ -16,8 +16,12 @@ SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below `spark.checkpoint.dir` (set only where it is unset) that driver and executors both reach."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or checkpoint_dir(spark)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or checkpoint_dir(spark)
+    path = context._jvm.org.apache.hadoop.fs.Path(root)
+    full = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()  # tasks may have another default
+    full = full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+    return f"{full.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -60,12 +64,16 @@ def read_file(uri: str) -> bytes:
         return source.read()
 
 
-def per_worker(key: str, make):
-    """State that a Python worker makes once and keeps for its later tasks (functions travel by value, so module globals don't stay)."""
+def per_worker(kind: str, key: str, make):
+    """State that a Python worker makes once and keeps for its later tasks (functions travel by value, so module globals don't stay).
+
+    A worker keeps one state of each kind: another key replaces it.
+    """
     kept = sys.__dict__.setdefault("_folioscope_llm", {})
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    if kind not in kept or kept[kind][0] != key:
+        kept.pop(kind, None)
+        kept[kind] = (key, make())
+    return kept[kind][1]
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -84,7 +92,7 @@ def components(edges: DataFrame) -> DataFrame:
     def large(e):
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        return both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        return both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
 
     def small(e):
         down = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))

@@ -49,61 +49,77 @@ def _bounds(distance: int) -> list[tuple[int, int]]:
     return list(zip(edges, edges[1:], strict=False))
 
 
-def variants(prints: DataFrame, distance: int) -> DataFrame:
-    """(p, masked): for every bit p, the segment of p with that bit deleted. Prints that differ by one bit of a segment share such a row."""
-    signed = lambda x: x - (1 << BITS) if x >> (BITS - 1) else x
-    keys = []
-    for low, high in _bounds(distance):
-        for p in range(low, high):
-            mask = ((1 << high) - (1 << low)) & ~(1 << p)
-            keys.append(F.struct(F.lit(p).cast("short").alias("p"), F.col("fp").bitwiseAND(F.lit(signed(mask))).alias("masked")))
-    return prints.select(*prints.columns, F.inline(F.array(*keys)))
+def _signed(x: int) -> int:
+    return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def _far(a: str, b: str):
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+def segments(prints: DataFrame, distance: int) -> DataFrame:
+    """(fp, s, x, low, high): each fingerprint once per segment s, with the segment's value x and bounds."""
+    cut = [
+        F.struct(F.lit(s).alias("s"), F.col("fp").bitwiseAND(F.lit(_signed((1 << high) - (1 << low)))).alias("x"), F.lit(low).alias("low"), F.lit(high).alias("high"))
+        for s, (low, high) in enumerate(_bounds(distance))
+    ]
+    return prints.select("fp", F.inline(F.array(*cut)))
+
+
+def variants(values: DataFrame) -> DataFrame:
+    """(p, masked, ...): for every bit p of a segment value, the value with that bit deleted. Two values share such a row if they differ in bit p alone."""
+    spread = values.withColumn("p", F.explode(F.sequence("low", F.col("high") - 1)))
+    return spread.withColumn("masked", F.expr("x & ~shiftleft(1L, p)"))
+
+
+def _far(a, b):
+    column = lambda c: F.col(c) if isinstance(c, str) else c
+    return F.bit_count(column(a).bitwiseXOR(column(b)))
+
+
+BUCKET = ["s", "x", "y"]
 
 
 def _centres(shared: DataFrame) -> DataFrame:
-    """(p, masked, pivot): of each bucket the member nearest to the bucket's majority, bit by bit."""
+    """(s, x, y, pivot): of each bucket the member nearest to the bucket's majority, bit by bit."""
     ones = [F.sum(F.shiftright("fp", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(BITS)]
-    counted = shared.groupBy("p", "masked").agg(F.count(F.lit(1)).alias("n"), *ones)
+    counted = shared.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("n"), *ones)
     centre = F.lit(0).cast("long")
     for b in range(BITS):
         centre = centre.bitwiseOR(F.shiftleft((2 * F.col(f"b{b}") > F.col("n")).cast("long"), b))
-    middle = counted.select("p", "masked", centre.alias("centre"))
-    return shared.join(middle, ["p", "masked"]).groupBy("p", "masked").agg(F.min_by("fp", F.struct(_far("fp", "centre"), "fp")).alias("pivot"))
+    middle = counted.select(*BUCKET, centre.alias("centre"))
+    return shared.join(middle, BUCKET).groupBy(*BUCKET).agg(F.min_by("fp", F.struct(_far("fp", "centre"), "fp")).alias("pivot"))
 
 
 def print_classes(prints: DataFrame, distance: int = 4) -> DataFrame:
     """(fp, class): classes of the distinct fingerprints `fp` that links of `distance` bits or fewer connect; class is their least print.
 
-    A bucket of two or three members is decided by its aggregate alone: least, greatest and exclusive-or tell all three. In larger ones
-    every member is first linked to the most central member where it is near enough, and components are taken: this joins nearly all of
-    a dense group by one row per member and bucket. What is left is decided exactly: where a bucket holds members of several components,
-    those outside its largest component meet all members of another component, and each pair is verified. So links are lost nowhere,
-    yet a group of n copies never makes n^2 pairs, and a hot bucket is one side of a join that Spark splits.
+    Prints are grouped by segment value, and values that differ in one bit meet in a row of `variants`, which at most two values share.
+    Where a value has one print, or two of its own, the aggregate decides. The other values and pairs of values are buckets: every member
+    is first linked to the most central member where it is near enough, and components are taken; this joins nearly all of a dense group
+    by one row per member and bucket. What is left is decided exactly: where a bucket holds members of several components, those outside
+    its largest component meet all members of another component, and each pair is verified. So links are lost nowhere, yet a group of n
+    copies never makes n^2 pairs, and a hot bucket is one side of a join that Spark splits.
     """
-    rows = variants(prints.select("fp"), distance)
-    sizes = rows.groupBy("p", "masked").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.bit_xor("fp").alias("x"), F.count(F.lit(1)).alias("n"))
-    buckets = stored(sizes.filter("n > 1"), "simhash-buckets")
-    middle = F.col("lo").bitwiseXOR(F.col("hi")).bitwiseXOR(F.col("x"))
-    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
-    three = F.array(pair(F.col("lo"), F.col("hi")), pair(F.col("lo"), middle), pair(middle, F.col("hi")))
-    few = buckets.filter("n <= 3").select(F.inline(F.when(F.col("n") == 3, three).otherwise(F.slice(three, 1, 1)))).filter(_far("a", "b") <= distance)
-    shared = stored(rows.join(buckets.filter("n > 3").select("p", "masked"), ["p", "masked"]), "simhash-members")
-    starred = shared.join(_centres(shared), ["p", "masked"])
+    parts = segments(prints.select("fp"), distance)
+    values = durable(parts.groupBy("s", "x", "low", "high").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count(F.lit(1)).alias("m")))
+    side = F.struct("x", "lo", "m")
+    met = variants(values).groupBy("p", "masked").agg(F.min("s").alias("s"), F.min(side).alias("a"), F.max(side).alias("b"), F.count(F.lit(1)).alias("n"))
+    met = stored(met.filter("n = 2").filter((F.col("a.m") > 1) | (F.col("b.m") > 1) | (_far("a.lo", "b.lo") <= distance)), "simhash-values")
+    single = (F.col("a.m") == 1) & (F.col("b.m") == 1)
+    few = met.filter(single).select(F.col("a.lo").alias("a"), F.col("b.lo").alias("b"))
+    few = few.union(values.filter((F.col("m") == 2) & (_far("lo", "hi") <= distance)).select("lo", "hi"))
+    buckets = met.filter(~single).select("s", F.col("a.x").alias("x"), F.col("b.x").alias("y")).union(values.filter("m > 2").select("s", "x", F.col("x").alias("y")))
+    of = buckets.select(*BUCKET, F.explode(F.array_distinct(F.array("x", "y"))).alias("v"))
+    shared = stored(parts.select("fp", F.col("s").alias("_s"), F.col("x").alias("_x")).join(of, (F.col("_s") == F.col("s")) & (F.col("_x") == F.col("v"))).select(*BUCKET, "fp"), "simhash-members")
+    starred = shared.join(_centres(shared), BUCKET)
     near = starred.filter((F.col("fp") != F.col("pivot")) & (_far("fp", "pivot") <= distance)).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
     first = components(few.union(near))
-    members = shared.select("p", "masked", "fp").join(first.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    members = shared.join(first.select(F.col("node").alias("fp"), "root"), "fp", "left")
     members = members.withColumn("root", F.coalesce("root", "fp"))
-    sizes = members.groupBy("p", "masked", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("p", "masked").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").drop("roots")
-    open_ = durable(members.join(mixed, ["p", "masked"]))
-    left = open_.select("p", "masked", "main", F.col("fp").alias("f"), F.col("root").alias("r"))
-    right = open_.filter("root <> main").select("p", "masked", F.col("fp").alias("g"), F.col("root").alias("q"))
+    sizes = members.groupBy(*BUCKET, "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy(*BUCKET).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").drop("roots")
+    open_ = durable(members.join(mixed, BUCKET))
+    left = open_.select(*BUCKET, "main", F.col("fp").alias("f"), F.col("root").alias("r"))
+    right = open_.filter("root <> main").select(*BUCKET, F.col("fp").alias("g"), F.col("root").alias("q"))
     apart = (F.col("r") != F.col("q")) & ((F.col("r") == F.col("main")) | (F.col("r") < F.col("q")))
-    pairs = left.join(right, ["p", "masked"]).filter(apart & (_far("f", "g") <= distance)).select(F.col("r").alias("a"), F.col("q").alias("b"))
+    pairs = left.join(right, BUCKET).filter(apart & (_far("f", "g") <= distance)).select(F.col("r").alias("a"), F.col("q").alias("b"))
     second = components(pairs).select(F.col("node").alias("root"), F.col("root").alias("top"))
     joined = first.join(second, "root", "left").select("node", F.coalesce("top", "root").alias("class"))
     alone = second.join(first, second["root"] == first["node"], "left_anti").select(F.col("root").alias("node"), F.col("top").alias("class"))
