@@ -163,7 +163,7 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", path: str | Non
     where = path or tokenizer_path()
 
     def run(batches):
-        coder = per_worker(f"bpe-{where}", lambda: PrefixEncoder(where))
+        coder = per_worker("bpe", where, lambda: PrefixEncoder(where))
         for pdf in batches:
             for i in range(0, len(pdf), 512):
                 part = pdf.iloc[i : i + 512]

@@ -100,7 +100,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 def encoder(path: str | None = None) -> ChunkEncoder:
     """The encoder of this Python worker, with what it remembers from earlier tasks. The vocabulary must have at most 65,536 entries."""
     where = path or tokenizer_path()
-    return per_worker(f"tokenizer-{where}", lambda: ChunkEncoder(where))
+    return per_worker("tokenizer", where, lambda: ChunkEncoder(where))
 
 
 def encoded(texts, path: str | None = None, at_once: int = 256):

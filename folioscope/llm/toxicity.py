@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from dataclasses import dataclass
 
@@ -188,10 +189,10 @@ def _features(texts: pd.Series, model: Model, cache: dict[str, float]) -> pd.Dat
 def features(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """Four length-normalised differences per document: per letter of the whole text, of its strongest word, of its three strongest, and its length."""
     spark = docs.sparkSession
-    packed, key = spark.sparkContext.broadcast(model.pack()), f"toxicity-{id(model)}-{np.random.randint(1 << 62)}"
+    packed, key = spark.sparkContext.broadcast(model.pack()), uuid.uuid4().hex
 
     def score(batches):
-        held = per_worker(key, lambda: (Model.unpack(packed.value), {}))
+        held = per_worker("toxicity", key, lambda: (Model.unpack(packed.value), {}))
         for pdf in batches:
             for i in range(0, len(pdf), 500):
                 part = pdf.iloc[i : i + 500].reset_index(drop=True)
