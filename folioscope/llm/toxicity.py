@@ -76,7 +76,7 @@ def gram_rows(batches, groups: tuple[int, ...]):
                     held = counts[g]
                     for w in words_of(text):
                         held[w] = held.get(w, 0) + 1
-            if sum(map(len, counts.values())) > 100_000:  # bounded memory: hand out what there is; sums follow in Spark
+            if sum(map(len, counts.values())) > 50_000:  # bounded memory: hand out what there is; sums follow in Spark
                 yield from _gram_frames(counts)
                 counts = {g: {} for g in groups}
     yield from _gram_frames(counts)
@@ -171,7 +171,7 @@ def word_scores(words: list[str], model: Model) -> np.ndarray:
 def _features(texts: pd.Series, model: Model, cache: dict[str, float]) -> pd.DataFrame:
     split = [words_of(t) for t in texts]
     new = list({w for ws in split for w in ws if w not in cache})
-    if len(cache) + len(new) > 400_000:  # bounded memory: forgetting only costs time
+    if len(cache) + len(new) > 200_000:  # bounded memory: forgetting only costs time
         cache.clear()
         new = list({w for ws in split for w in ws})
     for i in range(0, len(new), 20_000):
@@ -192,7 +192,7 @@ def features(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
     packed, key = spark.sparkContext.broadcast(model.pack()), uuid.uuid4().hex
 
     def score(batches):
-        held = per_worker("toxicity", key, lambda: (Model.unpack(packed.value), {}))
+        held = per_worker("toxicity", key, lambda: Model.unpack(packed.value)), {}
         for pdf in batches:
             for i in range(0, len(pdf), 500):
                 part = pdf.iloc[i : i + 500].reset_index(drop=True)
