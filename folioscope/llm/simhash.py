@@ -141,9 +141,27 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     return marked.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
-    """`docs` with one document of each component of near copies: that of least id. Rows without an id stay."""
-    classes = near_copies(docs, doc_id, text, words, distance)
-    (name,) = fresh(docs, "_gone")
-    gone = classes.filter("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(name))
-    return docs.join(gone, F.col(doc_id) == F.col(name), "left_anti")
+def later_rows(marked: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (n, doc_id, th, fp) of `marked` that are not the first of their class: that of least (id, text hash, number), null ids last.
+
+    `classes` (fp, class) need not name fingerprints that are alone in their class. Rows are told apart by their number `n`, never by id.
+    """
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th", "n")
+    prints = marked.groupBy("fp").agg(F.min(rank).alias("least"))
+    prints = durable(prints.join(classes, "fp", "left").withColumn("class", F.coalesce("class", "fp")))
+    first = prints.groupBy("class").agg(F.min("least")["n"].alias("first"))
+    return marked.join(prints.join(first, "class").select("fp", "first"), "fp").filter("n <> first").drop("first")
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4, unnamed_stay: bool = True) -> DataFrame:
+    """`docs` with one row of each component of near copies: that of least id, also where rows repeat an id or an id has several texts.
+
+    Rows without an id stay, or with `unnamed_stay` false are rows like others, after those with an id.
+    """
+    (number,) = fresh(docs, "_number")
+    rows = stored(docs.withColumn(number, F.monotonically_increasing_id()), "simhash-rows")
+    print_ = fingerprint_column(F.col(text), words).alias("fp")
+    marked = stored(rows.select(F.col(number).alias("n"), F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), print_), "simhash-marked")
+    gone = later_rows(marked, print_classes(durable(marked.select("fp").distinct()), distance))
+    gone = gone.filter("doc_id is not null") if unnamed_stay else gone
+    return rows.join(gone.select(F.col("n").alias(number)), number, "left_anti").select(*docs.columns)

@@ -240,25 +240,36 @@ def score(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, i
     Null and empty texts have no words: all four features are zero, so they get the score of the intercept. Labels that are null are
     ignored; of several labels of one id the largest counts. Rows equal in text get equal scores.
     """
-    corpus = docs if corpus is None else corpus
+    judged = _judge(docs, labels, docs if corpus is None else corpus, id_col, text, [], corpus is None)
+    return judged.select(F.col(id_col), "held_out", "score", "predicted")
+
+
+def _judge(docs: DataFrame, labels: DataFrame, corpus: DataFrame, id_col: str, text: str, keep: list[str], own: bool) -> DataFrame:
+    """What `score` says of each row, with its columns `keep`. `own`: the corpus has the rows of `docs`."""
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label")).filter(fold != 0)
     train, check = _sample(known.filter(fold != 4), TRAIN_ROWS), F.broadcast(_sample(known.filter(fold == 4), FIT_ROWS))
     model = build(stored(count(corpus, train, (-1, 0, 1), id_col, text), "toxicity-grams"))
-    scored = stored(features(docs, model, [id_col], text), "toxicity-features")
-    if corpus is docs:
+    scored = stored(features(docs, model, [id_col, *keep], text), "toxicity-features")
+    if own:
         rows = scored.join(check.withColumnRenamed("doc_id", id_col), id_col)
     else:
         rows = features(corpus.join(check.withColumnRenamed("doc_id", id_col), id_col), model, ["label"], text)
     sample = rows.select("label", *FEATURES).toPandas()
     weights = fit(sample[list(FEATURES)].to_numpy(), sample["label"].to_numpy())
     logit = sum((F.lit(w) * F.col(f) for w, f in zip(weights[1:], FEATURES, strict=True)), F.lit(weights[0]))
-    out = scored.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), (1 / (1 + F.exp(-logit))).alias("score"))
+    out = scored.select(F.col(id_col), *keep, held_out(F.col(id_col)).alias("held_out"), (1 / (1 + F.exp(-logit))).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` without the rows that are predicted toxic. The verdict follows the id and text; rows without an id stay."""
-    (name,) = fresh(docs, "_gone")
-    judged = score(docs, labels, corpus, id_col, text).filter("predicted = 1").select(F.col(id_col).alias(name)).distinct()
-    return docs.join(judged, F.col(id_col) == F.col(name), "left_anti")
+    """`docs` without the rows that are predicted toxic. The verdict is that of the row's own text, whatever its id; a null id is one like others."""
+    of_id, *names = fresh(docs, "_id", "_h", "_k")
+    prints = [F.xxhash64(text).alias(names[0]), F.xxhash64(F.lit(1), text).alias(names[1])]
+    marked = docs.select(*docs.columns, *prints)
+    judged = _judge(marked, labels, docs if corpus is None else corpus, id_col, text, names, corpus is None).filter("predicted = 1")
+    judged = judged.select(F.col(id_col).alias(of_id), *[F.col(n).alias("_of" + n) for n in names]).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(of_id))
+    for n in names:
+        same = same & (F.col(n) == F.col("_of" + n))
+    return marked.join(judged, same, "left_anti").select(*docs.columns)
