@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from folioscope.llm import simhash, toxicity
+from folioscope.llm import shingles, simhash, toxicity
 
 from test_texts import table, toxic_table, words
 
@@ -30,3 +30,32 @@ def test_drop_toxic_decides_per_row(spark):
     assert left.columns == table(spark, []).columns
     got = [(r["doc_id"], r["text"]) for r in left.collect() if r["doc_id"] is None or r["doc_id"] > 9000]
     assert sorted(got, key=str) == sorted([(9001, good), (None, good), (9003, None)], key=str)
+
+
+def near_pairs(n, seed):
+    """Texts of 225 distinct words and copies with some replaced; (text, copy, similarity of their 5-word shingle sets), similarity from 0.8 to 0.96."""
+    r, out = random.Random(seed), []
+    grams = lambda ws: {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+    while len(out) < n:
+        ws = [f"w{r.randrange(10**9)}" for _ in range(225)]
+        other = list(ws)
+        for _ in range(r.randrange(1, 6)):
+            other[r.randrange(225)] = f"v{r.randrange(10**9)}"
+        a, b = grams(ws), grams(other)
+        if 0.8 <= len(a & b) / len(a | b) <= 0.96:
+            out.append((" ".join(ws), " ".join(other), len(a & b) / len(a | b)))
+    return out
+
+
+def test_near_copies_from_the_asked_similarity_on(spark):
+    pairs = near_pairs(300, 1)
+    base = words(225, 9, 10**6)
+    far = base[:150] + words(75, 10, 10**6)  # about 0.49
+    rows = [(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)] + [(9000, " ".join(base)), (9001, " ".join(far))]
+    rows += [(9100, None), (9101, " \n"), (9102, ""), (None, ""), (9103, "one two"), (9103, "ONE  two"), (None, None)]
+    docs = table(spark, rows)
+    kept = sorted(((r["doc_id"], r["text"]) for r in shingles.keep_first(docs).collect()), key=str)
+    copies = [i for i, _ in kept if i is not None and i < 9000 and i % 2]
+    print("recall", 1 - len(copies) / len(pairs), "of", len(pairs))
+    assert len(copies) <= 3 and {2 * i for i in range(300)} <= {i for i, _ in kept}
+    assert [i for i, _ in kept if i is None or i >= 9000] == [9000, 9001, 9100, 9103] and shingles.keep_first(docs.filter("doc_id = -1")).count() == 0
