@@ -15,12 +15,13 @@ from .common import fresh, per_worker, stored
 
 #: Characters in a gram of the class models (the last one is predicted from the others), and in the longest gram of the shared one.
 TOP, SHARED = 5, 4
-#: Slots of each count table. Grams are hashed into them, so the size of a model doesn't depend on the size of the corpus.
+#: Least slots of each count table; a table with more than half as many distinct grams or contexts gets more.
 CLASS_SLOTS, SHARED_SLOTS = 1 << 21, 1 << 18
 DISCOUNT = 0.75
-#: Labelled documents of each label, at most, that give the class counts, and that fit the last step: a sample by the hash of the id.
-#: It is small enough to go to every task, so no text is shuffled; the shared counts are taken from all documents.
-TRAIN_ROWS, FIT_ROWS = 50_000, 10_000
+#: Labelled ids that go to every task at once: all of them are counted, slice by slice, so no text is shuffled.
+SLICE_ROWS = 500_000
+#: Labelled documents of each label, at most, that fit the last step: a sample by the hash of the id.
+FIT_ROWS = 10_000
 FEATURES = ("mean_llr", "top_llr", "top3_llr", "log_words")
 SCHEMA = "grp int, k int, slot long, suf long, mid long, ctx long, n long"
 
@@ -55,7 +56,12 @@ def grams(words: list[str]):
 
 
 def _slot(h: np.ndarray, slots: int) -> np.ndarray:
-    return (h >> np.uint64(40)).astype(np.int64) % slots
+    return (h >> np.uint64(16)).astype(np.int64) % slots
+
+
+def slot_column(h, slots: int):
+    """`_slot` of a column of hashes as signed longs."""
+    return F.shiftrightunsigned(h, 16) % slots
 
 
 def _top(place: np.ndarray, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -91,19 +97,19 @@ def _gram_frames(counts: dict[int, dict[str, int]]):
         ask = place > 0
         if g >= 0:
             gram, ctx = _top(place, hashes)
-            one = pd.DataFrame({"slot": _slot(gram, CLASS_SLOTS)[ask], "suf": 0, "mid": 0, "ctx": _slot(ctx, CLASS_SLOTS)[ask], "n": times[word][ask]})
+            one = pd.DataFrame({"slot": gram.view(np.int64)[ask], "suf": 0, "mid": 0, "ctx": ctx.view(np.int64)[ask], "n": times[word][ask]})
             yield one.groupby(["slot", "ctx"], as_index=False).agg({"suf": "first", "mid": "first", "n": "sum"}).assign(grp=g, k=TOP)[["grp", "k", "slot", "suf", "mid", "ctx", "n"]]
             continue
         for k in range(2, SHARED + 1):  # distinct k-grams tell how many characters stand before each shorter gram
             whole = place >= k - 1
             suffix, middle = hashes[k - 2], np.concatenate([np.zeros(1, np.uint64), hashes[k - 3][:-1]]) if k > 2 else np.zeros(len(place), np.uint64)
-            one = pd.DataFrame({"slot": hashes[k - 1].view(np.int64)[whole], "suf": _slot(suffix, SHARED_SLOTS)[whole], "mid": _slot(middle, SHARED_SLOTS)[whole]})
+            one = pd.DataFrame({"slot": hashes[k - 1].view(np.int64)[whole], "suf": suffix.view(np.int64)[whole], "mid": middle.view(np.int64)[whole]})
             yield one.drop_duplicates().assign(grp=g, k=k, ctx=0, n=1)[["grp", "k", "slot", "suf", "mid", "ctx", "n"]]
 
 
 @dataclass
 class Model:
-    """Count tables of fixed size: of each label (gram, context, distinct followers) and of each shared order (the same, by continuation)."""
+    """Count tables: of each label (gram, context, distinct followers) and of each shared order (the same, by continuation)."""
 
     labels: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
     shared: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -118,11 +124,22 @@ class Model:
         return Model(opened(packed["labels"]), opened(packed["shared"]))
 
 
-def count(docs: DataFrame, labels: DataFrame | None, groups: tuple[int, ...], id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Gram counts of all rows of `docs` (group -1) and of those that `labels` (doc_id, label; a bounded sample) marks."""
+def count(docs: DataFrame, labels: DataFrame | None, groups: tuple[int, ...], id_col: str = "doc_id", text: str = "text", slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Gram counts (hashes of grams and contexts) of all rows of `docs` (group -1) and of all rows that `labels` (doc_id, label; one row per id) marks.
+
+    Labels go to every task, `slice_rows` ids at a time by hash; each further slice reads `docs` again and counts its own rows only.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.withColumn("label", F.lit(None).cast("int")) if labels is None else rows.join(F.broadcast(labels), "doc_id", "left" if -1 in groups else "inner")
-    found = rows.select("text", "label").mapInPandas(lambda batches: gram_rows(batches, groups), SCHEMA)
+
+    def tagged(part: DataFrame | None, of: tuple[int, ...]) -> DataFrame:
+        found = rows.withColumn("label", F.lit(None).cast("int")) if part is None else rows.join(F.broadcast(part), "doc_id", "left" if -1 in of else "inner")
+        return found.select("text", "label").mapInPandas(lambda batches: gram_rows(batches, of), SCHEMA)
+
+    slices = 1 if labels is None else -(-labels.count() // slice_rows) or 1
+    part = lambda i: labels if slices == 1 else labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(slices)) == i)
+    found = tagged(part(0), groups)
+    for i in range(1, slices):
+        found = found.union(tagged(part(i), tuple(g for g in groups if g >= 0)))
     return found.groupBy("grp", "k", "slot", "ctx").agg(F.min("suf").alias("suf"), F.min("mid").alias("mid"), F.sum("n").alias("n"))
 
 
@@ -132,20 +149,31 @@ def _dense(rows: pd.DataFrame, slots: int) -> np.ndarray:
     return out
 
 
+def table_slots(counted: DataFrame) -> tuple[int, int]:
+    """Slots of the class tables and of the shared ones: a power of two, at least twice the distinct grams of any one table."""
+    distinct = counted.groupBy("grp", "k").agg(*[F.approx_count_distinct(c).alias(c) for c in ("slot", "ctx", "suf", "mid")]).collect()
+    most = lambda rows, *cols: max((r[c] for r in rows for c in cols), default=0)
+    wide = lambda n, least: max(least, 1 << (2 * n - 1).bit_length()) if n else least
+    return wide(most([r for r in distinct if r["grp"] >= 0], "slot", "ctx"), CLASS_SLOTS), wide(most([r for r in distinct if r["grp"] < 0], "suf", "mid"), SHARED_SLOTS)
+
+
 def build(counted: DataFrame) -> Model:
-    """The tables of a model. What reaches the driver is one row per slot in use, so its size is bounded by the number of slots."""
-    labels = counted.filter("grp >= 0")
-    shared = counted.filter("grp = -1")
+    """The tables of a model. What reaches the driver is one row per slot in use; the number of slots follows the distinct grams."""
+    class_slots, shared_slots = table_slots(counted)
+    labels = counted.filter("grp >= 0").select("grp", slot_column("slot", class_slots).alias("slot"), slot_column("ctx", class_slots).alias("ctx"), "n")
+    labels = labels.groupBy("grp", "slot", "ctx").agg(F.sum("n").alias("n"))
+    shared = counted.filter("grp = -1").select("k", slot_column("suf", shared_slots).alias("suf"), slot_column("mid", shared_slots).alias("mid"))
     take = lambda df: df.toPandas()
     gram = take(labels.groupBy("grp", F.col("slot").alias("s")).agg(F.sum("n").alias("v")))
     ctx = take(labels.groupBy("grp", F.col("ctx").alias("s")).agg(F.sum("n").alias("v"), F.count(F.lit(1)).alias("t")))
     before = take(shared.groupBy("k", F.col("suf").alias("s")).agg(F.count(F.lit(1)).alias("v")))
     around = take(shared.groupBy("k", F.col("mid").alias("s"), F.col("suf")).agg(F.count(F.lit(1)).alias("n")).groupBy("k", "s").agg(F.sum("n").alias("v"), F.count(F.lit(1)).alias("t")))
-    by_label = {g: (_dense(gram[gram.grp == g], CLASS_SLOTS), _dense(ctx[ctx.grp == g], CLASS_SLOTS), _dense(ctx[ctx.grp == g].drop(columns="v").rename(columns={"t": "v"}), CLASS_SLOTS)) for g in (0, 1)}
+    dense = lambda rows, c="v": _dense(rows.assign(v=rows[c]), class_slots)
+    by_label = {g: (dense(gram[gram.grp == g]), dense(ctx[ctx.grp == g]), dense(ctx[ctx.grp == g], "t")) for g in (0, 1)}
     by_order = {}
     for k in range(2, SHARED + 1):
         c = around[around.k == k]
-        by_order[k - 1] = (_dense(before[before.k == k], SHARED_SLOTS), _dense(c, SHARED_SLOTS), _dense(c.drop(columns="v").rename(columns={"t": "v"}), SHARED_SLOTS))
+        by_order[k - 1] = (_dense(before[before.k == k], shared_slots), _dense(c, shared_slots), _dense(c.drop(columns="v").rename(columns={"t": "v"}), shared_slots))
     return Model(by_label, by_order)
 
 
@@ -155,14 +183,14 @@ def word_scores(words: list[str], model: Model) -> np.ndarray:
     p = np.full(len(place), 1 / 512)
     for k, (gram, around, kinds) in sorted(model.shared.items()):
         ctx = np.concatenate([np.zeros(1, np.uint64), hashes[k - 2][:-1]]) if k > 1 else np.zeros(len(place), np.uint64)
-        s, c = _slot(hashes[k - 1], SHARED_SLOTS), _slot(ctx, SHARED_SLOTS)
+        s, c = _slot(hashes[k - 1], len(gram)), _slot(ctx, len(gram))
         n = np.where(place >= k - 1, around[c], 0)
         p = np.where(n > 0, (np.maximum(gram[s] - DISCOUNT, 0) + DISCOUNT * np.minimum(kinds[c], n) * p) / np.maximum(n, 1), p)
     p = np.maximum(p, 1e-7)
     gram_h, ctx_h = _top(place, hashes)
-    s, c = _slot(gram_h, CLASS_SLOTS), _slot(ctx_h, CLASS_SLOTS)
     log = {}
     for g, (gram, around, kinds) in model.labels.items():
+        s, c = _slot(gram_h, len(gram)), _slot(ctx_h, len(gram))
         n = around[c]
         log[g] = np.log(np.where(n > 0, (np.maximum(gram[s] - DISCOUNT, 0) + DISCOUNT * kinds[c] * p) / np.maximum(n, 1), p))
     return np.bincount(word, np.where(place > 0, log[1] - log[0], 0.0), len(words))
@@ -235,8 +263,7 @@ def score(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, i
     """(id, held_out, score, predicted) per row of `docs`.
 
     `corpus` (or `docs`) gives the shared backoff counts, all its texts taken whole; `labels` (doc_id, toxic) marks rows of it. Labels of
-    held-out ids are never read. Of the others, those of remainder 1 to 3 (a sample of TRAIN_ROWS of each label at most) give the class counts,
-    those of remainder 4 (of FIT_ROWS at most) fit the last step.
+    held-out ids are never read. Of the others, those of remainder 1 to 3 give the class counts, all of them; those of remainder 4 (of FIT_ROWS at most) fit the last step.
     Null and empty texts have no words: all four features are zero, so they get the score of the intercept. Labels that are null are
     ignored; of several labels of one id the largest counts. Rows equal in text get equal scores.
     """
@@ -248,7 +275,7 @@ def _judge(docs: DataFrame, labels: DataFrame, corpus: DataFrame, id_col: str, t
     """What `score` says of each row, with its columns `keep`. `own`: the corpus has the rows of `docs`."""
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label")).filter(fold != 0)
-    train, check = _sample(known.filter(fold != 4), TRAIN_ROWS), F.broadcast(_sample(known.filter(fold == 4), FIT_ROWS))
+    train, check = stored(known.filter(fold != 4), "toxicity-labels"), F.broadcast(_sample(known.filter(fold == 4), FIT_ROWS))
     model = build(stored(count(corpus, train, (-1, 0, 1), id_col, text), "toxicity-grams"))
     scored = stored(features(docs, model, [id_col, *keep], text), "toxicity-features")
     if own:

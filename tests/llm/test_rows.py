@@ -59,3 +59,28 @@ def test_near_copies_from_the_asked_similarity_on(spark):
     print("recall", 1 - len(copies) / len(pairs), "of", len(pairs))
     assert len(copies) <= 3 and {2 * i for i in range(300)} <= {i for i, _ in kept}
     assert [i for i, _ in kept if i is None or i >= 9000] == [9000, 9001, 9100, 9103] and shingles.keep_first(docs.filter("doc_id = -1")).count() == 0
+
+
+def test_toxicity_counts_every_label(spark):
+    rows = [(i, f"ab{i} cd") for i in range(60)]
+    docs = table(spark, rows + [(70, "plain"), (None, "none")])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, label int")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    whole, sliced = toxicity.count(docs, labels, (-1, 0, 1)), toxicity.count(docs, labels, (-1, 0, 1), slice_rows=7)
+    assert key(sliced.filter("grp >= 0")) == key(whole.filter("grp >= 0")) and key(sliced.filter("grp < 0")) == key(whole.filter("grp < 0"))
+    letters = lambda odd: sum(len(w) + 1 for i, t in rows if i % 2 == odd for w in t.split())
+    assert {r["grp"]: r["n"] for r in sliced.filter("grp >= 0").groupBy("grp").agg(F.sum("n").alias("n")).collect()} == {0: letters(0), 1: letters(1)}
+    assert not hasattr(toxicity, "TRAIN_ROWS")
+
+
+def test_toxicity_tables_follow_the_grams(spark, monkeypatch):
+    docs = table(spark, [(i, " ".join(f"{x}{i}" for x in ("ax", "by", "cz"))) for i in range(300)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, label int")
+    counted = toxicity.count(docs, labels, (-1, 0, 1))
+    assert toxicity.table_slots(counted) == (toxicity.CLASS_SLOTS, toxicity.SHARED_SLOTS)
+    monkeypatch.setattr(toxicity, "CLASS_SLOTS", 8)
+    monkeypatch.setattr(toxicity, "SHARED_SLOTS", 8)
+    wide, shared = toxicity.table_slots(counted)
+    assert wide >= 2 * counted.filter("grp = 0").select("slot").distinct().count() * 0.9 and shared > 8
+    model = toxicity.build(counted)
+    assert len(model.labels[1][0]) == wide and len(model.shared[2][0]) == shared
