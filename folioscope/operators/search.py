@@ -192,14 +192,21 @@ def _dense_by_blocks(queries: DataFrame, vectors: DataFrame, k: int, n_queries:
     return left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(score, schema)
 
 
-def embed_units(pages: DataFrame) -> DataFrame:
-    """The texts a page is embedded as: its introduction and each `## ` section, led by the title."""
+def embed_units(pages: DataFrame, most: int | None = None) -> DataFrame:
+    """The texts a page is embedded as: its introduction and each `## ` section, led by the title.
+
+    A section is cut into as many units of EMBED_UNIT_CHARS characters as it needs, or its first `most` only.
+    """
     parts = F.split("body", r"(?m)^## ")
     marked = F.transform(parts, lambda p, i: F.when(i == 0, T.strip(p)).otherwise(F.concat(F.lit("## "), T.strip(p))))
-    units = F.transform(
-        F.filter(marked, lambda p: p != ""),
-        lambda p: F.concat(F.col("title"), F.lit("\n"), F.substring(p, 1, V.EMBED_UNIT_CHARS)),
-    )
+    size = F.lit(V.EMBED_UNIT_CHARS)
+
+    def cut(p):
+        n = F.ceil(F.length(p) / size).cast("int")
+        places = F.sequence(F.lit(0), (n if most is None else F.least(n, F.lit(most))) - 1)
+        return F.transform(places, lambda k: F.concat(F.col("title"), F.lit("\n"), F.substring(p, k * size + 1, size)))
+
+    units = F.flatten(F.transform(F.filter(marked, lambda p: p != ""), cut))
     some = F.when(F.size(units) > 0, units).otherwise(F.array("title"))
     return pages.select("page_id", F.posexplode(some).alias("chunk", "text"))
 

@@ -183,7 +183,7 @@ def embed_units(spark, d):
     from folioscope.operators.search import embed_units as units
 
     pages = _docs(spark, d).select(F.col("doc_id").alias("page_id"), F.col("source").alias("title"), F.replace("text", F.lit("\n"), F.lit("\n## ")).alias("body"))
-    return units(pages).select("page_id", F.col("chunk").cast("long").alias("chunk"), F.md5("text").alias("text_md5"))
+    return units(pages, most=1).select("page_id", F.col("chunk").cast("long").alias("chunk"), F.md5("text").alias("text_md5"))
 
 
 @query(
