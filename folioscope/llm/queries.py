@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import queries_other, queries_text, queries_tokens  # noqa: F401
+from . import queries_exchange, queries_other, queries_text, queries_tokens  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
