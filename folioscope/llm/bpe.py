@@ -12,12 +12,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_worker
+from .common import fresh, per_worker
 
 TOKENIZER = "word_bpe_49k.json"
 WORD_END = "</w>"
-#: Words (and pairs) a worker remembers. The half that it has not met for longest is forgotten, which costs time only.
-REMEMBERED = 300_000
+#: What a worker remembers: chunks between white space, words, pairs of tokens. The half that it has not met for longest is forgotten, which
+#: costs time only.
+CHUNKS, WORDS, PAIRS = 800_000, 500_000, 500_000
 #: What the tokenizer file counts as white space, and how it splits what stands between.
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -30,6 +31,24 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
+class _Memo(dict):
+    """Makes what it lacks and forgets the half that was not asked for last."""
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.half, self.older = make, size // 2, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+        self[key] = got
+        return got
+
+
 class PrefixEncoder:
     """A vocabulary with merge ranks as an automaton of token suffixes and a test of neighbouring tokens.
 
@@ -66,9 +85,8 @@ class PrefixEncoder:
                 symbols = s[: -len(WORD_END) - 1] + self._last(s[-len(WORD_END) - 1]) if s.endswith(WORD_END) and len(s) > len(WORD_END) else s
                 self.automaton.add_word(symbols, (len(symbols), t))
         self.automaton.make_automaton()
-        self.tested: dict[int, bool] = {}
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.older: dict[str, tuple[bytes, bytes]] = {}
+        self.tested = _Memo(lambda key: self._apart(key >> 20, key & 0xFFFFF), PAIRS)
+        self.words, self.chunks = _Memo(self._word, WORDS), _Memo(self._chunk, CHUNKS)
 
     @staticmethod
     def _last(letter: str) -> str:
@@ -104,11 +122,7 @@ class PrefixEncoder:
                 before = last[start]
                 if before < 0:
                     continue
-                key = before << 20 | t
-                fits = tested.get(key)
-                if fits is None:
-                    fits = tested[key] = self._apart(before, t)
-                if not fits:
+                if not tested[before << 20 | t]:
                     continue
             last[end + 1], begin[end + 1] = t, start
         out, at = [], len(symbols)
@@ -117,13 +131,24 @@ class PrefixEncoder:
             at = begin[at]
         return out[::-1]
 
-    def _learn(self, chunk: str) -> tuple[bytes, bytes]:
-        """Ids and decoded text of what stands between white space."""
-        text = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()  # letter by letter, as the file's normalizer does
-        seen = text if text.isascii() else "".join(["\uf8ff" if unicodedata.category(c) == "Cn" else c for c in text])  # what has no category is no letter
-        ids = [t for m in self.pieces.finditer(seen) for t in self.word(text[m.start() : m.end()])]
+    def _word(self, word: str) -> tuple[bytes, bytes]:
+        """Ids and decoded text of one pre-token."""
+        ids = self.word(word)
         return array("I", ids).tobytes(), " ".join([self.names[t] for t in ids]).encode()
 
+    def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
+        """Ids and decoded text of what stands between white space: letter by letter in lower case, as the file's normalizer has it, then word by word."""
+        if chunk.isascii():
+            pieces = self.pieces.findall(chunk.lower())
+        else:
+            text = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+            seen = "".join(["\uf8ff" if unicodedata.category(c) == "Cn" else c for c in text])  # what has no category is no letter
+            pieces = [text[m.start() : m.end()] for m in self.pieces.finditer(seen)]
+        if len(pieces) == 1:
+            return self.words[pieces[0]]
+        both = [self.words[p] for p in pieces]
+        return b"".join([i for i, _ in both]), b" ".join([t for _, t in both])
+
     def encode(self, text: str) -> tuple[bytes, bytes]:
         """(ids as little-endian unsigned 32-bit numbers, decoded text in UTF-8) of a whole text."""
         ids, shown = [], []
@@ -133,18 +158,11 @@ class PrefixEncoder:
                 ids.append(self.special[part].to_bytes(4, "little"))
                 shown.append(part.encode())
                 continue
-            for chunk in _SPACE.split(part):
-                if chunk:
-                    got = self.known.get(chunk)
-                    if got is None:
-                        if len(self.known) >= REMEMBERED // 2:
-                            self.known, self.older = {}, self.known
-                        got = self.known[chunk] = self.older.get(chunk) or self._learn(chunk)
-                    if got[0]:
-                        ids.append(got[0])
-                        shown.append(got[1])
-        if len(self.tested) > REMEMBERED:
-            self.tested.clear()
+            known = self.chunks
+            for got in [known[chunk] for chunk in _SPACE.split(part) if chunk]:
+                if got[0]:
+                    ids.append(got[0])
+                    shown.append(got[1])
         return b"".join(ids), b" ".join(shown)
 
 
@@ -158,16 +176,20 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", path: str | Non
     """The columns `keep` of `docs` with the ids of the whole text (array of int) and the text decoded from them.
 
     With `digests` there are n_tokens, ids_sha256 and decoded_sha256 instead. A null or empty text has no ids and decodes to the empty
-    text. Texts of any length are encoded whole; nothing is shuffled, so no key is hot.
+    text. Texts of any length are encoded whole; nothing is shuffled, so no key is hot. Rows stay as they are, also where they repeat an id
+    or text; an empty table gives none. Of `keep`, columns that bear a name of the result are left out.
     """
     where = path or tokenizer_path()
+    (body,) = fresh(docs, "_text")
+    made = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
+    keep = [c for c in keep if c.lower() not in made]
 
     def run(batches):
         coder = per_worker("bpe", where, lambda: PrefixEncoder(where))
         for pdf in batches:
             for i in range(0, len(pdf), 512):
                 part = pdf.iloc[i : i + 512]
-                both = [coder.encode(t or "") for t in part["_text"]]
+                both = [coder.encode(t or "") for t in part[body]]
                 if digests:
                     new = {"n_tokens": [len(a) // 4 for a, _ in both], "ids_sha256": [hashlib.sha256(a).hexdigest() for a, _ in both], "decoded_sha256": [hashlib.sha256(b).hexdigest() for _, b in both]}
                 else:
@@ -176,4 +198,4 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", path: str | Non
 
     added = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]) + ", " + added
-    return docs.select(*keep, F.col(text).alias("_text")).mapInPandas(run, schema)
+    return docs.select(*keep, F.col(text).alias(body)).mapInPandas(run, schema)
