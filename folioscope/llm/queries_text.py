@@ -49,10 +49,9 @@ s AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETW
 f AS (SELECT doc_id, pos, list(line) OVER here AS run, max(pos) OVER here AS ends, sum(n) OVER here AS held, list(line) OVER later AS tail, list(pos) OVER later AS tail_pos
     FROM s WINDOW here AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING), later AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN 50 FOLLOWING AND 99 FOLLOWING)),
 w AS (SELECT doc_id, pos, array_to_string(run, chr(10)) AS run, ends, coalesce(tail, []) AS tail, coalesce(tail_pos, []) AS tail_pos FROM f WHERE held >= 50),
-g AS (SELECT run, min({'d': doc_id, 'p': pos}) AS first, arg_min(tail, {'d': doc_id, 'p': pos}) AS first_tail FROM w GROUP BY run HAVING count(*) > 1),
-e AS (SELECT doc_id, pos, ends, tail, tail_pos, len(list_filter(range(1, len(tail) + 1), lambda k: tail[1:k] = first_tail[1:k])) AS more
-    FROM w JOIN g USING (run) WHERE NOT (doc_id = first.d AND pos = first.p)),
-c AS (SELECT doc_id, pos AS a, CASE WHEN more > 0 THEN tail_pos[more] ELSE ends END AS b FROM e),
+t AS (SELECT doc_id, pos, ends, run, tail, tail_pos, unnest(range(0, len(tail) + 1)) AS k FROM w),
+g AS (SELECT doc_id, pos, CASE WHEN k > 0 THEN tail_pos[k] ELSE ends END AS b, min({'d': doc_id, 'p': pos}) OVER (PARTITION BY run, tail[1:k]) AS first FROM t),
+c AS (SELECT doc_id, pos AS a, max(b) AS b FROM g WHERE NOT (doc_id = first.d AND pos = first.p) GROUP BY doc_id, pos),
 x AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS pos FROM c),
 k AS (SELECT l.doc_id, count(x.pos) AS n_deleted, string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE x.pos IS NULL) AS body FROM l LEFT JOIN x ON l.doc_id = x.doc_id AND l.pos = x.pos GROUP BY l.doc_id)
 SELECT doc_id, n_deleted::BIGINT AS n_deleted, coalesce(body, '') AS text FROM k

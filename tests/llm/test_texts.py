@@ -57,8 +57,8 @@ def test_quality_rules_are_one_projection(spark):
 
 
 def plain_line_dedup(rows, least):
-    """Windows that occurred before, and the lines after them as far as they equal those after the first occurrence."""
-    seen, out = {}, {}
+    """By the definition: from every line the longest run of `least` words or more that stands earlier, anywhere, goes."""
+    first, out = {}, {}
     full = re.compile(r"[^\x20\x09-\x0D]")
     for doc, text in sorted(set(rows), key=lambda x: (x[0] is not None, x[0] or 0)):
         lines = (text or "").split("\n")
@@ -66,21 +66,12 @@ def plain_line_dedup(rows, least):
         n = [min(least, len(lines[i].split())) for i in at]
         cut = set()
         for i in range(len(at)):
-            j, held = i, 0
-            while j < len(at) and held < least:
-                held += n[j]
-                j += 1
-            if held < least:
-                break
-            tail = [lines[k] for k in at[j:]]
-            key = tuple(lines[k] for k in at[i:j])
-            if key not in seen:
-                seen[key] = tail
-                continue
-            more = 0
-            while more < min(len(tail), len(seen[key])) and tail[more] == seen[key][more] and sum(n[j : j + more]) < least:
-                more += 1
-            cut.update(range(at[i], at[j + more - 1] + 1))
+            for j in range(i, len(at)):
+                run = tuple(lines[k] for k in at[i : j + 1])
+                if run not in first:
+                    first[run] = (doc, text, i)
+                elif sum(n[i : j + 1]) >= least:
+                    cut.update(range(at[i], at[j] + 1))
         out[doc, text] = None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in cut)
     return out
 
@@ -95,6 +86,14 @@ def test_line_dedup_equals_plain_version(spark, seed):
     assert got == plain_line_dedup(rows, 50)
 
 
+def test_line_dedup_extends_to_any_earlier_occurrence(spark):
+    """The opening L first stands before other text; M after it goes where L and M stand together earlier."""
+    opening, after, other = (" ".join(words(n, s, 10**6)) for n, s in ((60, 501), (30, 502), (20, 503)))
+    rows = [(1, f"{opening}\n{other}"), (2, f"{opening}\n{after}\nsecond"), (3, f"{opening}\n{after}\nthird"), (4, f"{after}\nfourth")]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(table(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: f"{after}\nsecond", 3: "third", 4: rows[3][1]}
+
+
 def test_line_dedup_odd_rows(spark):
     passage = "\n".join(" ".join(words(30, s, 9000)) for s in (900, 901))
     rows = ODD + [(30, "head\n" + passage + "\nend"), (31, passage), (32, "other\n\n" + passage.replace("\n", "\n\n") + "\n\nlast")]
