@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as T
 from folioscope.functions import values as V
 from folioscope.operators.chunks import without_sections, without_summary
-from folioscope.operators.common import first_by, ordered_scan
+from folioscope.operators.common import durable, first_by, ordered_scan
 from folioscope.operators.names import best_names, page_names, resolve_refs
 
 
@@ -30,6 +30,60 @@ def model_text(c) -> Column:
 # ---------------------------------------------------------------------------------- upsert
 
 
+def edit_targets(pages: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What page each edit is for, as if the edits were applied one after the other: (edits, dropped, owners).
+
+    Edits get their number `no` in the order (seq, pos) and `page_key` (`id:` and a page's id, or `new:` and a folded name). A name that
+    no page has belongs to the first edit that gives it, as title or as alias; a later edit of that name is for the same page. So an
+    edit without a page points to the edit that gave its name, this one perhaps to an earlier one, and so on: pointers are doubled,
+    round by round, until all point to edits whose page is known or new. `owners(name, owner, taken)` says whose page a name means.
+    Dropped are edits whose name is empty, reserved, or that of a source: their own, one that has a page, or one earlier in the batch.
+    """
+    names = page_names(pages)
+    plain = edits.withColumn("name", T.safe_title("title")).withColumn("key", T.fold("name")).withColumn("folded", T.fold("title"))
+    numbered = ordered_scan(plain.withColumn("own", T.fold("source_title")), ["seq", "pos", "title", "source_title"]).withColumnRenamed("rn", "no")
+    arrivals = numbered.groupBy(F.col("own").alias("name")).agg(F.min("seq").alias("arrives"))
+    meaning = best_names(names).select("name", F.col("page_id").alias("owner_id"))
+    targets = best_names(names, ("concepts", "entities", "syntheses"))
+    noted = best_names(names, ("sources",)).select(F.col("name").alias("key")).withColumn("_source", F.lit(True))
+    at_key = arrivals.select(F.col("name").alias("key"), F.col("arrives").alias("_arrives"))
+    judged = numbered.join(noted, "key", "left").join(at_key, "key", "left").join(
+        targets.select(F.col("name").alias("folded"), F.col("page_id").alias("found_id")), "folded", "left"
+    )
+    bad = (
+        (F.col("name") == "") | (F.col("key") == F.col("own")) | F.coalesce("_source", F.lit(False)) | is_reserved("name")
+        | F.coalesce(F.col("_arrives") < F.col("seq"), F.lit(False))
+    )
+    judged = durable(judged.withColumn("_bad", bad).drop("_source", "_arrives", "own"))
+    good = judged.filter("not _bad").drop("_bad")
+    titles = good.filter("found_id is null").select(F.col("key").alias("name"), "no", "seq", F.lit(0).alias("rank"))
+    mentions = titles.unionByName(_offered(good).select("name", "no", "seq", F.lit(1).alias("rank")))
+    free = mentions.join(meaning, "name", "left_anti").join(arrivals, "name", "left").filter(~F.coalesce(F.col("arrives") < F.col("seq"), F.lit(False)))
+    givers = durable(free.groupBy("name").agg(F.min("no").alias("giver")))
+    by_title, by_key = (givers.select(F.col("name").alias(c), F.col("giver").alias(g)) for c, g in (("folded", "_g1"), ("key", "_g2")))
+    open_ = good.select("no", "folded", "key", "found_id").join(by_title, "folded", "left").join(by_key, "key", "left")
+    earlier = lambda g: F.when(F.col(g) < F.col("no"), F.col(g))
+    to = F.when(F.col("found_id").isNotNull(), F.col("no")).otherwise(F.coalesce(earlier("_g1"), earlier("_g2"), F.col("no")))
+    links = durable(open_.select("no", to.alias("to")))
+    total = lambda df: df.agg(F.sum("to")).first()[0]
+    before, now = None, total(links)
+    while before != now:  # pointers only go down: equal sums are equal pointers
+        links = durable(links.join(links.select(F.col("no").alias("to"), F.col("to").alias("_next")), "to").select("no", F.col("_next").alias("to")))
+        before, now = now, total(links)
+    page = F.when(F.col("found_id").isNotNull(), F.concat(F.lit("id:"), F.col("found_id").cast("string"))).otherwise(F.concat(F.lit("new:"), "key"))
+    roots = good.select(F.col("no").alias("to"), page.alias("page_key"), F.col("found_id").alias("_found"))
+    placed = durable(good.drop("found_id").join(links, "no").join(roots, "to").withColumnRenamed("_found", "found_id").drop("to"))
+    given = givers.join(placed.select(F.col("no").alias("giver"), F.col("page_key").alias("owner")), "giver").select("name", "owner", F.lit(False).alias("taken"))
+    owners = given.unionByName(meaning.select("name", F.concat(F.lit("id:"), F.col("owner_id").cast("string")).alias("owner"), F.lit(True).alias("taken")))
+    return placed, judged.filter("_bad").select("seq", "pos", "title", "source_title"), owners
+
+
+def _offered(edits: DataFrame) -> DataFrame:
+    """The aliases of edits as rows, with the folded `name` of each; reserved ones and an edit's own name are none."""
+    rows = edits.withColumn("alias", F.explode("aliases")).filter((F.col("alias") != "") & ~is_reserved("alias") & (F.col("alias") != F.col("name")))
+    return rows.withColumn("name", T.fold("alias"))
+
+
 def merge_concepts(
     pages: DataFrame, sources: DataFrame, edits: DataFrame, private: DataFrame, today: date
 ) -> dict[str, DataFrame]:
@@ -37,33 +91,15 @@ def merge_concepts(
 
     `pages` as in the data model, `sources(page_id, source)`, `private(title)` private source titles,
     `edits(seq, pos, kind, title, aliases, description, source_title, is_private)`; (seq, pos) is
-    the order of application. Edits of one batch that name one new page share it; the first one
-    in order names and describes it. An alias an edit brings serves later batches, not later
-    edits of its own batch. Returns `upserts` (page heads to write), `sections`, `sources` (rows
-    to add) and `dropped` (edits skipped).
+    the order of application, and results are those of applying one edit after the other: a name or
+    alias an edit brings is known to the edits after it. Returns `upserts` (page heads to write),
+    `aliases` (page_key, alias), `sections`, `sources` (rows to add) and `dropped` (edits skipped).
     """
-    names = page_names(pages)
-    named = edits.withColumn("name", T.safe_title("title")).withColumn("key", T.fold("name"))
-    taken = best_names(names, ("sources",)).select(F.col("name").alias("key")).withColumn("_source", F.lit(True))
-    targets = best_names(names, ("concepts", "entities", "syntheses")).select(
-        F.col("name").alias("_folded"), F.col("page_id").alias("found_id"), F.col("title").alias("found_title")
-    )
-    judged = named.join(taken, "key", "left").withColumn("_folded", T.fold("title")).join(targets, "_folded", "left")
-    bad = (
-        (F.col("name") == "") | (F.col("key") == T.fold("source_title")) | F.coalesce("_source", F.lit(False))
-        | is_reserved("name")
-    )
-    dropped = judged.filter(bad).select("seq", "pos", "title", "source_title")
-    good = judged.filter(~bad).withColumn(
-        "page_key", F.when(F.col("found_id").isNotNull(), F.concat(F.lit("id:"), F.col("found_id").cast("string"))).otherwise(
-            F.concat(F.lit("new:"), "key")
-        )
-    )
-    order = F.struct("seq", "pos")
-    public = F.struct((F.col("is_private")).alias("p"), "seq", "pos")
+    good, dropped, owners = edit_targets(pages, edits)
+    public = F.struct(F.col("is_private").alias("p"), "no")
     heads = good.groupBy("page_key").agg(
         F.first("found_id").alias("found_id"),
-        F.min_by(F.struct("kind", "name", "description"), order).alias("first"),
+        F.min_by(F.struct("kind", "name", "description", "is_private"), "no").alias("first"),
         F.min_by("description", public).alias("public_description"),
         F.bool_or(~F.col("is_private")).alias("has_public"),
     )
@@ -74,60 +110,57 @@ def merge_concepts(
         .agg(F.bool_and(F.coalesce("_p", F.lit(False))).alias("all_private"))
     )
     old = pages.select(
-        F.col("page_id").alias("found_id"), F.col("kind").alias("old_kind"), F.col("title").alias("old_title"),
-        F.col("summary").alias("old_summary"), F.col("aliases").alias("old_aliases"),
-    )
-    aliases = _wanted_aliases(good, names)
-    joined = heads.join(old, "found_id", "left").join(born, "found_id", "left").join(aliases, "page_key", "left")
-    line = model_text(T.one_line(F.col("public_description")))
-    reborn = F.coalesce("all_private", F.lit(False)) & F.col("has_public")
-    summary = (
-        F.when(F.col("found_id").isNull(), model_text(T.one_line(F.col("first.description"))))
-        .when(reborn, line)
-        .otherwise(F.coalesce("old_summary", model_text(T.one_line(F.col("first.description")))))
-    )
-    empty = F.array().cast("array<string>")
-    upserts = joined.select(
-        F.col("page_key"),
-        F.col("found_id").alias("page_id"),
-        F.coalesce("old_kind", F.col("first.kind")).alias("kind"),
-        F.coalesce("old_title", F.col("first.name")).alias("title"),
-        F.sort_array(F.array_distinct(F.concat(F.coalesce("old_aliases", empty), F.coalesce("aliases", empty)))).alias("aliases"),
-        summary.alias("summary"),
-        F.lit(today).alias("updated"),
-        F.col("found_id").isNull().alias("created"),
+        F.col("page_id").alias("found_id"), F.col("kind").alias("old_kind"), F.col("title").alias("old_title"), F.col("summary").alias("old_summary"),
     )
+    joined = heads.join(old, "found_id", "left").join(born, "found_id", "left").withColumn("title", F.coalesce("old_title", F.col("first.name")))
+    aliases = durable(_page_aliases(pages, joined, good, owners))
+    listed = aliases.groupBy("page_key").agg(F.sort_array(F.collect_set("alias")).alias("aliases"))  # the page's own column of them
+    line = model_text(T.one_line(F.col("public_description")))
+    first_line = model_text(T.one_line(F.col("first.description")))
+    created = F.col("found_id").isNull()
+    reborn = F.col("has_public") & F.when(created, F.col("first.is_private")).otherwise(F.coalesce("all_private", F.lit(False)))
+    summary = F.when(reborn, line).when(created, first_line).otherwise(F.coalesce("old_summary", first_line))
+    upserts = joined.join(listed, "page_key", "left").select(
+        "page_key", F.col("found_id").alias("page_id"), F.coalesce("old_kind", F.col("first.kind")).alias("kind"), "title",
+        F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), summary.alias("summary"), F.lit(today).alias("updated"), created.alias("created"),
+    )
     mine = sources.select(F.concat(F.lit("id:"), F.col("page_id").cast("string")).alias("page_key"), F.col("source").alias("source_title"))
     fresh = first_by(
-        good.select("page_key", "source_title", "seq", "pos", model_text(T.strip("description")).alias("text")),
-        ["page_key", "source_title"], ["seq", "pos"],
+        good.select("page_key", "source_title", "no", "seq", "pos", model_text(T.strip("description")).alias("text")),
+        ["page_key", "source_title"], ["no"],
     ).join(mine, ["page_key", "source_title"], "left_anti")
     return {
         "upserts": upserts,
-        "sections": fresh.select("page_key", F.col("source_title").alias("source"), "seq", "text"),
+        "aliases": aliases,
+        "sections": fresh.select("page_key", F.col("source_title").alias("source"), "seq", "pos", "text"),
         "sources": fresh.select("page_key", F.col("source_title").alias("source")),
         "dropped": dropped,
     }
 
 
-def _wanted_aliases(edits: DataFrame, names: DataFrame) -> DataFrame:
-    """Aliases an edit may add: not reserved, and meaning no other page."""
-    offered = edits.select("page_key", "found_id", F.explode("aliases").alias("alias"), "name").filter(
-        (F.col("alias") != "") & ~is_reserved("alias") & (F.col("alias") != F.col("name"))
-    )
-    meaning = best_names(names).select(F.col("name").alias("_n"), F.col("page_id").alias("other"))
-    free = offered.withColumn("_n", T.fold("alias")).join(meaning, "_n", "left")
-    free = free.filter(F.col("other").isNull() | (F.col("other") == F.col("found_id")))
-    return free.groupBy("page_key").agg(F.collect_set("alias").alias("aliases"))
+def _page_aliases(pages: DataFrame, heads: DataFrame, edits: DataFrame, owners: DataFrame) -> DataFrame:
+    """(page_key, alias): the old and offered aliases of the written pages that mean no other page, are not reserved and not the title."""
+    own = heads.select("page_key", "found_id", "title")
+    held = pages.select(F.col("page_id").alias("found_id"), F.explode("aliases").alias("alias")).join(own.select("page_key", "found_id"), "found_id")
+    offered = edits.select("page_key", F.explode("aliases").alias("alias"))
+    every = held.select("page_key", "alias").unionByName(offered).filter((F.col("alias") != "") & ~is_reserved("alias")).distinct()
+    meant = every.withColumn("name", T.fold("alias")).join(owners.select("name", "owner"), "name")
+    return meant.filter(F.col("owner") == F.col("page_key")).join(own.select("page_key", "title"), "page_key").filter("alias <> title").select("page_key", "alias")
+
+
+def page_ids(upserts: DataFrame, pages: DataFrame) -> DataFrame:
+    """(page_key, page_id): the ids of the written pages; a new page has one made from its key."""
+    made = F.abs(F.xxhash64("page_key")).cast(pages.schema["page_id"].dataType)
+    return upserts.select("page_key", F.coalesce("page_id", made).alias("page_id"))
 
 
 def apply_upserts(pages: DataFrame, upserts: DataFrame) -> DataFrame:
-    """`pages` heads after an upsert: a full outer join, the written columns taking over."""
-    new = upserts.select("page_id", *[F.col(c).alias("_" + c) for c in ("page_key", "kind", "title", "aliases", "summary", "updated")])
+    """`pages` heads after an upsert: a full outer join, the written columns taking over. New pages get the ids of `page_ids`."""
+    written = upserts.drop("page_id").join(page_ids(upserts, pages), "page_key")
+    new = written.select("page_id", *[F.col(c).alias("_" + c) for c in ("kind", "title", "aliases", "summary", "updated")])
     joined = pages.join(new, "page_id", "full_outer")
     took = [c for c in ("kind", "title", "aliases", "summary", "updated") if c in pages.columns]
-    made = F.abs(F.xxhash64("_page_key"))
-    out = joined.withColumn("page_id", F.coalesce("page_id", made))
+    out = joined
     for c in took:
         out = out.withColumn(c, F.coalesce("_" + c, c))
     if "stem" in pages.columns:
