@@ -76,6 +76,11 @@ def per_worker(kind: str, key: str, make):
     return kept[kind][1]
 
 
+def forget_workers() -> None:
+    """Drop what earlier stages left in this worker: their models would take memory from the stage at hand."""
+    sys.__dict__.pop("_folioscope_llm", None)
+
+
 def _signature(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("s"), F.sum(F.xxhash64("b", "a") % 998_244_353).alias("t")).first()
     return tuple(row)
