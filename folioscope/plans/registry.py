@@ -25,6 +25,7 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     from folioscope.plans import (  # noqa: F401
         queries_assembly,
+        queries_budget,
         queries_documents,
         queries_graph,
         queries_grounding,
