@@ -72,6 +72,16 @@ def spread(items: DataFrame, by: list[str], caps: dict[str, int] | None = None)
     return placed.filter(F.col("place") <= cap).select(*by, "field", (F.col("place") - 1).alias("rank"), "a", "b", "c")
 
 
+def items_as_notes(items: DataFrame) -> DataFrame:
+    """The notes that items belong to, their lists in the order of `rank`: the inverse of `note_items`. A merged note's lists are capped."""
+    row = F.struct("rank", "a", "b", "c")
+    listed = items.groupBy("doc_id", "seq").agg(*[F.sort_array(F.collect_list(F.when(F.col("field") == f, row))).alias(f) for f in ("points", "terms", "quotes", "relations")])
+    return listed.select(
+        "doc_id", "seq", F.transform("points", lambda x: x["a"]).alias("points"), F.transform("terms", lambda x: F.struct(x["a"].alias("term"), x["b"].alias("definition"))).alias("terms"),
+        F.transform("quotes", lambda x: x["a"]).alias("quotes"), F.transform("relations", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("relation"), x["c"].alias("b"))).alias("relations"),
+    )
+
+
 def merge_notes(notes: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
     """Terms, quotes and relations of a whole source, spread over its chunks; all of them, or as many as `caps` says."""
     return spread(note_items(notes), ["doc_id"], caps).filter("field <> 'points'")
@@ -163,6 +173,18 @@ def read_coverage(chunks: DataFrame, limit: int | None = None, fan_in: int = V.F
     return per_doc.select("doc_id", "total", "unread", percent.alias("percent"), F.coalesce("starts", F.lit("")).alias("starts"))
 
 
+def coverage_of(chunks: DataFrame, unread: DataFrame) -> DataFrame:
+    """`read_coverage` from the chunks that were in fact left unread."""
+    marked = chunks.join(unread.select("doc_id", "seq", F.lit(True).alias("_u")), ["doc_id", "seq"], "left").withColumn("_u", F.coalesce("_u", F.lit(False)))
+    n = F.length("chunk")
+    per_doc = marked.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if("_u").alias("unread"), F.sum(F.when(F.col("_u"), n).otherwise(0)).alias("unread_chars"), F.sum(n).alias("chars"),
+        F.min_by(F.when(F.col("_u"), F.substring(T.flatten("chunk"), 1, 60)), F.when(F.col("_u"), F.col("seq"))).alias("starts"),
+    )
+    percent = F.bround(100 * F.col("unread_chars") / F.col("chars"), 0).cast("long")
+    return per_doc.select("doc_id", "total", "unread", percent.alias("percent"), F.coalesce("starts", F.lit("")).alias("starts"))
+
+
 def pack_notes(notes: DataFrame, budget: int = V.NOTES_BUDGET_CHARS) -> DataFrame:
     """The notes of a source as one text within the budget, with fewer points per note if needed.
 

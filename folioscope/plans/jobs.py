@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.functions import language as LA
 from folioscope.functions import text as T
+from folioscope.operators import assembly as A
 from folioscope.operators import captures as Q
 from folioscope.operators import chunks as C
 from folioscope.operators import extract as X
 from folioscope.operators import grounding as G
+from folioscope.operators import ledger as LE
 from folioscope.operators import lint as H
 from folioscope.operators import model_map as MM
 from folioscope.operators import names as N
@@ -31,12 +35,77 @@ NOTES_JSON = """points array<string>, terms array<struct<term:string,definition:
 relations array<struct<a:string,relation:string,b:string>>"""
 
 
+def checked_plans(prompts: DataFrame, plan_fn: Callable, language: str) -> tuple[DataFrame, DataFrame]:
+    """Plans of `prompts(doc_id, prompt)`: (plans of `validate_plans`, warnings), each asked for again once with what was wrong.
+
+    A plan that does not hold is asked for again with its errors, one in another language with the fields that are. The second answer
+    counts, also in the wrong language, which is then a warning.
+    """
+    retry = "{prompt}\n\nThis answer was refused ({reason}). Answer again."
+
+    def asked(rows: DataFrame) -> DataFrame:
+        return durable(MM.validate_plans(MM.map_model(rows.select("doc_id", "prompt"), plan_fn, attempts=1).select("doc_id", F.col("output").alias("raw_json"))))
+
+    def leaking(plans: DataFrame) -> DataFrame:
+        good = plans.filter("valid").select("doc_id", "plan.*")
+        fields = {n: F.col(n) for n in ("one_liner", "summary", "abstract")} | {
+            "key_points": F.coalesce("key_points", F.array().cast("array<string>")), "concepts": F.transform("concepts", lambda c: c["description"]), "terms": F.transform("terms", lambda t: t["definition"])
+        }
+        rows = LA.leaking_fields(good, "doc_id", fields, language).groupBy("doc_id")
+        return rows.agg(F.array_join(F.sort_array(F.collect_set("field")), ", ").alias("fields"))  # at most one of each name
+
+    first = asked(prompts)
+    wrong = first.filter("not valid").select("doc_id", F.array_join("errors", "; ").alias("reason"))
+    wrong = durable(wrong.unionByName(leaking(first).select("doc_id", F.concat(F.lit(f"not written in {language}: "), "fields").alias("reason"))))
+    said = [F.col("prompt") if w == "{prompt}" else F.col("reason") if w == "{reason}" else F.lit(w) for w in re.split(r"(\{prompt\}|\{reason\})", retry)]
+    again = asked(prompts.join(wrong, "doc_id").select("doc_id", F.concat(*said).alias("prompt")))
+    plans = durable(first.join(wrong.select("doc_id"), "doc_id", "left_anti").unionByName(again))
+    return plans, leaking(again).select("doc_id", F.lit(None).cast("long").alias("seq"), F.concat(F.lit("wrong language: "), "fields").alias("warning"))
+
+
+def read_long_documents(
+    long: DataFrame, notes_fn: Callable | None, merge_fn: Callable | None, *, max_chars: int, max_calls: int | None, fan_in: int, check: Callable | None = None
+) -> Tables:
+    """Documents too long for one prompt as notes: `notes`, `reduced` (at most `fan_in` a document), `unread`, `coverage`, `used`, `warnings`.
+
+    Chunks are read under the limit of calls, then notes of documents of more than `fan_in` chunks are merged level by level, by
+    `merge_fn` while calls are left, else by code.
+    """
+    spark = long.sparkSession
+    chunks = durable(C.split_chunks(long, max_chars).withColumn("seq", F.col("seq").cast("long")))
+    schema = "doc_id long, seq long, " + NOTES_JSON.replace("\n", " ")
+    warned = spark.createDataFrame([], "doc_id long, seq long, warning string")
+    if notes_fn is None:
+        none = spark.createDataFrame([], schema)
+        used = none.select("doc_id", F.lit(0).cast("long").alias("used"))
+        return {"notes": none, "reduced": none, "unread": NO.unread_chunks(chunks, max_calls, fan_in), "coverage": NO.read_coverage(chunks, max_calls, fan_in), "used": used, "warnings": warned}
+    read = LE.read_within_budget(chunks, notes_fn, max_calls, fan_in, check)
+    parsed = read["answers"].withColumn("n", F.from_json("output", NOTES_JSON)).filter(F.col("n").isNotNull())
+    empty = {k: F.coalesce(F.col(f"n.{k}"), F.from_json(F.lit("[]"), parsed.schema["n"].dataType[k].dataType.simpleString())).alias(k) for k in ("points", "terms", "quotes", "relations")}
+    in_order = ordered_scan(parsed.select("doc_id", F.col("seq").alias("_chunk"), "half", *empty.values()), ["_chunk", "half"], ["doc_id"])
+    notes = durable(in_order.select("doc_id", (F.col("rn") - 1).alias("seq"), "points", "terms", "quotes", "relations"))
+    unread = durable(read["unread"])
+    many = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > fan_in).select("doc_id")
+    busy, small = notes.join(many, "doc_id", "left_semi"), notes.join(many, "doc_id", "left_anti")
+    warned = read["warnings"].select("doc_id", F.col("seq").cast("long").alias("seq"), "warning")
+    used = read["used"]
+    if merge_fn is None:
+        items = NO.reduce_notes(busy, fan_in, caps=NO.SECTION_CAPS)
+    else:
+        merged = LE.reduce_within_budget(busy, merge_fn, used, max_calls, fan_in, caps=NO.SECTION_CAPS)
+        items, used = merged["items"], merged["used"]
+        warned = warned.unionByName(merged["warnings"].select("doc_id", "seq", "warning"))
+    reduced = durable(small.unionByName(NO.items_as_notes(items)))
+    return {"notes": notes, "reduced": reduced, "unread": unread, "coverage": NO.coverage_of(chunks, unread), "used": durable(used), "warnings": durable(warned)}
+
+
 def ingest_corpus(
     spark: SparkSession,
     inputs: Tables,
     *,
     plan_fn: Callable,
     notes_fn: Callable | None = None,
+    merge_fn: Callable | None = None,
     today: date,
     language: str = "en",
     max_chars: int = 8000,
@@ -44,16 +113,21 @@ def ingest_corpus(
     fan_in: int = 16,
     extractor: Callable[[DataFrame], DataFrame] | None = None,
     remote: bool = False,
+    flag_contradictions: bool = True,
 ) -> Tables:
-    """Captured documents to verified edits of the wiki.
+    """Captured documents to a changed wiki.
 
-    `inputs`: `captures(doc_id, target, url, text, kind, title, added_at)`, `pages`, `sources`. The
+    `inputs`: `captures(doc_id, target, url, text, kind, title, added_at[, links])`, `pages`, `sources`. The
     model functions are the caller's: `plan_fn(prompts) -> JSON plans`, `notes_fn` -> JSON notes for
-    documents longer than `max_chars`, read chunk by chunk. What a limit of calls leaves is the table
-    `unread`, for a later run; a long document without notes is in `failed`, never planned from a
-    part of its text. With `remote` models, private documents (mail) reach no prompt and are in
-    `failed` too. Every stage is a table; the two model stages are written down before they are
+    documents longer than `max_chars`, read chunk by chunk, `merge_fn` -> JSON points of merged notes. Every call of a long document
+    counts towards `max_calls`; what that leaves is the table `unread`, for a later run. A document is planned from its whole text, or
+    from notes that fit whole; else it is in `failed`, with those whose plan was wrong twice. With `remote` models, private documents
+    (mail) reach no prompt and are in `failed` too. Every stage is a table; the model stages are written down before they are
     read again, so no call is paid twice.
+
+    `pages_after` and `sources_after` are the wiki with everything in place: heads, bodies with the sections of the new sources and
+    callouts of contradictions, and the notes of the sources themselves; `catalogue` lists it. `connections` are pages that a new
+    source may be connected to, `follow` the links of a post that its plan chose.
     """
     pages, sources = inputs["pages"], inputs["sources"]
     first = Q.dedup_captures(inputs["captures"], ["added_at", "doc_id"])
@@ -65,34 +139,22 @@ def ingest_corpus(
     withheld = every.filter("kind = 'email'") if remote else every.filter(F.lit(False))
     fresh = every.join(withheld.select("doc_id"), "doc_id", "left_anti")
 
-    long = fresh.filter(F.length("text") > max_chars)
-    chunks = C.split_chunks(long, max_chars)
-    coverage = NO.read_coverage(chunks, max_calls, fan_in)
-    unread = NO.unread_chunks(chunks, max_calls, fan_in)
-    readable = chunks.join(unread.select("doc_id", "seq"), ["doc_id", "seq"], "left_anti")
-    notes = spark.createDataFrame([], "doc_id long, seq long, " + NOTES_JSON.replace("\n", " "))
-    warnings = spark.createDataFrame([], "doc_id long, seq int, warning string")
-    if notes_fn is not None:
-        answers, warnings = MM.read_chunks(readable, notes_fn)
-        parsed = answers.withColumn("n", F.from_json("output", NOTES_JSON)).filter(F.col("n").isNotNull())
-        empty = {k: F.coalesce(F.col(f"n.{k}"), F.from_json(F.lit("[]"), parsed.schema["n"].dataType[k].dataType.simpleString())).alias(k) for k in ("points", "terms", "quotes", "relations")}
-        in_order = ordered_scan(parsed.select("doc_id", F.col("seq").alias("_chunk"), "half", *empty.values()), ["_chunk", "half"], ["doc_id"])
-        notes = durable(in_order.select("doc_id", (F.col("rn") - 1).alias("seq"), "points", "terms", "quotes", "relations"))
-    packed = NO.pack_notes(notes)
-    merged = NO.merge_notes(notes)
+    reading = read_long_documents(fresh.filter(F.length("text") > max_chars), notes_fn, merge_fn, max_chars=max_chars, max_calls=max_calls, fan_in=fan_in)
+    packed = NO.pack_notes(reading["reduced"])
+    merged = NO.merge_notes(reading["notes"])
 
     offered = fresh.join(packed.select("doc_id", F.col("text").alias("_notes"), "whole"), "doc_id", "left").withColumn(
-        "prompt", T.fence_safe(F.coalesce("_notes", F.when(F.length("text") <= max_chars, F.col("text"))))
+        "prompt", T.fence_safe(F.coalesce(F.when(F.col("whole"), F.col("_notes")), F.when(F.length("text") <= max_chars, F.col("text"))))
     )
-    prompts = offered.filter(F.col("prompt").isNotNull())
-    reason = F.when(F.col("prompt").isNull(), "too long, and not read").when(~F.col("whole"), "notes cut to the budget")
+    prompts = durable(offered.filter(F.col("prompt").isNotNull()).select("doc_id", "prompt"))
+    reason = F.when(~F.col("whole"), "notes longer than the budget").when(F.col("prompt").isNull(), "too long, and not read")
     failed = offered.select("doc_id", reason.alias("reason")).filter(F.col("reason").isNotNull()).unionByName(
         withheld.select("doc_id", F.lit("private, and the model is remote").alias("reason"))
     )
-    answered = durable(MM.map_model(prompts.select("doc_id", "prompt"), plan_fn).select("doc_id", F.col("output").alias("raw_json")))
-    plans = durable(MM.validate_plans(answered))
-    leaks_in = plans.filter("valid").select("doc_id", "plan.*")
-    good = leaks_in.join(fresh.select("doc_id", "url", "kind", "text", F.col("title").alias("doc_title")), "doc_id")
+    plans, strange = checked_plans(prompts, plan_fn, language)
+    failed = failed.unionByName(plans.filter("not valid").select("doc_id", F.concat(F.lit("no valid plan: "), F.array_join("errors", "; ")).alias("reason")))
+    warnings = reading["warnings"].unionByName(strange)
+    good = plans.filter("valid").select("doc_id", "plan.*").join(fresh.select("doc_id", "url", "kind", "text", F.col("title").alias("doc_title")), "doc_id")
     texts = fresh.select("doc_id", "text")
 
     quotes = G.verify_quotes(good.select("doc_id", F.posexplode("quotes").alias("pos", "quote")), texts)
@@ -102,7 +164,7 @@ def ingest_corpus(
     titles = P.assign_titles(
         good.select("doc_id", F.coalesce(F.when(T.safe_title("title") != "", T.safe_title("title")), "doc_title").alias("title"), "url", F.col("doc_id").alias("seq")), pages
     )
-    titled = good.join(titles, "doc_id")
+    titled = durable(good.join(titles, "doc_id"))
     entities = titled.select("doc_id", "file_title", "kind", F.posexplode("entities").alias("pos", "e")).select(
         "doc_id", "file_title", F.col("kind").alias("doc_kind"), "pos", "e.title", F.coalesce("e.aliases", F.array().cast("array<string>")).alias("aliases"), "e.description"
     )
@@ -115,20 +177,61 @@ def ingest_corpus(
         F.col("doc_id").alias("seq"), "pos", "kind", "title", "aliases", "description", F.col("file_title").alias("source_title"), (F.col("doc_kind") == "email").alias("is_private")
     )
     upsert = P.merge_concepts(pages, sources, edits, S.private_sources(pages), today)
+    upsert = {k: durable(v) for k, v in upsert.items()}
     names = edits.select(F.col("seq").alias("doc_id"), F.explode(F.concat(F.array("title"), "aliases")).alias("name"))
     relations = G.verify_relations(
         good.select("doc_id", F.posexplode("relations").alias("pos", "r")).select("doc_id", "pos", "r.a", "r.relation", "r.b"), names, texts
     )
-    notes_out = titled.select(
+    notes_out = durable(titled.select(
         "doc_id", F.col("file_title").alias("title"), "url", F.col("kind").alias("doc_kind"), T.one_line("one_liner").alias("summary"),
         P.model_text("summary").alias("executive_summary"), P.model_text(T.complete("abstract")).alias("abstract"), "tags",
         T.content_hash("text").alias("content_hash"), F.lit(today).alias("processed"),
-    )
+    ))
+    after = apply_batch(pages, sources, upsert, notes_out, titled if flag_contradictions else titled.filter(F.lit(False)), today)
+    asked = titled.select(
+        F.col("doc_id").alias("query_id"), F.col("file_title").alias("title"), "summary", F.transform("concepts", lambda c: c["title"]).alias("concepts"), F.transform("terms", lambda t: t["term"]).alias("terms")
+    )
+    index = durable(SE.postings(pages))
+    connections = SE.connection_candidates(asked, index, pages, sources, SE.corpus_size(pages))
+    chosen = titled.select("doc_id", F.coalesce("follow", F.array().cast("array<string>")).alias("follow"))
+    links = every.select("doc_id", (F.col("links") if "links" in every.columns else F.array().cast("array<string>")).alias("links"))
     return {
-        "known": known.filter(F.col("existing_title").isNotNull()), "coverage": coverage, "unread": unread, "failed": failed, "warnings": warnings, "merged_notes": merged,
-        "plans": plans, "notes": notes_out, "quotes": quotes, "terms": terms, "relations": relations,
-        "graph": G.concept_graph(relations.filter("verdict = 'kept'").drop("verdict")), **upsert,
+        "known": known.filter(F.col("existing_title").isNotNull()), "coverage": reading["coverage"], "unread": reading["unread"], "calls": reading["used"], "failed": failed,
+        "warnings": warnings, "merged_notes": merged, "plans": plans, "notes": notes_out, "quotes": quotes, "terms": terms, "relations": relations,
+        "graph": G.concept_graph(relations.filter("verdict = 'kept'").drop("verdict")), "connections": connections, "follow": MM.links_to_follow(chosen, links), **upsert, **after,
+    }
+
+
+def apply_batch(pages: DataFrame, sources: DataFrame, upsert: Tables, notes: DataFrame, contradicting: DataFrame, today: date) -> Tables:
+    """The wiki after a batch: `pages_after`, `sources_after`, `callouts`, `dropped_references`, `catalogue`, `catalogue_counts`.
+
+    Contradictions refer to the pages of before and of this batch, and stay on their side of the privacy line.
+    """
+    ids = durable(P.page_ids(upsert["upserts"], pages))
+    heads = durable(P.apply_upserts(pages, upsert["upserts"]))
+    rows = sources.unionByName(upsert["sources"].join(ids, "page_key").select("page_id", "source").select(*sources.columns)).distinct()
+    said = contradicting.select(
+        F.col("doc_id").alias("seq"), F.col("file_title").alias("source_title"), (F.col("kind") == "email").alias("is_private"), F.posexplode("contradictions").alias("pos", "c")
+    ).select("seq", "source_title", "is_private", "pos", "c.page", "c.note")
+    coming = contradicting.filter("kind = 'email'").select(F.lit(None).cast(pages.schema["page_id"].dataType).alias("page_id"), F.col("file_title").alias("title"))
+    private = S.private_sources(heads).unionByName(coming)
+    found = P.annotate_contradictions(heads, said.drop("seq"), S.hidden_pages(heads, rows, private), today)
+    order = contradicting.select(F.col("file_title").alias("source_title"), F.col("doc_id").alias("seq"))
+    callouts = durable(found["callouts"].join(order, "source_title"))
+    sections = upsert["sections"].join(ids, "page_key").select("page_id", "seq", "pos", "source", "text")
+    bodies = A.assemble(heads.select("page_id", "title", "body"), sections, callouts.select("page_id", "seq", "pos", "text"))
+    written = A.with_bodies(heads, bodies)
+    page_id = F.abs(F.xxhash64(F.concat(F.lit("source:"), F.col("title")))).cast(pages.schema["page_id"].dataType)
+    text = F.concat_ws("\n\n", F.concat(F.lit("# "), "title"), F.concat(F.lit("> "), "url"), F.concat(F.lit("## Summary\n"), "executive_summary"), F.when(F.col("abstract") != "", F.concat(F.lit("## Abstract\n"), "abstract")))
+    made = {
+        "page_id": page_id, "path": F.concat(F.lit("sources/"), "title", F.lit(".md")), "stem": F.col("title"), "kind": F.lit("sources"), "aliases": F.array().cast("array<string>"), "status": F.lit("processed"),
+        "sources": F.array().cast("array<string>"), "body": text,
     }
+    columns = {f.name: f.dataType for f in pages.schema.fields}
+    new = notes.select(*[(made[c] if c in made else F.col(c) if c in notes.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()])
+    pages_after = durable(written.join(new.select("path"), "path", "left_anti").select(*columns).unionByName(new))
+    listed, counts = R.catalogue(pages_after)
+    return {"pages_after": pages_after, "sources_after": rows, "callouts": callouts, "dropped_references": found["dropped"], "catalogue": listed, "catalogue_counts": counts}
 
 
 def ask_batch(

@@ -282,6 +282,61 @@ def test_ingest_job(spark, wiki):
     ups = {r.title: r for r in done["upserts"].collect()}
     assert set(ups) == {"Graph", "Neo"} and ups["Graph"].aliases == ["network of nodes"] and ups["Neo"].created
     assert done["quotes"].count() == 1 and done["terms"].first().verdict == "kept"
+    after = {r.title: r for r in done["pages_after"].collect()}
+    assert set(after) == {"paper", "Graph", "Neo", "Graph (source)"}
+    assert after["Graph"].body.endswith("\n\n## From [[Graph (source)]]\nSays what joins nodes.") and after["Graph"].aliases == ["network of nodes"]
+    assert after["Neo"].body == "# Neo\n\n## From [[Graph (source)]]\nA graph database." and after["Graph (source)"].kind == "sources"
+    assert {(r.source) for r in done["sources_after"].collect()} == {"paper", "Graph (source)"}
+    assert {r.kind: r.pages for r in done["catalogue_counts"].collect()} == {"sources": 2, "concepts": 1, "entities": 1}
+
+
+def test_ingest_asks_again_and_marks_contradictions(spark, wiki):
+    """One plan is good at the second try, one never; a contradiction is a callout in the page it names, also one of this batch."""
+    pages = wiki(page(1, "paper", "sources"), page(2, "Graph", sources=["paper"], body="# Graph"))
+    text = "Graphs join nodes by edges. Number {} of the texts about them says a little more than the others do."
+    caps = spark.createDataFrame(
+        [(i, f"https://x.org/{i}", f"https://x.org/{i}", text.format(i), "article", f"Doc {i}", i, [f"https://y.org/{i}"]) for i in (1, 2, 3)],
+        "doc_id long, target string, url string, text string, kind string, title string, added_at long, links array<string>",
+    )
+
+    def plan(prompts):
+        out = []
+        for p in prompts:
+            n = next(i for i in (1, 2, 3) if f"Number {i} " in p)
+            good = {
+                "title": f"Source {n}", "one_liner": "What a graph is made of.", "summary": "A graph is made of nodes joined by edges. It is used a lot.", "key_points": ["a"],
+                "concepts": [{"title": "Mesh" if n == 1 else "net", "aliases": ["net"], "description": f"Said in {n} of what joins nodes."}], "follow": [f"https://y.org/{n}?utm_source=a", "https://z.org"],
+                "contradictions": [{"page": "[[Graph]]" if n == 1 else "net", "note": "It says otherwise."}, {"page": "Nowhere", "note": "It says otherwise."}],
+            }
+            out.append("not json" if n == 3 or (n == 2 and "refused" not in p) else json.dumps(good))
+        return out
+
+    done = jobs.ingest_corpus(spark, {"captures": caps, "pages": pages, "sources": N.page_sources(pages)}, plan_fn=plan, today=TODAY)
+    print(done["failed"].collect())
+    assert [r.doc_id for r in done["failed"].collect()] == [3] and sorted(r.doc_id for r in done["notes"].collect()) == [1, 2]
+    after = {r.title: r for r in done["pages_after"].collect()}
+    day = TODAY.isoformat()
+    assert after["Graph"].body == f"# Graph\n\n> [!warning] Possible contradiction ({day}) with [[Source 1]]: It says otherwise."
+    assert after["Mesh"].body == (
+        f"# Mesh\n\n## From [[Source 1]]\nSaid in 1 of what joins nodes.\n\n## From [[Source 2]]\nSaid in 2 of what joins nodes.\n\n> [!warning] Possible contradiction ({day}) with [[Source 2]]: It says otherwise."
+    )
+    assert "net" not in after and done["dropped_references"].count() == 2
+    assert sorted(r.url for r in done["follow"].collect()) == ["https://y.org/1", "https://y.org/2"]
+
+
+def test_long_documents_are_merged_and_charged(spark, wiki):
+    """A document of more chunks than notes fit is merged level by level; calls of both kinds are charged, and the finale is kept back."""
+    caps = _captured(spark, (1, "Long", "article", "\n\n".join(f"{i}. " + "Graphs join nodes by edges. " * 30 for i in range(60))))
+    pages = wiki(page(9, "Other"))
+    note = lambda ps: [json.dumps({"points": ["Point " + p[:12].strip()], "terms": [], "quotes": [], "relations": []}) for p in ps]
+    both = lambda ps: [json.dumps({"points": ["Merged."]})] * len(ps)
+    done = jobs.ingest_corpus(
+        spark, {"captures": caps, "pages": pages, "sources": N.page_sources(pages)}, plan_fn=lambda ps: [json.dumps(PLAN)] * len(ps), notes_fn=note, merge_fn=both, today=date(2024, 2, 1), max_chars=2000, max_calls=30, fan_in=4
+    )
+    calls, cover = done["calls"].first(), done["coverage"].first()
+    assert calls["used"] <= 23 and cover["unread"] == done["unread"].count() > 0 and done["plans"].count() == 1 and done["failed"].count() == 0
+    read = cover["total"] - cover["unread"]
+    assert calls["used"] == read + NO.merge_calls(read, 4)
 
 
 def test_ask_job(spark, wiki):
