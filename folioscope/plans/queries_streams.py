@@ -86,3 +86,34 @@ def stream_mail_intake(spark, d):
     )
     taken = drained(spark, J.mail_intake(mail, date(2024, 1, 20)), "append")
     return taken.select(F.substring("source", 6, 16).alias("source"))
+
+
+def _mailbox_sql(fetches: int = 4) -> str:
+    steps = ["""m AS (SELECT 'm' || conv_id % 3 AS mailbox, CASE WHEN conv_id % 4 < 2 THEN 'g1' ELSE 'g2' END AS generation, conv_id % 4 AS "fetch", DATE '2024-01-15' + CAST(conv_id % 4 AS INT) AS fetched,
+        conv_id * 1000 + turn AS uid, DATE '2024-01-01' + CAST(conv_id * 7 % 30 AS INT) - 20 AS received, (conv_id + turn) % 3 <> 0 AS seen FROM conversations)""", "k AS (SELECT NULL AS mailbox, NULL AS gen, NULL AS last WHERE false)"]
+    before = "k"
+    for f in range(fetches):
+        steps.append(f"t{f} AS (SELECT m.* FROM m LEFT JOIN {before} k ON k.mailbox = m.mailbox AND k.gen = m.generation WHERE m.\"fetch\" = {f} AND (received >= fetched - 14 OR NOT seen OR coalesce(uid > last, false)))")
+        steps.append(f"k{f} AS (SELECT mailbox, gen, max(last) AS last FROM (SELECT mailbox, generation AS gen, uid AS last FROM t{f} UNION ALL SELECT * FROM {before}) GROUP BY mailbox, gen QUALIFY gen = max(gen) OVER (PARTITION BY mailbox))")
+        before = f"k{f}"
+    return "WITH " + ",\n".join(steps) + "\n" + " UNION ALL ".join(f'SELECT mailbox, "fetch", uid FROM t{f}' for f in range(fetches))
+
+
+@query("stream_mailboxes", _mailbox_sql())
+def stream_mailboxes(spark, d):
+    """Four fetches of three mailboxes, one micro-batch each, with marks as state; the mailboxes change their generation after two."""
+    from folioscope.streaming import mailbox as B
+
+    fetch = F.col("conv_id") % 4
+    day = lambda start, n: F.date_add(F.to_date(F.lit(start)), n.cast("int"))
+    mail = table(spark, d, "conversations").select(
+        F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string")).alias("mailbox"), F.when(fetch < 2, "g1").otherwise("g2").alias("generation"), fetch.alias("fetch"),
+        day("2024-01-15", fetch).alias("fetched"), (F.col("conv_id") * 1000 + F.col("turn")).alias("uid"), day("2023-12-12", F.col("conv_id") * 7 % 30).alias("received"),
+        ((F.col("conv_id") + F.col("turn")) % 3 != 0).alias("seen"), F.lit(None).cast("string").alias("message_id"), F.col("text").alias("raw"),
+    )
+    folder = f"{checkpoint_dir(spark)}/mailboxes-{uuid.uuid4().hex}"
+    for f in range(4):
+        mail.filter(F.col("fetch") == f).write.parquet(f"{folder}/in/fetch_{f}")
+        arrived = spark.readStream.schema(mail.schema).parquet(f"{folder}/in/*")
+        B.maintain_mailboxes(arrived, f"{folder}/out", f"{folder}/state").start().awaitTermination()
+    return spark.read.schema(mail.schema).parquet(f"{folder}/out/taken/*").select("mailbox", "fetch", "uid")
