@@ -137,7 +137,7 @@ def ingest_corpus(
     fresh = docs.join(known.filter(F.col("existing_title").isNull()).select("doc_id"), "doc_id", "left_semi")
     every = durable(fresh)
     withheld = every.filter("kind = 'email'") if remote else every.filter(F.lit(False))
-    fresh = every.join(withheld.select("doc_id"), "doc_id", "left_anti")
+    fresh = durable(every.join(withheld.select("doc_id"), "doc_id", "left_anti")) if remote else every
 
     reading = read_long_documents(fresh.filter(F.length("text") > max_chars), notes_fn, merge_fn, max_chars=max_chars, max_calls=max_calls, fan_in=fan_in)
     packed = NO.pack_notes(reading["reduced"])
@@ -154,7 +154,7 @@ def ingest_corpus(
     plans, strange = checked_plans(prompts, plan_fn, language)
     failed = failed.unionByName(plans.filter("not valid").select("doc_id", F.concat(F.lit("no valid plan: "), F.array_join("errors", "; ")).alias("reason")))
     warnings = reading["warnings"].unionByName(strange)
-    good = plans.filter("valid").select("doc_id", "plan.*").join(fresh.select("doc_id", "url", "kind", "text", F.col("title").alias("doc_title")), "doc_id")
+    good = durable(plans.filter("valid").select("doc_id", "plan.*").join(fresh.select("doc_id", "url", "kind", "text", F.col("title").alias("doc_title")), "doc_id"))
     texts = fresh.select("doc_id", "text")
 
     quotes = G.verify_quotes(good.select("doc_id", F.posexplode("quotes").alias("pos", "quote")), texts)
