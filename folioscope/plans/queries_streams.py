@@ -7,10 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from folioscope.operators.common import checkpoint_dir
-from folioscope.plans.corpus import table
+from folioscope.plans.corpus import shared, table
 from folioscope.plans.queries_operations import LEDGER_SQL
+from folioscope.plans.queries_search import _BM25, _INDEX, K, question_terms
 from folioscope.plans.queries_text import NORMED
 from folioscope.plans.registry import query
+from folioscope.streaming import delta_index as D
+from folioscope.streaming import drops as P
 from folioscope.streaming import jobs as J
 
 
@@ -117,3 +120,86 @@ def stream_mailboxes(spark, d):
         arrived = spark.readStream.schema(mail.schema).parquet(f"{folder}/in/*")
         B.maintain_mailboxes(arrived, f"{folder}/out", f"{folder}/state").start().awaitTermination()
     return spark.read.schema(mail.schema).parquet(f"{folder}/out/taken/*").select("mailbox", "fetch", "uid")
+
+
+# -------------------------------------------------------------------------------- runs kept by level
+
+_LIVE = "live AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'revised title' ELSE source END AS source, lang, text FROM documents WHERE doc_id % 5 <> 0)"
+STEPS = 6
+
+
+def arriving(spark, steps: list, follow) -> None:
+    """Each of `steps` written as one more folder of files; `follow(stream)` is started anew after each and takes it as one batch."""
+    folder = f"{checkpoint_dir(spark)}/arriving-{uuid.uuid4().hex}"
+    for n, rows in enumerate(steps):
+        rows.write.parquet(f"{folder}/step_{n}")
+        follow(spark.readStream.schema(rows.schema).parquet(f"{folder}/*")).start().awaitTermination()
+
+
+def delta_index(spark, d):
+    """Documents indexed by batches: each comes in one of four, a third is given another title in the next, a fifth is deleted in the one after that."""
+
+    def build():
+        folder = f"{checkpoint_dir(spark)}/delta-{uuid.uuid4().hex}"
+        docs = table(spark, d, "documents")
+        page = lambda title, deleted: docs.select(
+            F.col("doc_id").alias("page_id"), title.alias("title"), F.array("lang").alias("aliases"), F.col("text").alias("body"), F.lit(1).alias("changed_at"), F.lit(deleted).alias("deleted")
+        )
+        home = lambda n: F.col("page_id") % 4 == n
+        steps = [
+            page(F.col("source"), False).filter(home(n))
+            .unionByName(page(F.lit("revised title"), False).filter(home(n - 1) & (F.col("page_id") % 3 == 0)))
+            .unionByName(page(F.col("source"), True).filter(home(n - 2) & (F.col("page_id") % 5 == 0)))
+            for n in range(STEPS)
+        ]
+        arriving(spark, steps, lambda pages: D.follow_pages(pages, f"{folder}/index", f"{folder}/state", fanout=2))
+        return spark.range(1).select(F.lit(f"{folder}/index").alias("path"))
+
+    return D.DeltaIndex(spark, shared(spark, d, "delta_index", build).first()["path"], fanout=2)
+
+
+@query(
+    "stream_delta_index",
+    f"""WITH {_LIVE}, {_INDEX.replace("FROM documents", "FROM live")}, total AS (SELECT count(*) AS pages, CAST(sum(coalesce(page_len, 0)) AS BIGINT) AS tokens FROM live LEFT JOIN lens ON page_id = doc_id)
+    SELECT page_id, count(*) AS terms, CAST(sum(tf_title) AS BIGINT) AS in_title, CAST(sum(tf_alias) AS BIGINT) AS in_alias, CAST(sum(tf_body) AS BIGINT) AS in_body,
+      CAST(any_value(page_len) AS BIGINT) AS page_len, CAST(sum(tf_body * (1 + length(term) * 31 + ascii(term))) AS BIGINT) AS said, any_value(pages) AS pages, any_value(tokens) AS tokens
+    FROM postings JOIN lens USING (page_id), total GROUP BY page_id""",
+)
+def stream_delta_index(spark, d):
+    """The postings of every live page after six batches, with the totals of the head."""
+    index = delta_index(spark, d)
+    said = F.col("tf_body") * (1 + F.length("term") * 31 + F.ascii("term"))
+    rows = index.postings().groupBy("page_id").agg(
+        F.count(F.lit(1)).alias("terms"), *[F.sum(f"tf_{c}").alias(f"in_{c}") for c in ("title", "alias", "body")],
+        F.max("page_len").cast("long").alias("page_len"), F.sum(said).cast("long").alias("said"),
+    )
+    return rows.withColumns({"pages": F.lit(index.pages).cast("long"), "tokens": F.lit(index.tokens).cast("long")})
+
+
+@query("stream_delta_search", f"WITH {_LIVE}, {_BM25.replace('FROM documents', 'FROM live')} SELECT query_id, page_id, rank, round(score, 6) AS score FROM keyword WHERE rank <= {K}")
+def stream_delta_search(spark, d):
+    """The best pages for every benchmark passage, from the runs and the totals of the head."""
+    found = delta_index(spark, d).search(question_terms(spark, d), K)
+    return found.select("query_id", "page_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(
+    "stream_file_drops",
+    """WITH f AS (SELECT '/inbox/' || doc_id || CASE lang WHEN 'de' THEN '.exe' WHEN 'fr' THEN '.PDF' ELSE '.md' END AS path, CAST(strlen(text) AS BIGINT) AS length,
+        sha256(text) AS digest, lang <> 'de' AND text IS NOT NULL AS usable, CAST(doc_id % 3 AS INT) AS batch FROM documents),
+      r AS (SELECT *, CASE WHEN usable THEN row_number() OVER (PARTITION BY usable, digest ORDER BY batch, path) END AS n,
+        CASE WHEN usable THEN first_value(path) OVER (PARTITION BY usable, digest ORDER BY batch, path) END AS first_path FROM f)
+      SELECT path, length, digest, CASE WHEN NOT usable THEN 'unsupported' WHEN n = 1 THEN 'new' ELSE 'duplicate' END AS verdict, coalesce(first_path, '') AS first_path, batch FROM r""",
+)
+def stream_file_drops(spark, d):
+    """Every document dropped as a file in one of three batches: what is new, what is there under another name, what is not read."""
+    suffix = F.when(F.col("lang") == "de", ".exe").when(F.col("lang") == "fr", ".PDF").otherwise(".md")
+    files = table(spark, d, "documents").select(
+        F.col("doc_id"), F.concat(F.lit("/inbox/"), F.col("doc_id").cast("string"), suffix).alias("path"),
+        F.octet_length("text").cast("long").alias("length"), F.encode("text", "UTF-8").alias("content"),
+    )
+    folder = f"{checkpoint_dir(spark)}/drops-{uuid.uuid4().hex}"
+    steps = [files.filter(F.col("doc_id") % 3 == n).drop("doc_id") for n in range(3)]
+    arriving(spark, steps, lambda rows: P.take_drops(rows, f"{folder}/out", f"{folder}/state", fanout=2))
+    judged = P.verdicts(spark, f"{folder}/out")
+    return judged.select("path", "length", "digest", "verdict", F.coalesce("first_path", F.lit("")).alias("first_path"), "batch")

@@ -154,7 +154,9 @@ def classify_drops(files: DataFrame, images: bool = False) -> DataFrame:
 
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     takes = [".md", ".pdf"] + ([".png", ".jpg", ".jpeg", ".webp", ".tif", ".tiff"] if images else [])
-    has_links = F.size(urls_in(F.decode("content", "UTF-8"))) > 0
+    # only lists are read as text; bytes that are no UTF-8 become replacement characters
+    listed = F.when(suffix == ".txt", F.make_valid_utf8(F.col("content").cast("string")))
+    has_links = F.size(urls_in(listed)) > 0
     verdict = F.when(suffix.isin(*takes), "take").when((suffix == ".txt") & has_links, "links").otherwise("unsupported")
     return files.select("path", "length", F.sha2("content", 256).alias("digest"), verdict.alias("verdict"), "content")
 
