@@ -24,6 +24,7 @@ from folioscope.operators import notes as NO
 from folioscope.operators import pages as P
 from folioscope.operators import privacy as S
 from folioscope.operators import reports as R
+from folioscope.operators import rounds as RO
 from folioscope.operators import runs as O
 from folioscope.operators import search as SE
 from folioscope.operators import similar as Z
@@ -330,10 +331,12 @@ def compare_models(spark: SparkSession, inputs: Tables, *, models: dict[str, Cal
 
 
 def consolidate(
-    spark: SparkSession, inputs: Tables, *, summary_fn: Callable, language: str = "en", heading: str = "Summary", manual: bool = False, remote: bool = False
+    spark: SparkSession, inputs: Tables, *, summary_fn: Callable, language: str = "en", heading: str = "Summary", manual: bool = False, remote: bool = False,
+    attempts: int = 2,
 ) -> Tables:
-    """Summaries of the concept pages that are due. `inputs`: pages, sources. A summary that fails the
-    checks goes to `reviews`; the others are put into their page. Due pages without sections or an
+    """Summaries of the concept pages that are due. `inputs`: pages, sources. A summary that fails the checks against its page is asked for
+    again with the problems, up to `attempts` times; then it goes to `reviews`. The others are put into their page. `attempts` lists
+    every answer with its problems. Due pages without sections or an
     answer are in `skipped`, and with a `remote` model also those that private sources touched."""
     pages = inputs["pages"]
     wanted = durable(P.due_pages(pages, inputs["sources"], manual))
@@ -345,18 +348,18 @@ def consolidate(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "source", "shown"))), lambda s: F.concat(s["source"], F.lit(": "), T.fence_safe(s["shown"]))), "\n").alias("prompt"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), "\n").alias("_evidence"),
     )  # at most twelve sections a page
-    answered = durable(MM.map_model(shown, summary_fn))
-    named = answered.join(mine.select("page_id", "title", "aliases", "n_sources"), "page_id")
-    summaries = named.select("page_id", T.strip("output").alias("summary"), "n_sources").filter(F.col("summary").isNotNull())
-    evidence = named.select("page_id", F.concat_ws("\n", F.concat_ws(", ", "title", F.array_join("aliases", ", ")), "_evidence").alias("text"))
-    judged = durable(summaries.join(G.summary_problems(summaries, evidence, language), "page_id"))
+    named = mine.select("page_id", "title", "aliases", "n_sources").join(shown, "page_id")
+    evidence = durable(named.select("page_id", F.concat_ws("\n", F.concat_ws(", ", "title", F.array_join("aliases", ", ")), "_evidence").alias("text")))
+    last, tried = RO.sound_summaries(shown.select("page_id", "prompt"), RO.by_model(summary_fn), evidence, language, attempts)
+    answered = last.join(mine.select("page_id", "n_sources"), "page_id").withColumnRenamed("output", "summary")
+    judged = answered.filter("status <> 'unanswered'").select("page_id", "summary", "n_sources", "problems", F.col("attempt").alias("tries"))
     passed = judged.filter(F.size("problems") == 0)
     written = mine.drop("n_sources").join(passed.select("page_id", F.col("summary").alias("_s"), F.col("n_sources").cast("int").alias("_n")), "page_id")
     updated = written.withColumn("body", C.put_section("body", heading, F.col("_s"))).withColumn("summary_sources", F.col("_n")).drop("_s", "_n")
-    unanswered = named.filter(F.col("output").isNull()).select("page_id", F.col("status").alias("reason"))
+    unanswered = answered.filter("status = 'unanswered'").select("page_id", F.when(F.col("error") == "timed out", "timeout").otherwise("no answer").alias("reason"))
     skipped = due.join(shown.select("page_id"), "page_id", "left_anti").select("page_id", F.lit("no sections").alias("reason")).unionByName(unanswered)
     skipped = skipped.unionByName(withheld.select("page_id", F.lit("private, and the model is remote").alias("reason")))
-    return {"due": due, "updated": updated, "skipped": skipped, "reviews": judged.filter(F.size("problems") > 0), "merge_suggestions": Z.merge_suggestions(pages, due)}
+    return {"due": due, "updated": updated, "skipped": skipped, "reviews": judged.filter(F.size("problems") > 0), "attempts": tried, "merge_suggestions": Z.merge_suggestions(pages, due)}
 
 
 def rebuild(spark: SparkSession, inputs: Tables, *, every: bool = False, words: list[str] | None = None, **ingest_options) -> Tables:
