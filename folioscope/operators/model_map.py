@@ -28,15 +28,17 @@ def map_model(
     tokens: Callable[[str, str], int] | None = None,
     calls_per_batch: int = 1,
     retry: str = "{prompt}\n\nThis answer was refused ({reason}). Answer again.",
+    clock: Callable[[], float] | None = None,
 ) -> DataFrame:
     """`df` with `output`, `status` (ok, invalid, timeout), `error`, `tries` and `tokens`.
 
     `fn` answers a list of prompts; `check(output)` returns what is wrong with one, or an empty
     string. An invalid answer is tried again with the reason, worded by `retry`; a timeout (any
     `TimeoutError`) is not. `fn` gets `calls_per_batch` prompts at a time, and a timeout concerns
-    these only. Runs in Arrow batches where the rows are, so calls spread with the partitions.
+    these only. With a `clock` (`time.monotonic`) a column `seconds` is added: the time of all calls of a row, those that timed out included;
+    prompts that go out in one call share its time. Runs in Arrow batches where the rows are, so calls spread with the partitions.
     """
-    out = "output string, status string, error string, tries int, tokens long"
+    out = "output string, status string, error string, tries int, tokens long" + (", seconds double" if clock else "")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", " + out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -44,6 +46,7 @@ def map_model(
             n = len(batch)
             prompts = list(batch[prompt])
             output, status, error, tries, used = [None] * n, [""] * n, [""] * n, [0] * n, [0] * n
+            spent = [0.0] * n
             todo = list(range(n))
             for _ in range(attempts):
                 if not todo:
@@ -52,9 +55,16 @@ def map_model(
                 for at in range(0, len(todo), calls_per_batch):
                     some = todo[at : at + calls_per_batch]
                     asked = [retry.format(prompt=prompts[i], reason=error[i]) if error[i] else prompts[i] for i in some]
+                    began, late = clock() if clock else 0.0, False
                     try:
                         answers = fn(asked)
                     except TimeoutError:
+                        late = True
+                    if clock:
+                        share = (clock() - began) / len(some)
+                        for i in some:
+                            spent[i] += share
+                    if late:
                         for i in some:
                             status[i], error[i], tries[i] = "timeout", "timed out", tries[i] + 1
                         continue
@@ -66,7 +76,8 @@ def map_model(
                         if problem:
                             again.append(i)
                 todo = again
-            yield batch.assign(output=output, status=status, error=error, tries=tries, tokens=used)
+            timed = {"seconds": spent} if clock else {}
+            yield batch.assign(output=output, status=status, error=error, tries=tries, tokens=used, **timed)
 
     return df.mapInPandas(run, schema)
 

@@ -77,14 +77,15 @@ def summarize_trials(trials: DataFrame, prices: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("trials"),
         F.avg(ok.cast("double")).alias("ok_rate"),
         F.avg(F.col("first_try").cast("double")).alias("first_try_rate"),
-        exact_median("latency_seconds").alias("median_latency_seconds"),
         F.avg("tokens").alias("tokens_per_case"),
         F.sum("tokens").alias("tokens"),
         good("in_language").alias("language_rate"),
         good("concepts").alias("avg_concepts"),
         good("cites_expected").alias("cites_rate"),
     )
-    priced = grouped.join(prices.select("model", "usd_per_million"), "model", "left")
+    medians = exact_medians(trials, ["model", "task"], "latency_seconds", "median_latency_seconds")
+    timed = _beside(grouped, medians, ["model", "task"])
+    priced = timed.join(prices.select("model", "usd_per_million"), "model", "left")
     cost = token_cost("tokens", F.coalesce("usd_per_million", F.lit(0.0)))
     ingest, zero = F.col("task") == "ingest", F.lit(0.0)
     return priced.select(
@@ -96,10 +97,30 @@ def summarize_trials(trials: DataFrame, prices: DataFrame) -> DataFrame:
     )
 
 
-def exact_median(c: str) -> Column:
-    """The exact median. Spark merges per-value counts before the shuffle, so the state of one
-    group is its distinct latencies, not its rows."""
-    return F.median(c)
+def _beside(rows: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
+    """`rows` with the columns of their one row in `more`, where there is one; a NULL key meets a NULL key."""
+    named = more.withColumnsRenamed({k: "_key_" + k for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col("_key_" + k))
+    return rows.join(named, same, "left").drop(*["_key_" + k for k in keys])
+
+
+def exact_medians(rows: DataFrame, groups: list[str], column: str, name: str) -> DataFrame:
+    """(groups, name): the exact median of each group, NULL values left out; groups without a value have no row.
+
+    A selection over all tasks: equal values are counted before the shuffle, so a value that a third of all rows share is one row; the
+    distinct values are range-partitioned and each learns how many values stand before it, and only those with a middle rank go on.
+    No task holds the values of a group.
+    """
+    counted = rows.filter(F.col(column).isNotNull()).groupBy(*groups, column).agg(F.count(F.lit(1)).alias("_n"))
+    placed = ordered_scan(counted, [column], groups, {"_before": "_n"})
+    total = placed.groupBy(*groups).agg(F.sum("_n").alias("_all"))
+    ranked = _beside(placed, total, groups)
+    holds = lambda rank: ((F.col("_before") < rank) & (rank <= F.col("_before") + F.col("_n"))).cast("int")
+    hits = holds(F.floor((F.col("_all") + 1) / 2)) + holds(F.floor(F.col("_all") / 2) + 1)
+    middle = ranked.withColumn("_hits", hits).filter("_hits > 0")
+    return middle.groupBy(*groups).agg((F.sum(F.col(column).cast("double") * F.col("_hits")) / 2).alias(name))
 
 
 def suggest_routing(summary: DataFrame, tasks: tuple[str, ...] = TASKS) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable
 from datetime import date
 
@@ -236,12 +237,13 @@ def apply_batch(pages: DataFrame, sources: DataFrame, upsert: Tables, notes: Dat
 
 
 def ask_batch(
-    spark: SparkSession, inputs: Tables, *, answer_fn: Callable, language: str = "en", k: int = 6, budget: int = 1800, remote: bool = False
+    spark: SparkSession, inputs: Tables, *, answer_fn: Callable, language: str = "en", k: int = 6, budget: int = 1800, remote: bool = False,
+    tokens: Callable[[str, str], int] | None = None, clock: Callable[[], float] | None = None,
 ) -> Tables:
     """Questions to verified answers. `inputs`: `questions(query_id, question[, extra])`, `pages`,
     `sources`; `answer_fn(prompts) -> JSON {title, one_liner, answer, cited_pages}`.
 
-    A question without pages, or whose answer is none, is a row of `refused` with the reason. With a `remote` model, hidden pages are never retrieved, shown or cited, and pages that private
+    `calls` has the tries and tokens of each question, with a `clock` also its seconds. A question without pages, or whose answer is none, is a row of `refused` with the reason. With a `remote` model, hidden pages are never retrieved, shown or cited, and pages that private
     sources touched lose those sections.
     """
     pages = inputs["pages"]
@@ -258,7 +260,8 @@ def ask_batch(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "title", "context"))), lambda x: F.concat(F.lit("<page title=\""), x["title"], F.lit("\">\n"), T.fence_safe(x["context"]), F.lit("\n</page>"))), "\n").alias("user")
     )  # at most k short texts per question
     prompts = inputs["questions"].join(blocks, "query_id").withColumn("prompt", F.concat("user", F.lit("\n\n"), T.fence_safe("question")))
-    answered = durable(MM.map_model(prompts.select("query_id", "question", "user", "prompt"), answer_fn))
+    answered = durable(MM.map_model(prompts.select("query_id", "question", "user", "prompt"), answer_fn, tokens=tokens, clock=clock))
+    calls = answered.select("query_id", "status", "tries", "tokens", *(["seconds"] if clock else []))
     schema = "title string, one_liner string, answer string, cited_pages array<string>"
     read = answered.withColumn("a", F.from_json("output", schema))
     parsed = read.filter(F.length("a.answer") >= 20)
@@ -271,7 +274,7 @@ def ask_batch(
     evidence = found.select(F.col("query_id").alias("answer_id"), "page_id")
     verdict = G.answer_verdict(clean, shown, evidence, hidden if remote else None, language)
     cited = G.citations(clean, N.page_names(shown), hidden if remote else None)
-    return {"retrieved": found, "answers": clean.join(verdict, "answer_id"), "citations": cited, "refused": refused}
+    return {"retrieved": found, "answers": clean.join(verdict, "answer_id"), "citations": cited, "refused": refused, "calls": calls}
 
 
 def lint_corpus(spark: SparkSession, inputs: Tables, *, shown: int = 50) -> Tables:
@@ -311,21 +314,62 @@ def evaluate_retrieval(spark: SparkSession, inputs: Tables, *, k: int = 6) -> Ta
     return {"cases": cases, "totals": totals}
 
 
-def compare_models(spark: SparkSession, inputs: Tables, *, models: dict[str, Callable], n: int = 10, language: str = "en") -> Tables:
-    """Plans of several models for the same evenly spaced sources. `inputs`: docs(doc_id, text, kind),
-    pages, prices. Returns trials, their summary and the routing they suggest."""
+def _steady(fn: Callable) -> Callable:
+    """A model that breaks is a trial that failed, not a job that did."""
+
+    def call(prompts: list[str]) -> list[str]:
+        try:
+            return fn(prompts)
+        except Exception as error:
+            raise MM.ModelTimeout(str(error)) from error
+
+    return call
+
+
+def _said(prompt: str, answer: str) -> int:
+    return (len(prompt) + len(answer)) // 4
+
+
+def ask_trials(spark: SparkSession, inputs: Tables, model: str, fn: Callable, language: str, clock: Callable[[], float]) -> DataFrame:
+    """One trial per question of `golden(query_id, question, expect)`: it holds if the answer is grounded, and is the better if it cites a page
+    that was expected (by title, folded)."""
+    golden = inputs["golden"]
+    asked = {"questions": golden.select("query_id", "question"), "pages": inputs["pages"], "sources": inputs.get("sources", N.page_sources(inputs["pages"]))}
+    done = ask_batch(spark, asked, answer_fn=_steady(fn), language=language, tokens=_said, clock=clock)
+    wanted = golden.select(F.col("query_id").alias("answer_id"), F.explode("expect").alias("t")).select("answer_id", T.fold("t").alias("t")).distinct()
+    cited = done["citations"].select("answer_id", T.fold("title").alias("t")).join(wanted, ["answer_id", "t"], "left_semi").select("answer_id").distinct()
+    judged = done["answers"].select("answer_id", "grounded").join(cited.withColumn("cites_expected", F.lit(True)), "answer_id", "left").withColumnRenamed("answer_id", "query_id")
+    rows = golden.select("query_id").join(done["calls"], "query_id", "left").join(judged, "query_id", "left")
+    ok = F.coalesce("grounded", F.lit(False))
+    return rows.select(
+        F.lit(model).alias("model"), F.lit("ask").alias("task"), ok.alias("ok"), (ok & (F.col("tries") == 1)).alias("first_try"),
+        F.coalesce("seconds", F.lit(0.0)).alias("latency_seconds"), F.coalesce("tokens", F.lit(0).cast("long")).alias("tokens"), F.lit(False).alias("in_language"),
+        F.lit(0).cast("long").alias("concepts"), F.coalesce("cites_expected", F.lit(False)).alias("cites_expected"),
+    )
+
+
+def compare_models(
+    spark: SparkSession, inputs: Tables, *, models: dict[str, Callable], n: int = 10, language: str = "en", ask: dict[str, Callable] | None = None,
+    clock: Callable[[], float] = time.monotonic,
+) -> Tables:
+    """Plans of several models for the same evenly spaced sources, and with `ask` their answers to the same questions. `inputs`: docs(doc_id,
+    text, kind), pages, prices, for `ask` also golden(query_id, question, expect) and, if there is one, sources. Returns trials with the
+    seconds each took by `clock`, their summary and the routing they suggest."""
     docs = durable(O.benchmark_sources(inputs["docs"], n, ["doc_id"]))
     trials = None
     for model, fn in models.items():  # one pass per model under test
-        answered = durable(MM.map_model(docs.select("doc_id", T.fence_safe("text").alias("prompt")), fn, tokens=lambda p, a: (len(p) + len(a)) // 4))
+        answered = durable(MM.map_model(docs.select("doc_id", T.fence_safe("text").alias("prompt")), _steady(fn), tokens=_said, clock=clock))
         plans = durable(MM.validate_plans(answered.select("doc_id", F.col("output").alias("raw_json"))))
         metrics = O.plan_metrics(plans.filter("valid").select("doc_id", "plan.*"), N.page_names(inputs["pages"]), language)
         rows = answered.join(plans.select("doc_id", "valid"), "doc_id").join(metrics, "doc_id", "left").select(
             F.lit(model).alias("model"), F.lit("ingest").alias("task"), F.col("valid").alias("ok"), (F.col("valid") & (F.col("tries") == 1)).alias("first_try"),
-            F.lit(0.0).alias("latency_seconds"), "tokens", F.coalesce("in_language", F.lit(False)).alias("in_language"),
+            F.col("seconds").alias("latency_seconds"), "tokens", F.coalesce("in_language", F.lit(False)).alias("in_language"),
             F.coalesce("concepts", F.lit(0).cast("long")).alias("concepts"), F.lit(False).alias("cites_expected"),
         )
         trials = rows if trials is None else trials.unionByName(rows)
+    for model, fn in (ask or {}).items():
+        rows = durable(ask_trials(spark, inputs, model, fn, language, clock))
+        trials = rows if trials is None else trials.unionByName(rows)
     summary = O.summarize_trials(trials, inputs["prices"])
     return {"trials": trials, "summary": summary, "routing": O.suggest_routing(summary)}
 
