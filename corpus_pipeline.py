@@ -31,8 +31,9 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (5-word shingle sets of similarity 0.8 or more) the row of least id stays, null last."""
-    return shingles.keep_first(docs, words=5, similarity=0.8)
+    """Of each component of near copies the row of least id stays, null last. SimHash fingerprints as in op6 (4 words, 4 bits) propose links, MinHash
+    bands those of more bits; sets of 5-word shingles of similarity 0.8 or more decide."""
+    return shingles.keep_first(docs, words=5, similarity=0.8, print_words=4, distance=4)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

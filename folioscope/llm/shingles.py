@@ -1,4 +1,4 @@
-"""Near copies by similarity: MinHash bands over word shingles propose pairs, the Jaccard similarity of the shingle sets decides."""
+"""Near copies by similarity: SimHash links and, beyond their distance, MinHash bands propose pairs, the Jaccard similarity of the shingle sets decides."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from folioscope.operators.common import durable
 
 from .common import components, forget_workers, fresh, stored
-from .simhash import later_rows
+from .simhash import fingerprint_column, later_rows, print_links
 
 #: Bands and minima in a band: a pair of similarity 0.8 meets in a band with a probability of 0.9996, one of 0.5 with 0.47.
 BANDS, WIDTH = 20, 5
@@ -91,6 +91,19 @@ def candidates(points: DataFrame, similarity: float) -> DataFrame:
     return near.select(F.least("fp", "p.fp").alias("a"), F.greatest("fp", "p.fp").alias("b")).distinct()
 
 
+def print_pairs(marked: DataFrame, distance: int) -> DataFrame:
+    """(a, b): shingle sets `fp` of rows whose fingerprints `print` link at `distance` bits or fewer, by the joins of `simhash`.
+
+    The least set of a fingerprint stands for it in links to others; the other sets of that fingerprint are paired with it.
+    """
+    prints = durable(marked.groupBy("print").agg(F.min("fp").alias("head")))
+    equal = marked.select("print", "fp").distinct().join(prints, "print").select(F.col("fp").alias("a"), F.col("head").alias("b"))
+    linked = print_links(prints.select(F.col("print").alias("fp")), distance)
+    head_of = lambda c: prints.select(F.col("print").alias(c), F.col("head").alias(f"{c}_head"))
+    met = linked.join(head_of("a"), "a").join(head_of("b"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
+    return equal.union(met).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def left_open(points: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """(a, b): fingerprints of different components (`roots`: node, root) that share a bucket and may have the similarity.
 
@@ -123,9 +136,11 @@ def links(rows: DataFrame, points: DataFrame, pairs: DataFrame, number: str, tex
     return both.filter(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
 
 
-def set_classes(rows: DataFrame, points: DataFrame, number: str, text: str, words: int, similarity: float) -> DataFrame:
-    """(fp, class): classes of shingle sets that links connect. First by the pivots of buckets, then what these left open between components."""
-    first = components(links(rows, points, durable(candidates(points, similarity)), number, text, words, similarity))
+def set_classes(rows: DataFrame, points: DataFrame, near: DataFrame, number: str, text: str, words: int, similarity: float) -> DataFrame:
+    """(fp, class): classes of shingle sets that links connect. First by the pairs `near` (a, b) and the pivots of buckets, then what these
+    left open between components."""
+    pairs = durable(near.union(candidates(points, similarity)).distinct())
+    first = components(links(rows, points, pairs, number, text, words, similarity))
     rest = durable(left_open(points, first, similarity))
     if rest.isEmpty():
         return first.select(F.col("node").alias("fp"), F.col("root").alias("class"))
@@ -138,19 +153,21 @@ def set_classes(rows: DataFrame, points: DataFrame, number: str, text: str, word
     return known.union(alone).select(F.col("node").alias("fp"), "class")
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, print_words: int = 4, distance: int = 4) -> DataFrame:
     """`docs` with one row of each component of near copies: texts whose sets of `words`-word shingles have a Jaccard similarity of `similarity` or more.
 
     The row of least id stays (nulls last), also where rows repeat an id or an id has several texts. Every link is checked on the sets
-    themselves; which pairs are checked is up to MinHash: only a pair that shares no band at all is missed, and no link is wrong. Equal
+    themselves; which pairs are checked is up to SimHash (`print_words`, `distance` bits, as in `simhash`) and, for pairs beyond that
+    distance, MinHash: only a pair that neither links nor shares a band is missed, and no link is wrong. Equal
     sets, and texts without a word, are copies. Whole texts are read, of any length; columns of `docs` stay as they are, whatever their
     names. An empty table gives none.
     """
     (number,) = fresh(docs, "_number")
     rows = stored(docs.withColumn(number, F.monotonically_increasing_id()), "shingle-rows")
-    sketched = rows.select(F.col(number).alias("n"), F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), sketch_column(F.col(text), words).alias("s"))
-    marked = stored(sketched.select("n", "doc_id", "th", "s.*"), "shingle-marked")
+    said = [fingerprint_column(F.col(text), print_words).alias("print"), sketch_column(F.col(text), words).alias("s")]
+    sketched = rows.select(F.col(number).alias("n"), F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), *said)
+    marked = stored(sketched.select("n", "doc_id", "th", "print", "s.*"), "shingle-marked")
     points = marked.groupBy("fp").agg(F.min("n").alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("parity").alias("parity"))
-    classes = set_classes(rows, points, number, text, words, similarity)
-    gone = later_rows(marked.drop("size", "bands", "parity"), classes)
+    classes = set_classes(rows, points, print_pairs(marked, distance), number, text, words, similarity)
+    gone = later_rows(marked.drop("print", "size", "bands", "parity"), classes)
     return rows.join(gone.select(F.col("n").alias(number)), number, "left_anti").select(*docs.columns)

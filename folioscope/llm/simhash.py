@@ -87,8 +87,9 @@ def _centres(shared: DataFrame) -> DataFrame:
     return shared.join(middle, BUCKET).groupBy(*BUCKET).agg(F.min_by("fp", F.struct(_far("fp", "centre"), "fp")).alias("pivot"))
 
 
-def print_classes(prints: DataFrame, distance: int = 4) -> DataFrame:
-    """(fp, class): classes of the distinct fingerprints `fp` that links of `distance` bits or fewer connect; class is their least print.
+def _print_links(prints: DataFrame, distance: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(direct, first, across): links (a, b) that buckets and their centres give, components (node, root) of these, and the links
+    (f, g) between members of two such components (r, q) that share a bucket. All links are of `distance` bits or fewer.
 
     Prints are grouped by segment value, and values that differ in one bit meet in a row of `variants`, which at most two values share.
     Where a value has one print, or two of its own, the aggregate decides. The other values and pairs of values are buckets: every member
@@ -110,7 +111,8 @@ def print_classes(prints: DataFrame, distance: int = 4) -> DataFrame:
     shared = stored(parts.select("fp", F.col("s").alias("_s"), F.col("x").alias("_x")).join(of, (F.col("_s") == F.col("s")) & (F.col("_x") == F.col("v"))).select(*BUCKET, "fp"), "simhash-members")
     starred = shared.join(_centres(shared), BUCKET)
     near = starred.filter((F.col("fp") != F.col("pivot")) & (_far("fp", "pivot") <= distance)).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
-    first = components(few.union(near))
+    direct = durable(few.union(near))
+    first = components(direct)
     members = shared.join(first.select(F.col("node").alias("fp"), "root"), "fp", "left")
     members = members.withColumn("root", F.coalesce("root", "fp"))
     sizes = members.groupBy(*BUCKET, "root").agg(F.count(F.lit(1)).alias("n"))
@@ -119,8 +121,20 @@ def print_classes(prints: DataFrame, distance: int = 4) -> DataFrame:
     left = open_.select(*BUCKET, "main", F.col("fp").alias("f"), F.col("root").alias("r"))
     right = open_.filter("root <> main").select(*BUCKET, F.col("fp").alias("g"), F.col("root").alias("q"))
     apart = (F.col("r") != F.col("q")) & ((F.col("r") == F.col("main")) | (F.col("r") < F.col("q")))
-    pairs = left.join(right, BUCKET).filter(apart & (_far("f", "g") <= distance)).select(F.col("r").alias("a"), F.col("q").alias("b"))
-    second = components(pairs).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return direct, first, left.join(right, BUCKET).filter(apart & (_far("f", "g") <= distance)).select("f", "g", "r", "q")
+
+
+def print_links(prints: DataFrame, distance: int = 4) -> DataFrame:
+    """(a, b): links of `distance` bits or fewer between fingerprints `fp`, so many that they connect each class of `print_classes`."""
+    direct, _, across = _print_links(prints, distance)
+    one = across.groupBy("r", "q").agg(F.min(F.struct("f", "g")).alias("x")).select("x.f", "x.g")
+    return direct.union(one)
+
+
+def print_classes(prints: DataFrame, distance: int = 4) -> DataFrame:
+    """(fp, class): classes of the distinct fingerprints `fp` that links of `distance` bits or fewer connect; class is their least print."""
+    _, first, across = _print_links(prints, distance)
+    second = components(across.select(F.col("r").alias("a"), F.col("q").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
     joined = first.join(second, "root", "left").select("node", F.coalesce("top", "root").alias("class"))
     alone = second.join(first, second["root"] == first["node"], "left_anti").select(F.col("root").alias("node"), F.col("top").alias("class"))
     classes = joined.union(alone).select(F.col("node").alias("fp"), "class")

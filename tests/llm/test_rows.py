@@ -117,3 +117,19 @@ def test_toxicity_tables_follow_the_grams(spark, monkeypatch):
     assert wide >= 2 * counted.filter("grp = 0").select("slot").distinct().count() * 0.9 and shared > 8
     model = toxicity.build(counted)
     assert len(model.labels[1][0]) == wide and len(model.shared[2][0]) == shared
+
+
+def test_simhash_links_reach_the_near_copy_stage(spark, monkeypatch):
+    """With no pair from the bands, copies within 4 bits still go, each link decided by the sets; prints link texts whose sets differ too much."""
+    r = random.Random(5)
+    words = ["".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(400)]
+    near = [" ".join(words), " ".join([*words[:399], "other"]), " ".join(["first", *words[1:]])]
+    loud = "so "
+    shouted = [loud * 3000 + " ".join(words[:150]), loud * 3000 + " ".join(reversed(words[:150]))]
+    rows = spark.createDataFrame(list(enumerate(near + shouted + [None, ""], 1)), "doc_id long, text string")
+    prints = [x["p"] for x in rows.select(simhash.fingerprint_column(F.col("text")).alias("p")).collect()]
+    far = lambda a, b: ((prints[a] ^ prints[b]) & (2**64 - 1)).bit_count()
+    assert far(0, 1) <= 4 and far(0, 2) <= 4 and far(3, 4) <= 4
+    monkeypatch.setattr(shingles, "candidates", lambda points, similarity: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(shingles, "left_open", lambda points, roots, similarity: spark.createDataFrame([], "a long, b long"))
+    assert sorted(x["doc_id"] for x in shingles.keep_first(rows).collect()) == [1, 4, 5, 6]
