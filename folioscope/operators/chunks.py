@@ -131,20 +131,26 @@ def page_sections(pages: DataFrame, keep: int = 12, evidence_chars: int = 6000)
 
 def heading_key(heading: Column) -> Column:
     """The catalogue key of a section heading, in whatever language; else the heading itself."""
-    key = heading
-    folded = T.flat(heading)
-    for entry in reversed(list(V.LANGUAGES.values())):
-        labels = {**entry["sections"], "concept_summary": entry["concept_summary"], "from_source": entry["from_source"]}
-        for name, label in labels.items():
-            key = F.when(folded == T.fold_char(label), F.lit(name)).otherwise(key)
-    return key
+
+    def named(folded):
+        key = heading
+        for entry in reversed(list(V.LANGUAGES.values())):
+            labels = {**entry["sections"], "concept_summary": entry["concept_summary"], "from_source": entry["from_source"]}
+            for name, label in labels.items():
+                key = F.when(folded == T.fold_char(label), F.lit(name)).otherwise(key)
+        return key
+
+    return T.let(T.flat(heading), named)
 
 
 def page_context(c, budget: int = 1800) -> Column:
     """The page text within `budget` characters: whole sections by usefulness, in page order."""
-    c = T.as_column(c)
-    head = F.get(F.split(c, r"(?m)^## "), F.lit(0))
-    raw = F.slice(F.split(c, r"(?m)^## "), F.lit(2), F.greatest(F.size(F.split(c, r"(?m)^## ")), F.lit(1)))
+    return T.let(T.as_column(c), lambda body: T.let(F.split(body, r"(?m)^## "), lambda parts: _context_of(body, parts, budget)))
+
+
+def _context_of(c: Column, parts: Column, budget: int) -> Column:
+    head = F.get(parts, F.lit(0))
+    raw = F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(1)))
 
     def parsed(chunk, i):
         heading = T.strip(F.regexp_extract(chunk, r"^([^\n]*)", 1))

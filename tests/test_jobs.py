@@ -43,6 +43,13 @@ def test_references_are_cut_only_at_the_end(value):
     assert value(C.cut_references, early) == early
 
 
+def test_page_context_reads_its_page_once(spark):
+    """A costly body is worked out and split once, and each heading is folded once for all the labels it may be."""
+    rows = spark.createDataFrame([("# T",)], "b string").select(C.page_context(F.concat(F.lit("x"), F.reverse("b")), 60).alias("c"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("reverse(") == 1 and plan.count("split(") == 1
+
+
 def test_page_context_takes_whole_sections(value):
     body = "# T\n\n## Notes\nlong " + "x" * 50 + "\n\n## Key terms\nfoo\n\n## From [[s]]\nbar"
     assert value(lambda c: C.page_context(c, 60), body) == "# T\n\n## Key terms\nfoo\n\n## From [[s]]\nbar"
