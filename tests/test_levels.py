@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import pytest
+
 from folioscope.operators import search as S
 from folioscope.streaming import delta_index as D
 from folioscope.streaming import drops as P
@@ -119,3 +121,30 @@ def test_a_batch_of_drops_with_odd_rows(spark):
     assert sorted(r.path for r in fresh.collect()) == ["/a.md", "/z.md"]
     none = P.judge_files(spark.createDataFrame([], schema), fresh)
     assert none[0].count() == 0 and none[1].count() == 0
+
+
+def test_texts_of_single_rows_are_not_shuffled(spark):
+    rows = [(1, "a", [], "one", 1, False), (2, "b", [], "two", 1, None)]
+    alone = D.newest_rows(spark.createDataFrame(rows, PAGES))
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.page_id, r.body, r.deleted) for r in alone.collect()) == [(1, "one", False), (2, "two", False)]
+    more = D.newest_rows(spark.createDataFrame(rows + [(2, "b", [], "later", 2, False), (2, "b", [], "gone", 2, True), (None, "x", [], "y", 9, False)], PAGES))
+    assert sorted((r.page_id, r.body, r.deleted) for r in more.collect()) == [(1, "one", False), (2, "gone", True)]
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_folds_without_a_shuffle_of_postings(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(D, "DEAD_BROADCAST", most)
+    monkeypatch.setattr(D, "TWICE_BROADCAST", most)
+    path = str(tmp_path / "index")
+    batches = [[(1, "a", [], "cat dog", 1, False), (2, "b", [], "dog", 1, False)], [(1, "a", [], "owl", 2, False), (1, "a", [], "cow", 3, False)], [(2, "b", [], "", 4, True), (3, "c", [], None, 4, False)]]
+    for n, rows in enumerate(batches):
+        D.index_batch(spark, path, spark.createDataFrame(rows, PAGES), n, fanout=2)
+        index = D.DeltaIndex(spark, path, fanout=2)
+        live = {0: {1: {"a", "cat", "dog"}, 2: {"b", "dog"}}, 1: {1: {"a", "cow"}, 2: {"b", "dog"}}, 2: {1: {"a", "cow"}, 3: {"c"}}}[n]
+        got = {}
+        for r in index.postings().collect():
+            got.setdefault(r.page_id, set()).add(r.term)
+        assert got == live and index.pages == len(live) and index.tokens == sum(map(len, live.values()))
+    folded = spark.read.parquet(f"{path}/postings/level=1/run=0")
+    assert {(r.term, r.page_id) for r in folded.collect()} == {("a", 1), ("cow", 1), ("b", 2), ("dog", 2)}

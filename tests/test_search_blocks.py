@@ -28,3 +28,13 @@ def test_blocks_equal_rows(spark, monkeypatch, twice):
     assert [(r["query_id"], r["page_id"], r["rank"]) for r in got] == [(r["query_id"], r["page_id"], r["rank"]) for r in want] and len(got) == 205
     assert [r["score"] for r in got] == [None if r["score"] is None else pytest.approx(r["score"]) for r in want]
     assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+
+
+def test_many_pairs_are_summed_in_shards(spark, monkeypatch):
+    pages = spark.createDataFrame([page(i, ["alpha", f"word{i % 3}"]) for i in range(30)], "page_id string, title string, aliases array<string>, body string")
+    asked = spark.createDataFrame([(i, [f"word{i % 3}", "alpha"]) for i in range(4)], "query_id long, words array<string>")
+    want = [tuple(r) for r in S.bm25(asked, S.postings(pages), 3, (30, 3.0)).orderBy("query_id", "rank").select("query_id", "page_id", "rank").collect()]
+    monkeypatch.setattr(S, "MANY_SCORES", 120)
+    found = S.bm25(asked, S.postings(pages), 3, (30, 3.0))
+    assert [tuple(r) for r in found.orderBy("query_id", "rank").select("query_id", "page_id", "rank").collect()] == want and len(want) == 12
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
