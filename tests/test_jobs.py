@@ -178,6 +178,12 @@ def test_plans_are_clamped_and_repaired(spark):
     assert not got[3].valid and "invalid JSON" in got[3].errors
 
 
+def test_a_plan_derives_its_one_liner_once(spark):
+    raw = spark.createDataFrame([(1, "{}")], "doc_id long, raw_json string")
+    plan = MM.validate_plans(raw)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 1
+
+
 def test_model_text_is_scrubbed(spark, wiki):
     pages = wiki(page(1, "Open"), page(2, "Secret"))
     text = "See [ok](https://a.b/c) [no](https://evil/x) www.evil.com. [[Open|it]] [[Secret]] [[Gone|words]] <b>"
