@@ -246,3 +246,18 @@ def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.score(docs, none).count() == len(ODD)
     assert toxicity.drop_toxic(docs, none).columns == docs.columns
+
+
+def test_components_of_few_rows_take_few_tasks(spark):
+    """Rounds over few rows leave few partitions (and files), however many the shuffles have; the result is that of any number."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 30)] + [(50, 40), (41, 50), (60, 60)], "a long, b long")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = components(edges)
+        assert got.rdd.getNumPartitions() <= 64 + 8
+        assert {x["node"]: x["root"] for x in got.collect()} == {i: 0 for i in range(31)} | {40: 40, 41: 40, 50: 40}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
