@@ -135,12 +135,13 @@ def vocabulary(lines: DataFrame) -> DataFrame:
     return whole.select("doc_id", F.explode(F.array_distinct(T.find_all("_t", r"\p{L}{2,}"))).alias("word")).distinct()
 
 
-def heal_hyphens(lines: DataFrame) -> DataFrame:
+def heal_hyphens(lines: DataFrame, tasks: int | None = None) -> DataFrame:
     """For each line that ends in a marked hyphen: does the hyphen stay? (doc_id, line_no, keep).
 
     The words a decision needs (the joined word, its stems, both halves) are looked up in the
-    document's vocabulary by one equi-join.
+    document's vocabulary by one equi-join, in `tasks` parts or as many as shuffles have.
     """
+    deal = lambda df, *keys: df.repartition(tasks, *keys) if tasks else df
     below = F.lead("text").over(_doc())
     pairs = lines.withColumn("_below", below).filter(F.col("hyphen") & F.col("_below").isNotNull())
     pairs = pairs.select(
@@ -166,10 +167,12 @@ def heal_hyphens(lines: DataFrame) -> DataFrame:
         F.inline(F.concat(role("joined", F.array("word")), role("joined", stems(F.col("word"))),
                           role("head", F.array("head")), role("tail", F.array("tail")))),
     )
-    hits = asked.join(vocabulary(lines), ["doc_id", "word"]).groupBy("doc_id", "line_no").agg(
+    known = deal(vocabulary(lines), "doc_id", "word")
+    hits = deal(asked, "doc_id", "word").join(known, ["doc_id", "word"]).groupBy("doc_id", "line_no").agg(
         *[F.bool_or(F.col("role") == r).alias(r) for r in ("joined", "head", "tail")]
     )
-    found = pairs.join(hits.withColumnsRenamed({"joined": "_j", "head": "_h", "tail": "_t"}), ["doc_id", "line_no"], "left")
+    hits = deal(hits, "doc_id", "line_no").withColumnsRenamed({"joined": "_j", "head": "_h", "tail": "_t"})
+    found = deal(pairs, "doc_id", "line_no").join(hits, ["doc_id", "line_no"], "left")
     no = F.lit(False)
     joined, head, tail = (F.coalesce(c, no) for c in ("_j", "_h", "_t"))
     compound = F.col("head").isin(*V.COMPOUND_HEADS) | (head & (tail | (F.length("head") >= 4)))

@@ -408,11 +408,21 @@ def drop_group_lines(spark, d):
     return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"), F.sum(F.length("text")).cast("long").alias("chars"))
 
 
+def layout_tasks(spark, d):
+    """Tasks for the lines: so many for each split of the documents, so that a task's share does not grow with the input."""
+    splits = spark.read.parquet(f"{d}/documents.parquet").rdd.getNumPartitions()
+    return max(spark.sparkContext.defaultParallelism, 8 * splits)
+
+
 def layout_lines(spark, d):
-    """Document words set as lines of six on pages of forty, with sizes and margins that follow the text."""
+    """Document words set as lines of six on pages of forty, with sizes and margins that follow the text.
+
+    Texts are dealt out by document before they become lines; windows and groups of a document's lines need no shuffle after that.
+    """
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     n_lines = F.ceil(F.size("w") / 6).cast("int")
-    docs = _docs(spark, d).select("doc_id", words.alias("w")).filter(F.size("w") > 0)
+    dealt = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").repartition(layout_tasks(spark, d), "doc_id")
+    docs = dealt.select("doc_id", words.alias("w")).filter(F.size("w") > 0)
     rows = docs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), n_lines - 1), lambda i: F.struct(
         i.alias("i"), F.array_join(F.slice("w", i * 6 + 1, F.lit(6)), " ").alias("t")))).alias("x"))
     place = F.col("x.i") % 40
@@ -507,7 +517,7 @@ def layout_vocabulary(spark, d):
 
 @query("layout_hyphens")
 def layout_hyphens(spark, d):
-    return Y.heal_hyphens(layout_lines(spark, d))
+    return Y.heal_hyphens(layout_lines(spark, d), layout_tasks(spark, d))
 
 
 @query("layout_headings")

@@ -545,3 +545,22 @@ def test_refused_answers_are_rows(spark, wiki):
     done = jobs.ask_batch(spark, {"questions": asked, "pages": pages, "sources": N.page_sources(pages)}, answer_fn=answer)
     assert {r.query_id: r.reason for r in done["refused"].collect()} == {2: "nothing found", 3: "no answer in it", 4: "answer too short"}
     assert {r.answer_id for r in done["answers"].collect()} == {1}
+
+
+def test_layout_tasks_follow_the_input(spark, tmp_path):
+    """The lines of a larger input lie in more tasks, whatever the number of shuffle partitions; their words and hyphens need no fewer."""
+    from folioscope.plans.queries_documents import layout_lines, layout_tasks
+
+    rows = [(i, f"transcendental expectations word{i} notwithstanding everything here and there " * (i % 4)) for i in range(40)] + [(None, "well known")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        n, d = layout_tasks(spark, str(tmp_path)), str(tmp_path)
+        lines = layout_lines(spark, d)
+        assert n >= 24 and lines.rdd.getNumPartitions() == n and Y.vocabulary(lines).rdd.getNumPartitions() == n
+        plain = Y.heal_hyphens(lines).collect()
+        assert Y.heal_hyphens(lines, n).rdd.getNumPartitions() == n and plain
+        assert sorted(map(str, Y.heal_hyphens(lines, n).collect())) == sorted(map(str, plain))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
