@@ -57,3 +57,20 @@ def test_models_compared_on_questions(spark, wiki):
     summary = {(r.model, r.task): r for r in done["summary"].collect()}
     assert summary["good", "ask"].ok_rate == 0.5 and summary["good", "ask"].cites_rate == 1.0 and summary["good", "ask"].median_latency_seconds > 0
     assert summary["broken", "ingest"].ok_rate == 0.0 and {r.task: r.model for r in done["routing"].collect()} == {"ingest": None, "ask": None}
+
+
+def test_the_query_of_plan_metrics_keeps_the_language(spark, tmp_path):
+    """A plan in another language than asked for is told apart by the query, not only worked out."""
+    from folioscope.plans import registry
+
+    spanish = "La casa de los libros es un lugar para leer con calma y por las tardes se llena de gente que busca silencio."
+    english = "The house of the books is a place for reading, and in the evening it is full of people that look for silence."
+    docs = [(1, english, "en", "src"), (2, spanish, "es", "src"), (3, spanish + " " + english, "en", "src")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "https://a.example/")], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "2024-01-02 00:00:00", "view")], "event_id long, ts string, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    registry.load_all()
+    rows = registry.QUERIES["plan_metrics"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.in_language for r in rows} == {1: True, 2: False, 3: True}
+    assert "in_language" in registry.ORACLES["plan_metrics"]
