@@ -1,7 +1,8 @@
 """Text of laid-out documents from `layout_lines`: (doc_id, page, line_no, text, size, bold, left,
 right, baseline, page_height, hyphen). `line_no` orders the lines of a document.
 
-Windows here run over one document's lines.
+Windows here run over one document's lines: where these lie in one partition (dealt out by `doc_id`), no step shuffles them,
+and the steps of a document's text follow each other in one pass.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.functions import values as V
-from folioscope.operators.common import durable
 
 # fixed values: the shapes of headings, captions, rows and page numbers
 NUMBERED = r"^(\d{1,2}(\.\d{1,2}){0,3}\.?|[A-Z]\.|Abstract|Appendix)(\s|$)"
@@ -28,6 +28,18 @@ def _doc():
     return W.partitionBy("doc_id").orderBy("line_no")
 
 
+def _of(*keys):
+    return W.partitionBy("doc_id", *keys)
+
+
+def _known(*columns):
+    """Whether none of these is null: rows with a null key are in no group."""
+    known = F.lit(True)
+    for c in columns:
+        known = known & F.col(c).isNotNull()
+    return known
+
+
 def line_key(text) -> Column:
     return F.regexp_replace(F.lower(T.as_column(text)), r"\d+", "#")
 
@@ -37,9 +49,9 @@ def drop_repeated_lines(lines: DataFrame) -> DataFrame:
     height = F.col("page_height")
     margin = (F.col("baseline") < height * V.MARGIN_FRACTION) | (F.col("baseline") > height * (1 - V.MARGIN_FRACTION))
     keyed = lines.withColumn("_m", margin).withColumn("_k", line_key("text"))
-    pages = keyed.filter("_m").groupBy("doc_id", "_k").agg(F.count_distinct("page").alias("_n"))
-    marked = keyed.join(pages, ["doc_id", "_k"], "left")
-    gone = F.col("_m") & (F.col("text").rlike(PAGE_NUMBER) | (F.coalesce("_n", F.lit(0)) >= V.MIN_REPEATS))
+    pages = F.size(F.collect_set(F.when(F.col("_m") & _known("doc_id", "_k"), F.col("page"))).over(_of("_k")))
+    marked = keyed.withColumn("_n", pages)
+    gone = F.col("_m") & (F.col("text").rlike(PAGE_NUMBER) | (F.col("_n") >= V.MIN_REPEATS))
     return marked.filter(~gone).select(lines.columns)
 
 
@@ -72,8 +84,8 @@ def is_fragment(text="text") -> Column:
 def drop_repeated_labels(lines: DataFrame) -> DataFrame:
     """Drop fragments a document says eight times or more, unless they sit in a row of prose: a
     line of text within two places, on the same page and baseline."""
-    counts = lines.groupBy("doc_id", F.lower("text").alias("_low")).agg(F.count(F.lit(1)).alias("_n"))
-    marked = lines.withColumn("_low", F.lower("text")).join(counts, ["doc_id", "_low"])
+    marked = lines.filter(_known("doc_id", "text")).withColumn("_low", F.lower("text"))
+    marked = marked.withColumn("_n", F.count(F.lit(1)).over(_of("_low")))
     marked = marked.withColumn("_prose", ~is_fragment() & (F.col("_n") < V.MIN_LABEL_REPEATS))
     near = F.lit(False)
     for shift in (-2, -1, 0, 1, 2):
@@ -92,19 +104,25 @@ def drop_clusters(lines: DataFrame) -> DataFrame:
         "_j", F.floor(F.col("baseline") / cell)
     )
     short = F.length("text") <= V.MAX_CLUSTER_CHARS
-    where = ["doc_id", "page", "_i", "_j"]
-    cells = gridded.filter(short).groupBy(*where).agg(F.count(F.lit(1)).alias("_n"))
-    steps = F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    placed = gridded.withColumn("_s", F.coalesce(short & _known("doc_id", "page", "_i", "_j"), F.lit(False)))
+    here = _of("page", "_i", "_j", "_s")
+    counted = placed.withColumn("_n", F.count(F.lit(1)).over(here)).withColumn("_r", F.row_number().over(here.orderBy("line_no")))
+    cell = F.when(F.col("_s") & (F.col("_r") == 1), F.struct("_i", "_j", "_n"))  # each cell once, so a page's list follows its area
+    of_page = counted.withColumn("_cells", F.collect_list(cell).over(_of("page"))).withColumn("_most", F.sum(F.col("_s").cast("int")).over(_of("page")))
+
+    def beside(c, i, j, far=1):
+        return (F.abs(c["_i"] - i) <= far) & (F.abs(c["_j"] - j) <= far)
+
+    def chart(near):
+        def crowded(c):
+            around = F.filter(near, lambda o: beside(o, c["_i"], c["_j"]))
+            return F.aggregate(around, F.lit(0).cast("long"), lambda n, o: n + o["_n"]) >= V.MIN_CLUSTER_LINES
 
-    def around(df):
-        moved = df.select(*df.columns, F.explode(steps).alias("_d"))
-        return moved.withColumn("_i", F.col("_i") + F.col("_d.di")).withColumn("_j", F.col("_j") + F.col("_d.dj")).drop("_d")
+        return F.exists(near, lambda c: beside(c, F.col("_i"), F.col("_j")) & crowded(c))
 
-    sums = around(cells).groupBy(*where).agg(F.sum("_n").alias("_around"))
-    crowded = sums.join(cells.select(*where), where, "left_semi").filter(F.col("_around") >= V.MIN_CLUSTER_LINES)
-    chart = around(crowded.select(*where)).distinct().withColumn("_chart", F.lit(True))
-    marked = gridded.join(chart, where, "left")
-    return marked.filter(~(short & F.coalesce("_chart", F.lit(False)))).select(lines.columns)
+    near = F.filter("_cells", lambda c: beside(c, F.col("_i"), F.col("_j"), 2))
+    marked = F.when(F.col("_s") & (F.col("_most") >= V.MIN_CLUSTER_LINES), T.let(near, chart)).otherwise(F.lit(False))
+    return of_page.filter(~(short & marked)).select(lines.columns)
 
 
 def is_label(text="text") -> Column:
@@ -128,26 +146,26 @@ def drop_label_runs(lines: DataFrame) -> DataFrame:
 
 def vocabulary(lines: DataFrame) -> DataFrame:
     """Distinct words of each document, without the halves a line end cut: (doc_id, word)."""
+    return _whole_words(lines).select("doc_id", F.explode("_words").alias("word")).distinct()
+
+
+def _whole_words(lines: DataFrame) -> DataFrame:
+    """`lines` with `_words`, the distinct words of each that no line end cut."""
     text = F.lower("text")
     text = F.when(F.col("hyphen"), F.regexp_replace(text, r"\p{L}+$", "")).otherwise(text)
     cut = F.coalesce(F.lag("hyphen").over(_doc()), F.lit(False))
     whole = lines.withColumn("_t", F.when(cut, F.regexp_replace(text, r"^\p{L}+", "")).otherwise(text))
-    return whole.select("doc_id", F.explode(F.array_distinct(T.find_all("_t", r"\p{L}{2,}"))).alias("word")).distinct()
+    return whole.withColumn("_words", F.array_distinct(T.find_all("_t", r"\p{L}{2,}"))).drop("_t")
 
 
-def heal_hyphens(lines: DataFrame, tasks: int | None = None) -> DataFrame:
-    """For each line that ends in a marked hyphen: does the hyphen stay? (doc_id, line_no, keep).
+def _halves(below) -> tuple[Column, Column]:
+    """What the line ends with and what the next one begins with, in small letters."""
+    return F.lower(F.regexp_extract("text", r"(\p{L}+)$", 1)), F.lower(F.regexp_extract(below, r"^(\p{L}+)", 1))
 
-    The words a decision needs (the joined word, its stems, both halves) are looked up in the
-    document's vocabulary by one equi-join, in `tasks` parts or as many as shuffles have.
-    """
-    deal = lambda df, *keys: df.repartition(tasks, *keys) if tasks else df
-    below = F.lead("text").over(_doc())
-    pairs = lines.withColumn("_below", below).filter(F.col("hyphen") & F.col("_below").isNotNull())
-    pairs = pairs.select(
-        "doc_id", "line_no", F.lower(F.regexp_extract("text", r"(\p{L}+)$", 1)).alias("head"),
-        F.lower(F.regexp_extract("_below", r"^(\p{L}+)", 1)).alias("tail"),
-    ).withColumn("word", F.concat("head", "tail"))
+
+def _asked(head, tail) -> Column:
+    """The words that tell whether a hyphen stays, with their roles: the joined word, its stems, both halves."""
+    word = F.concat(head, tail)
 
     def stems(word):
         def at(i):
@@ -162,49 +180,92 @@ def heal_hyphens(lines: DataFrame, tasks: int | None = None) -> DataFrame:
     def role(name, words):
         return F.transform(words, lambda w: F.struct(F.lit(name).alias("role"), w.alias("word")))
 
-    asked = pairs.select(
-        "doc_id", "line_no",
-        F.inline(F.concat(role("joined", F.array("word")), role("joined", stems(F.col("word"))),
-                          role("head", F.array("head")), role("tail", F.array("tail")))),
+    return F.concat(role("joined", F.array(word)), role("joined", stems(word)), role("head", F.array(head)), role("tail", F.array(tail)))
+
+
+def _stays() -> Column:
+    """Whether the hyphen stays, from `head`, `tail` and which of the words are known (`_j`, `_h`, `_t`)."""
+    joined, head, tail = (F.coalesce(c, F.lit(False)) for c in ("_j", "_h", "_t"))
+    compound = F.col("head").isin(*V.COMPOUND_HEADS) | (head & (tail | (F.length("head") >= 4)))
+    return (F.col("head") != "") & (F.col("tail") != "") & ~joined & compound
+
+
+def _healed(lines: DataFrame) -> DataFrame:
+    """`lines` with `head`, `tail` and `keep` of `heal_hyphens`, in place: lines and words lie with their document."""
+    below = F.lead("text").over(_doc())
+    cut = _whole_words(lines).withColumn("_below", below)
+    head, tail = _halves("_below")
+    cut = cut.withColumn("_pair", F.when(F.col("hyphen") & F.col("_below").isNotNull(), F.struct(head.alias("head"), tail.alias("tail"))))
+    rest = [c for c in lines.columns if c not in ("doc_id", "line_no")]
+    line = F.struct(*rest, "_pair")
+    none = F.lit(None).cast(cut.select(line.alias("x")).schema["x"].dataType)
+
+    def item(role, word, row=none):
+        return F.struct(role.alias("role"), word.alias("word"), row.alias("_line"))
+
+    items = F.concat(
+        F.array(item(F.lit("line"), F.lit(None).cast("string"), line)), F.transform("_words", lambda w: item(F.lit("known"), w)),
+        F.coalesce(F.when(F.col("_pair").isNotNull(), F.transform(_asked(F.col("_pair")["head"], F.col("_pair")["tail"]), lambda a: item(a["role"], a["word"]))), F.array()),
     )
+    said = cut.select("doc_id", "line_no", F.inline(items))
+    known = said.withColumn("_known", F.bool_or(F.col("role") == "known").over(_of("word")))
+    hit = lambda role: F.bool_or((F.col("role") == role) & F.col("_known")).over(_of("line_no"))
+    found = known.select("doc_id", "line_no", "role", "_line", hit("joined").alias("_j"), hit("head").alias("_h"), hit("tail").alias("_t")).filter("role = 'line'")
+    found = found.select("doc_id", "line_no", "_line.*", "_j", "_h", "_t").select(*lines.columns, "_pair.*", "_j", "_h", "_t")
+    return found.withColumn("keep", F.when(F.col("head").isNotNull(), _stays())).drop("_j", "_h", "_t")
+
+
+def heal_hyphens(lines: DataFrame, tasks: int | None = None) -> DataFrame:
+    """For each line that ends in a marked hyphen: does the hyphen stay? (doc_id, line_no, keep).
+
+    The words a decision needs (the joined word, its stems, both halves) are looked up in the
+    document's vocabulary by one equi-join, in `tasks` parts or as many as shuffles have.
+    """
+    deal = lambda df, *keys: df.repartition(tasks, *keys) if tasks else df
+    below = F.lead("text").over(_doc())
+    pairs = lines.withColumn("_below", below).filter(F.col("hyphen") & F.col("_below").isNotNull())
+    head, tail = _halves("_below")
+    pairs = pairs.select("doc_id", "line_no", head.alias("head"), tail.alias("tail"))
+    asked = pairs.select("doc_id", "line_no", F.inline(_asked(F.col("head"), F.col("tail"))))
     known = deal(vocabulary(lines), "doc_id", "word")
     hits = deal(asked, "doc_id", "word").join(known, ["doc_id", "word"]).groupBy("doc_id", "line_no").agg(
         *[F.bool_or(F.col("role") == r).alias(r) for r in ("joined", "head", "tail")]
     )
     hits = deal(hits, "doc_id", "line_no").withColumnsRenamed({"joined": "_j", "head": "_h", "tail": "_t"})
     found = deal(pairs, "doc_id", "line_no").join(hits, ["doc_id", "line_no"], "left")
-    no = F.lit(False)
-    joined, head, tail = (F.coalesce(c, no) for c in ("_j", "_h", "_t"))
-    compound = F.col("head").isin(*V.COMPOUND_HEADS) | (head & (tail | (F.length("head") >= 4)))
-    keep = (F.col("head") != "") & (F.col("tail") != "") & ~joined & compound
-    return found.select("doc_id", "line_no", "head", "tail", keep.alias("keep"))
+    return found.select("doc_id", "line_no", "head", "tail", _stays().alias("keep"))
 
 
-def body_sizes(lines: DataFrame) -> DataFrame:
-    """The size most characters are set in, per document; the one met first wins a tie."""
-    per_size = lines.groupBy("doc_id", "size").agg(F.sum(F.length("text")).alias("_n"), F.min("line_no").alias("_at"))
+def _sized(lines: DataFrame) -> DataFrame:
+    """`lines` with `body`, the size most characters of the document are set in; the one met first wins a tie."""
+    per_size = lines.filter(_known("doc_id")).withColumn("_n", F.sum(F.length("text")).over(_of("size"))).withColumn("_at", F.min("line_no").over(_of("size")))
     best = F.max_by("size", F.struct("_n", (-F.col("_at")).alias("at")))
-    return per_size.groupBy("doc_id").agg(best.alias("body"))
+    return per_size.withColumn("body", best.over(_of())).drop("_n", "_at")
+
+
+def body_sizes(lines: DataFrame) -> DataFrame:
+    """The body size of each document: (doc_id, body)."""
+    return _sized(lines).select("doc_id", "body").distinct()
 
 
 def headings(lines: DataFrame) -> DataFrame:
     """Heading lines with their level: (doc_id, line_no, text, level), capped per document."""
-    sized = lines.join(body_sizes(lines), "doc_id")
+    return _leveled(_sized(lines)).filter("level is not null").select("doc_id", "line_no", "text", "level")
+
+
+def _leveled(sized: DataFrame) -> DataFrame:
+    """`sized` lines with `level`, null for what is no heading."""
     big = F.col("size") >= F.col("body") * V.HEADING_SIZE_RATIO
     refs = F.col("text").rlike(REFERENCES)
     numbered = F.col("text").rlike(NUMBERED)
     letters = F.length(F.regexp_replace("text", r"[^\p{L}]", ""))
     plain = (F.length("text") <= V.MAX_HEADING_CHARS) & ~F.col("text").rlike(r"[,.;]$") & ~F.col("hyphen") & (letters >= 3)
-    found = sized.filter(refs | (plain & (big | (F.col("bold") & numbered))))
-    caps = lines.groupBy("doc_id").agg(
-        F.greatest(F.lit(V.MIN_HEADING_CAP), F.max("page") * V.HEADINGS_PER_PAGE).alias("cap")
-    )
-    ranked = found.withColumn(
-        "_r", F.row_number().over(W.partitionBy("doc_id").orderBy((numbered | refs).desc(), F.col("size").desc(), "line_no"))
-    ).join(caps, "doc_id")
-    best = ranked.filter(F.col("_r") <= F.col("cap"))
-    size_rank = F.dense_rank().over(W.partitionBy("doc_id", "_big").orderBy(F.col("size").desc()))
-    leveled = best.withColumn("_big", big).withColumn("_place", size_rank)
+    found = sized.withColumn("_found", F.coalesce(refs | (plain & (big | (F.col("bold") & numbered))), F.lit(False)))
+    first = _of("_found").orderBy((numbered | refs).desc(), F.col("size").desc(), "line_no")
+    cap = F.greatest(F.lit(V.MIN_HEADING_CAP), F.max("page").over(_of()) * V.HEADINGS_PER_PAGE)
+    ranked = found.withColumn("_r", F.row_number().over(first)).withColumn("_cap", cap)
+    best = ranked.withColumn("_best", F.col("_found") & (F.col("_r") <= F.col("_cap"))).withColumn("_big", big)
+    leveled = best.withColumn("_place", F.dense_rank().over(_of("_best", "_big").orderBy(F.col("size").desc())))
     number = F.regexp_extract("text", DEPTH, 1)
     dots = F.length(number) - F.length(F.replace(number, F.lit("."), F.lit("")))
     level = (
@@ -212,7 +273,7 @@ def headings(lines: DataFrame) -> DataFrame:
         .when(F.col("_big"), F.least(F.lit(3), F.col("_place")))
         .otherwise(2)
     )
-    return leveled.select("doc_id", "line_no", "text", level.cast("int").alias("level"))
+    return leveled.withColumn("level", F.when(F.col("_best"), level.cast("int"))).select(*sized.columns, "level")
 
 
 def is_row(text="text") -> Column:
@@ -225,27 +286,20 @@ def is_row(text="text") -> Column:
 
 def reflow(lines: DataFrame) -> DataFrame:
     """Blocks of a document in order: (doc_id, block, kind, text); kind is heading, rows or text."""
-    heads = headings(lines).select("doc_id", "line_no", "level")
-    hyphens = heal_hyphens(lines).select("doc_id", "line_no", "keep")
-    sized = lines.join(body_sizes(lines), "doc_id")
     prev = lambda c: F.lag(c).over(_doc())
+    sized = _leveled(_sized(_healed(lines)))
     pitch = prev("baseline") - F.col("baseline")
     usual = (prev("page") == F.col("page")) & (prev("size") == F.col("size")) & (F.col("size") == F.col("body"))
     pitched = sized.withColumn("_p", F.when(usual & (pitch > 0) & (pitch < F.col("body") * 3), pitch))
-    pitches = pitched.groupBy("doc_id").agg(F.coalesce(F.median("_p"), F.lit(0.0)).alias("pitch"))
-    width = F.col("right") - F.col("left")
-    by_width = W.partitionBy("doc_id", "page")
-    full = (
-        lines.withColumn("_w", width)
-        .withColumn("_r", F.row_number().over(by_width.orderBy("_w")))
-        .withColumn("_n", F.count(F.lit(1)).over(by_width))
-        .filter(F.col("_r") == F.floor(F.col("_n") * 0.8) + 1)
-        .select("doc_id", "page", F.col("_w").alias("full"))
-    )
-    rows = (
-        sized.join(heads, ["doc_id", "line_no"], "left").join(hyphens, ["doc_id", "line_no"], "left")
-        .join(pitches, "doc_id").join(full, ["doc_id", "page"])
-    )
+    pitched = pitched.withColumn("pitch", F.coalesce(F.median("_p").over(_of()), F.lit(0.0)))
+    wide = pitched.filter(_known("page")).withColumn("_w", F.col("right") - F.col("left"))
+    wide = wide.withColumn("_r", F.row_number().over(_of("page").orderBy("_w"))).withColumn("_n", F.count(F.lit(1)).over(_of("page")))
+    wide = wide.withColumn("full", F.max(F.when(F.col("_r") == F.floor(F.col("_n") * 0.8) + 1, F.col("_w"))).over(_of("page")))
+    # lines of one number share what was found for any of them
+    place = lambda c: F.when(F.col("line_no").isNotNull(), F.collect_list(c).over(_of("line_no")))
+    found = wide.withColumn("_levels", place("level")).withColumn("_keeps", place("keep"))
+    rows = found.select(*lines.columns, "body", "pitch", "full", F.col("_keeps"), F.explode_outer("_levels").alias("level"))
+    rows = rows.select(*lines.columns, "body", "pitch", "full", "level", F.explode_outer("_keeps").alias("keep"))
     kind = F.when(F.col("level").isNotNull(), "heading").when(is_row(), "rows").otherwise("text")
     rows = rows.withColumn("kind", kind)
     drop = prev("baseline") - F.col("baseline")
@@ -285,11 +339,12 @@ def reflow(lines: DataFrame) -> DataFrame:
     )
 
 
-def document_text(lines: DataFrame) -> DataFrame:
+def document_text(lines: DataFrame, dealt: bool = False) -> DataFrame:
     """All the steps: margins, chart labels, then blocks in reading order.
 
-    Every step reads its input more than once, so what a step leaves is written down in between.
+    Lines that are not `dealt` out by document yet are dealt out once; all else happens where a document's lines lie.
     """
+    lines = lines if dealt else lines.repartition("doc_id")
     for step in (drop_repeated_lines, drop_repeated_labels, drop_clusters, drop_label_runs):
-        lines = durable(step(lines))
+        lines = step(lines)
     return reflow(lines)

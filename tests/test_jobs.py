@@ -564,3 +564,42 @@ def test_layout_tasks_follow_the_input(spark, tmp_path):
         assert sorted(map(str, Y.heal_hyphens(lines, n).collect())) == sorted(map(str, plain))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+
+
+LAYOUT = "doc_id long, page int, line_no int, text string, size double, bold boolean, left double, right double, baseline double, page_height double, hyphen boolean"
+
+
+def test_a_document_is_laid_out_where_its_lines_lie(spark):
+    """Lines that are dealt out by document are not shuffled again, nor written down between the steps."""
+    rows = [
+        (d, 1 + i // 20, i, f"word{i % 7} some lines of docu" if i % 3 else f"ment {i} grow", 10.0 + 4 * (i % 9 == 0), i % 5 == 0, 50.0, 200.0, 780.0 - 19 * (i % 20), 800.0, i % 3 > 0)
+        for d in range(5) for i in range(60)
+    ]
+    dealt = spark.createDataFrame(rows, LAYOUT).repartition(6, "doc_id")
+    found = Y.document_text(dealt, dealt=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and "Join" not in plan and "Scan ExistingRDD" in plan
+    got = sorted((r.doc_id, r.block, r.kind, r.text) for r in found.collect())
+    assert got == sorted((r.doc_id, r.block, r.kind, r.text) for r in Y.document_text(spark.createDataFrame(rows, LAYOUT)).collect())
+    assert {x[0] for x in got} == set(range(5)) and {x[2] for x in got} >= {"heading", "text"}
+
+
+def test_short_lines_of_crowded_cells_go(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(2400):
+        page, left, y = rng.choice([1, 1, 2, None]), rng.choice([50.0, 90.0, 140.0, 400.0, None]), rng.uniform(0, 790)
+        text = rng.choice(["ab", "cd 1", "a line that is long enough to be prose", None])
+        rows.append((i % 2, page, i, text, 10.0, False, left, None if left is None else left + 20, y if i % 3 else 300.0 + y / 20, 800.0, False))
+    cell = lambda r: None if r[1] is None or r[6] is None else (r[0], r[1], int((r[6] + r[7]) / 2 // 50), int(r[8] // 50))
+    count = {}
+    for r in rows:
+        if r[3] is not None and len(r[3]) <= 30 and cell(r):
+            count[cell(r)] = count.get(cell(r), 0) + 1
+    around = lambda c: [(c[0], c[1], c[2] + a, c[3] + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    chart = {x for c in count if sum(count.get(x, 0) for x in around(c)) >= 40 for x in around(c)}
+    want = {r[2] for r in rows if r[3] is not None and not (len(r[3]) <= 30 and cell(r) in chart)}
+    got = {r.line_no for r in Y.drop_clusters(spark.createDataFrame(rows, LAYOUT)).filter("text is not null").collect()}
+    assert got == want and 0 < len(want) < sum(r[3] is not None for r in rows) - 100
